@@ -1,6 +1,6 @@
 """All registered queries, loaded in one place."""
 
-from rungwork.plans import queries_frontier  # noqa: F401
+from rungwork.plans import queries_calibration, queries_frontier, queries_variants  # noqa: F401
 from rungwork.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

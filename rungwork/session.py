@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | str = 8, app_name: str = "rungwork") -> SparkSession:
@@ -13,6 +14,7 @@ def build_session(cpus: int | str = 8, app_name: str = "rungwork") -> SparkSessi
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
@@ -26,21 +28,24 @@ def build_session(cpus: int | str = 8, app_name: str = "rungwork") -> SparkSessi
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str | None:
-    """Shared folder the cluster names for durable intermediate data."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """Shared folder named by ``spark.checkpoint.dir``.
 
-
-def cut_lineage(df, test_dir: str | None = None):
-    """Reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    ``test_dir`` is only used where the setting is absent (unit tests). Without
-    either, the plan is returned unchanged: still right, only longer to replay.
+    Only a local master (tests, benchmark) falls back to a temporary folder of its own;
+    on a cluster an unset setting means that lineage is not cut.
     """
-    spark = df.sparkSession
-    folder = checkpoint_root(spark) or test_dir
-    if folder is None:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="rungwork-checkpoint-")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; the plan is returned unchanged where no folder is known."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = checkpoint_folder(df.sparkSession)
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
