@@ -205,22 +205,23 @@ def exact_number(text: Column | str) -> Column:
     denominator is zero. Digit strings keep any length exact.
     """
     labelled = F.regexp_extract_all(col(text), F.lit(FINAL_ANSWER), F.lit(1))
-    chosen = F.when(F.size(labelled) > 0, F.element_at(labelled, -1)).otherwise(col(text))
-    chosen = F.regexp_replace(chosen, "[,$]", "")
-    top = F.regexp_extract(chosen, FRACTION, 1)
-    bottom = F.regexp_extract(chosen, FRACTION, 2)
-    number = F.regexp_extract(chosen, DECIMAL, 0)
-    fraction_digits = F.regexp_extract(number, r"\.(\d*)", 1)
-    zero_bottom = F.rlike(bottom, F.lit(r"^[-+]?0+$"))
-    as_fraction = F.struct(top.alias("num"), bottom.alias("den"))
-    as_decimal = F.struct(
-        F.regexp_replace(number, r"\.", "").alias("num"),
-        F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(fraction_digits))).alias("den"),
-    )
-    return (
-        F.when((bottom != "") & ~zero_bottom, as_fraction)
-        .when((bottom == "") & (number != ""), as_decimal)
-    )
+    spoken = F.coalesce(F.try_element_at(labelled, F.lit(-1)), col(text))
+
+    def read(cleaned: Column) -> Column:
+        top = F.regexp_extract(cleaned, FRACTION, 1)
+        bottom = F.regexp_extract(cleaned, FRACTION, 2)
+        number = F.regexp_extract(cleaned, DECIMAL, 0)
+        tail = F.regexp_extract(number, r"\.(\d*)", 1)
+        as_fraction = F.struct(top.alias("num"), bottom.alias("den"))
+        as_decimal = F.struct(
+            F.replace(number, F.lit("."), F.lit("")).alias("num"),
+            F.rpad(F.lit("1"), F.length(tail) + 1, F.lit("0")).alias("den"),
+        )
+        zero = F.rlike(bottom, F.lit(r"^[-+]?0+$"))
+        return F.when((bottom != "") & ~zero, as_fraction).when((bottom == "") & (number != ""), as_decimal)
+
+    # the one-element array binds the cleaned answer, so it is computed once
+    return F.get(F.transform(F.array(F.regexp_replace(spoken, "[,$]", "")), read), F.lit(0))
 
 
 def tagged(text: Column | str, tag: str) -> Column:

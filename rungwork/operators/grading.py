@@ -5,52 +5,55 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungwork.functions import text as tx
 
-WIDE = 18  # digits per factor whose product still fits DECIMAL(38, 0)
+# A run of 19 digits or points may not fit the DECIMAL(38, 0) product of two factors.
+LONG_NUMBER = r"[0-9.]{19,}"
 
 
-def _wide_equal(n1: pd.Series, d1: pd.Series, n2: pd.Series, d2: pd.Series) -> pd.Series:
-    pairs = zip(n1, d1, n2, d2)
-    return pd.Series([Fraction(int(a), int(b)) == Fraction(int(c), int(d)) for a, b, c, d in pairs], dtype=bool)
-
-
-def _digits(value: Column) -> Column:
-    return F.length(F.regexp_replace(value, r"^[-+]?0*|[-+]", ""))
+def _exact_equal(n1: pd.Series, d1: pd.Series, n2: pd.Series, d2: pd.Series) -> pd.Series:
+    rows = zip(n1, d1, n2, d2)
+    return pd.Series(
+        [None not in row and Fraction(int(row[0]), int(row[1])) == Fraction(int(row[2]), int(row[3])) for row in rows],
+        dtype=bool,
+    )
 
 
 def grade_rollouts(
-    rows: DataFrame, text: str = "text", reference: str = "reference", verifier=None
+    rows: DataFrame,
+    text: str = "text",
+    reference: str = "reference",
+    verifier=None,
+    long_numbers: bool = True,
 ) -> DataFrame:
-    """Adds ``correct``.
+    """Adds ``correct``: text and reference name the same rational number.
 
-    The built-in grader compares exact rationals by cross-multiplying; the few rows with
-    numbers too long for a decimal go through a small Arrow function with Python integers.
-    ``verifier`` replaces it: a pandas UDF of (text, reference) giving a boolean.
+    Numbers are compared by cross-multiplying decimals. The rare rows holding a very long
+    number go through a small Arrow function on Python integers; they are told apart by
+    a plain pattern before anything is parsed. Where no such number can occur,
+    ``long_numbers=False`` saves that second scan. ``verifier`` replaces the grader: a
+    pandas UDF of (text, reference) giving a boolean.
     """
     if verifier is not None:
         return rows.withColumn("correct", F.coalesce(verifier(F.col(text), F.col(reference)), F.lit(False)))
-    parsed = rows.withColumns(
-        {
-            "__got": tx.exact_number(text),
-            "__want": tx.exact_number(F.concat(F.lit("FINAL_ANSWER: "), F.col(reference))),
-        }
-    )
-    parts = [F.col("__got.num"), F.col("__got.den"), F.col("__want.num"), F.col("__want.den")]
-    longest = F.greatest(*[_digits(p) for p in parts])
-    parsed = parsed.withColumn("__wide", F.coalesce(longest > WIDE, F.lit(False)))
 
-    def small(part: Column) -> Column:
-        return F.when(~F.col("__wide"), part).cast("decimal(19,0)")
+    def parsed(part: DataFrame) -> DataFrame:
+        want = F.concat(F.lit("FINAL_ANSWER: "), F.col(reference))
+        return part.withColumns({"__got": tx.exact_number(text), "__want": tx.exact_number(want)})
 
-    n1, d1, n2, d2 = (small(p) for p in parts)
-    narrow = parsed.filter(~F.col("__wide")).withColumn("correct", F.coalesce(n1 * d2 == n2 * d1, F.lit(False)))
-    exact = F.pandas_udf(_wide_equal, "boolean")
-    wide = parsed.filter("__wide").withColumn("correct", exact(*parts))
-    return narrow.unionByName(wide).drop("__got", "__want", "__wide")
+    parts = [F.col("__got.num"), F.col("__got.den"), F.col("__want.num"), F.col("__want.den")]
+    n1, d1, n2, d2 = (p.cast("decimal(19,0)") for p in parts)
+    both = F.concat_ws(" ", text, reference)
+    is_long = F.coalesce(F.rlike(F.regexp_replace(both, "[,$]", ""), F.lit(LONG_NUMBER)), F.lit(False))
+    short = parsed(rows.filter(~is_long) if long_numbers else rows)
+    graded = short.withColumn("correct", F.coalesce(n1 * d2 == n2 * d1, F.lit(False)))
+    if long_numbers:
+        exact = F.pandas_udf(_exact_equal, "boolean")
+        graded = graded.unionByName(parsed(rows.filter(is_long)).withColumn("correct", exact(*parts)))
+    return graded.drop("__got", "__want")
 
 
 def boxed_report(rows: DataFrame, text: str = "text") -> DataFrame:

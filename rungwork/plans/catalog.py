@@ -1,6 +1,11 @@
 """All registered queries, loaded in one place."""
 
-from rungwork.plans import queries_calibration, queries_frontier, queries_variants  # noqa: F401
+from rungwork.plans import (  # noqa: F401
+    queries_calibration,
+    queries_frontier,
+    queries_text,
+    queries_variants,
+)
 from rungwork.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
