@@ -4,6 +4,7 @@ from rungwork.plans import (  # noqa: F401
     queries_calibration,
     queries_frontier,
     queries_text,
+    queries_training,
     queries_variants,
 )
 from rungwork.plans.registry import REGISTRY
