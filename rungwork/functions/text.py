@@ -127,15 +127,20 @@ def minimal_plan(
         F.lit(""),
     )
     plan = F.btrim(F.array_join(F.slice(words(filled), 1, max_words), " "), F.lit(" ."))
-    plan_key = alnum_key(plan)
-
-    def gives_away(secret: Column) -> Column:
-        return (secret != "") & F.contains(plan_key, secret)
-
-    leaks = gives_away(alnum_key(F.coalesce(col(subproblem_answer), F.lit("")))) | gives_away(
-        alnum_key(F.coalesce(col(reference), F.lit("")))
+    secrets = [alnum_key(F.coalesce(col(c), F.lit(""))) for c in (subproblem_answer, reference)]
+
+    def guarded(plan: Column, plan_key: Column) -> Column:
+        leaks = [(secret != "") & F.contains(plan_key, secret) for secret in secrets]
+        return F.when(leaks[0] | leaks[1], F.lit("")).otherwise(plan)
+
+    # one-element arrays bind the plan and its key, so each is computed once
+    return F.get(
+        F.transform(
+            F.array(plan),
+            lambda p: F.get(F.transform(F.array(alnum_key(p)), lambda k: guarded(p, k)), F.lit(0)),
+        ),
+        F.lit(0),
     )
-    return F.when(leaks, F.lit("")).otherwise(plan)
 
 
 def reference_solution(reference: Column | str, *fields: Column | str, stripped: bool) -> Column:

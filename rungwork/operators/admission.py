@@ -61,11 +61,29 @@ def seeded_sample(rows: DataFrame, keys: Sequence[str], limit: int, seed: int) -
     return ranked.filter(F.col("draw") <= limit) if limit > 0 else ranked
 
 
+def _plan(max_words: int) -> Column:
+    return tx.minimal_plan(
+        "source_step", "relation", "subproblem", "subproblem_answer", "reference", max_words
+    )
+
+
 def plan_candidates(candidates: DataFrame, max_words: int = 12) -> DataFrame:
     """Candidates with their answer-free minimal plan ('' where it would leak)."""
-    return candidates.withColumn(
-        "minimal_plan",
-        tx.minimal_plan("source_step", "relation", "subproblem", "subproblem_answer", "reference", max_words),
+    return candidates.withColumn("minimal_plan", _plan(max_words))
+
+
+def usable_plans(candidates: DataFrame, max_words: int = 12) -> DataFrame:
+    """Candidates with a non-empty minimal plan.
+
+    A given ``minimal_plan`` is kept. Exploding a filtered one-element array drops the
+    others without computing the plan a second time for the filter.
+    """
+    plan, rest = _plan(max_words), candidates.columns
+    if "minimal_plan" in rest:
+        rest = [c for c in rest if c != "minimal_plan"]
+        plan = F.coalesce(F.nullif("minimal_plan", F.lit("")), plan)
+    return candidates.select(
+        *rest, F.explode(F.filter(F.array(plan), lambda p: p != "")).alias("minimal_plan")
     )
 
 

@@ -81,10 +81,13 @@ def ring_controls(
     still without a control go on, with a four times longer reach, until the ring is
     closed, so the result is exact however far the walk must go.
     """
+    plans = cut_lineage(
+        plans.select("root_id", "id", "dimension", "reference", "minimal_plan", "log_pos")
+    )
     roots = plans.groupBy("root_id").agg(
         tx.alnum_key(F.coalesce(F.min_by("reference", "log_pos"), F.lit(""))).alias("secret")
     )
-    ring = hash_rank(roots, ["root_id"], seed, "ring")
+    ring = cut_lineage(hash_rank(roots, ["root_id"], seed, "ring"))
     size = ring.count()
     if size < 2:
         raise ValueError("at least two roots with plans are needed")
@@ -100,7 +103,7 @@ def ring_controls(
     )
     targets = plans.select("root_id", "dimension").distinct().join(ring, "root_id")
     options = cut_lineage(options)
-    open_targets = cut_lineage(targets)
+    open_targets = targets
     found, start, reach = None, 1, first_reach
     while start < size:
         stop = min(size - 1, start + reach - 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rungwork.functions import scoring as sc
 from rungwork.functions import text as tx
+from rungwork.operators.admission import usable_plans
 from rungwork.plans.ranking import last_by, position_rank, seeded_hash
 from rungwork.schemas import EXTRA_INFO
 
@@ -207,13 +208,7 @@ def staged_pairs(
     """
     if not (0.0 <= ready <= 1.0 and 0.0 <= contrast_min <= 1.0):
         raise ValueError("thresholds must be in [0, 1]")
-    plan = tx.minimal_plan(
-        "source_step", "relation", "subproblem", "subproblem_answer", "reference", max_plan_words
-    )
-    given = F.col("minimal_plan") if "minimal_plan" in candidates.columns else F.lit("")
-    planned = candidates.withColumn("minimal_plan", F.coalesce(F.nullif(given, F.lit("")), plan)).filter(
-        F.col("minimal_plan") != ""
-    )
+    planned = usable_plans(candidates, max_plan_words)
     matched = match_candidates(problems, planned)
     if learnability is None:
         matched = matched.withColumn("p_sub", F.lit(None).cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungwork.functions import text as tx
+from rungwork.operators.admission import usable_plans
 from rungwork.plans.ranking import hash_rank, position_rank
 
 
@@ -84,10 +85,7 @@ def eligible_roots(candidates: DataFrame, problems: DataFrame, max_plan_words: i
     ``first_pos`` is the first log position at which the root qualifies.
     """
     keys = problems.select(tx.question_key("question").alias("question_key")).distinct()
-    plan = tx.minimal_plan(
-        "source_step", "relation", "subproblem", "subproblem_answer", "reference", max_plan_words
-    )
-    usable = candidates.filter(plan != "").select(
+    usable = usable_plans(candidates, max_plan_words).select(
         "root_id", "log_pos", tx.question_key("question").alias("question_key")
     )
     return (

@@ -282,8 +282,7 @@ found AS (
 )
 SELECT u.id, f.control_id, f.step FROM usable u LEFT JOIN found f ON u.root_id = f.root_id AND u.dimension = f.dimension""")
 def ring_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = ad.plan_candidates(bridge.candidates(spark, sf_dir)).filter(F.col("minimal_plan") != "")
-    plans = planned.select("root_id", "id", "dimension", "reference", "minimal_plan", "log_pos")
+    plans = ad.usable_plans(bridge.candidates(spark, sf_dir))
     return co.ring_controls(plans, seed=42, require_all=False).select(
         "id", "control_id", F.col("step").cast("bigint").alias("step")
     )

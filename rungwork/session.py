@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +42,15 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; the plan is returned unchanged where no folder is known."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = checkpoint_folder(df.sparkSession)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    A written table survives lost executors, is read column by column, and gives the
+    planner its true size. Without a known folder the plan is returned unchanged.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/rungwork-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
