@@ -97,6 +97,13 @@ def subproblem_row(root: str = "root", cand: str = "cand", fields: list[str] | N
     return F.struct(*[changed.get(f, r[f]).alias(f) for f in fields])
 
 
+def first_in_log(rows: DataFrame, count: int) -> DataFrame:
+    """The first ``count`` rows of the log; only positions are ranked, not whole rows."""
+    places = position_rank(rows.select("log_pos"), "log_pos", "nth").filter(F.col("nth") <= count)
+    last = places.agg(F.max("log_pos"))
+    return rows.withColumn("__last", last.scalar()).filter(F.col("log_pos") <= F.col("__last")).drop("__last")
+
+
 def training_mix(
     problems: DataFrame, candidates: DataFrame, seed: int = 42, max_pairs: int | None = None
 ) -> DataFrame:
@@ -111,7 +118,7 @@ def training_mix(
     if "trainable" in rows.columns:
         rows = rows.filter(F.coalesce("trainable", F.lit(True)))
     if max_pairs is not None:
-        rows = position_rank(rows, "log_pos", "__nth").filter(F.col("__nth") <= max_pairs).drop("__nth")
+        rows = first_in_log(rows, max_pairs)
     ranked = match_candidates(problems, rows).withColumns(
         {"candidate_id": F.col("cand.id"), "pair": seeded_hash(seed, F.col("cand.id"))}
     )

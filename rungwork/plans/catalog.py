@@ -3,6 +3,7 @@
 from rungwork.plans import (  # noqa: F401
     queries_calibration,
     queries_frontier,
+    queries_streaming,
     queries_text,
     queries_training,
     queries_variants,

@@ -108,9 +108,8 @@ FROM taken s LEFT JOIN last_problem p ON s.question_key = p.question_key""")
 def mix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _source(spark, sf_dir)
     rows = _measured(spark, sf_dir).filter("trainable")
-    ranked = mx.position_rank(rows, "log_pos", "nth").filter(F.col("nth") <= FIRST_PAIRS)
     mix = mx.training_mix(source, rows, seed=42, max_pairs=FIRST_PAIRS)
-    return mx.mix_summary(mix, mx.unmatched_candidates(source, ranked))
+    return mx.mix_summary(mix, mx.unmatched_candidates(source, mx.first_in_log(rows, FIRST_PAIRS)))
 
 
 @query("F46", SCORED + """

@@ -82,6 +82,10 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def help_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root = customer, candidate = dimension, sample = line number modulo three."""
+    return as_help_results(order_lines(spark, sf_dir))
+
+
+def as_help_results(lines: DataFrame) -> DataFrame:
     dimension = (
         F.when(F.col("l_orderkey") % 3 == 0, "knowledge")
         .when(F.col("l_orderkey") % 3 == 1, "planning")
@@ -93,7 +97,7 @@ def help_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("random_plan")
     )
     root = F.col("o_custkey").cast("string")
-    return order_lines(spark, sf_dir).select(
+    return lines.select(
         root.alias("root_id"),
         F.when(variant == "no_help", F.lit(""))
         .otherwise(F.concat_ws("::", root, dimension))
