@@ -32,11 +32,14 @@ def read_log_strict(spark: SparkSession, paths: Paths, schema: str) -> DataFrame
 
 def quarantine(spark: SparkSession, paths: Paths, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and malformed lines with the file they came from."""
-    wide = f"{schema}, _corrupt_record string"
-    raw = spark.read.schema(wide).option("columnNameOfCorruptRecord", "_corrupt_record").json(_paths(paths))
-    tagged = raw.withColumn("source_file", F.col("_metadata.file_path"))
-    bad = tagged.filter(F.col("_corrupt_record").isNotNull()).select("source_file", "_corrupt_record")
-    good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(_paths(paths)).filter(tx.has_text("value"))
+    parsed = lines.select(
+        F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r"),
+        F.col("_metadata.file_path").alias("source_file"),
+    )
+    bad = parsed.filter(F.col("r._corrupt_record").isNotNull()).select("source_file", "r._corrupt_record")
+    good = parsed.filter(F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
     return good, bad
 
 
