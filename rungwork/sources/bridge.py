@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 from rungwork.functions import text as tx
 
 
-TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "embeddings": ("vec_id",)}
+SPREAD_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber"),
+    "documents": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+    "embeddings": ("vec_id",),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table.
 
-    Text tables that arrive as fewer files than there are cores are spread by key, since
-    one file of one row group would otherwise be worked by a single task. A table of many
-    files is read as it is.
+    The large tables are spread by key when they arrive as fewer files than there are
+    cores, since one file of one row group would otherwise be worked by a single task.
+    A table of many files is read as it is.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, *TEXT_KEYS[name])
+    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *SPREAD_KEYS[name])
     return df
 
 
