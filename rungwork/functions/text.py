@@ -44,7 +44,10 @@ def col(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(col(value), EDGE_BLANK, "")
+    """Blanks removed at both ends; long texts are only searched when an end is blank."""
+    value = col(value)
+    ends = F.concat(F.left(value, F.lit(1)), F.right(value, F.lit(1)))
+    return F.when(F.rlike(ends, F.lit(BLANK)), F.regexp_replace(value, EDGE_BLANK, "")).otherwise(value)
 
 
 def collapse(value: Column | str) -> Column:
@@ -57,7 +60,8 @@ def has_text(value: Column | str) -> Column:
 
 
 def question_key(question: Column | str) -> Column:
-    return F.substring(F.sha1(collapse(question)), 1, 16)
+    """Never null, so joins on it add no null filter that would compute it twice."""
+    return F.substring(F.sha1(collapse(F.coalesce(col(question), F.lit("")))), 1, 16)
 
 
 def item_id(source_id: Column | str, question: Column | str) -> Column:

@@ -171,7 +171,6 @@ def admit_candidates(
             ],
         )
 
-    entries = parsed.withColumn("__entries", F.array(*[clean(d) for d in dimensions]))
     secret = tx.answer_key("reference")
 
     def broken(e: Column) -> Column:
@@ -187,22 +186,26 @@ def admit_candidates(
             tx.answer_key(e["subproblem"]) == secret, tx.LEAK_BY_TEXT
         )
 
-    def first(rule) -> Column:
-        return F.get(F.filter(F.transform("__entries", rule), lambda m: m.isNotNull()), F.lit(0))
+    def first(entries: Column, rule) -> Column:
+        return F.get(F.filter(F.transform(entries, rule), lambda m: m.isNotNull()), F.lit(0))
 
+    def judged(entries: Column) -> Column:
+        return F.struct(F.coalesce(first(entries, broken), first(entries, leak)).alias("reason"), entries.alias("entries"))
+
+    # the one-element array binds the cleaned entries, so they are built once
+    entries = F.array(*[clean(d) for d in dimensions])
+    checked = parsed.withColumn("__j", F.get(F.transform(F.array(entries), judged), F.lit(0)))
+    missing = F.concat(F.lit("response is missing candidate dimensions: "), F.array_join(absent, ", "))
     reason = (
         F.when(F.col("__set").isNull(), F.lit("response does not contain a candidates JSON object"))
-        .when(
-            F.size(absent) > 0,
-            F.concat(F.lit("response is missing candidate dimensions: "), F.array_join(absent, ", ")),
-        )
-        .otherwise(F.coalesce(first(broken), first(leak)))
+        .when(F.size(absent) > 0, missing)
+        .otherwise(F.col("__j.reason"))
     )
+    kept = [c for c in responses.columns if c != content]
     return (
-        entries.withColumn("reject_reason", reason)
-        .withColumn("__e", F.explode("__entries"))
+        checked.select(*kept, reason.alias("reject_reason"), F.explode("__j.entries").alias("__e"))
         .select(
-            *[c for c in responses.columns if c != content],
+            *kept,
             "__e.dimension",
             "__e.subproblem",
             F.col("__e.answer").alias("subproblem_answer"),

@@ -91,15 +91,17 @@ def ring_controls(
     size = ring.count()
     if size < 2:
         raise ValueError("at least two roots with plans are needed")
+    # equal plans of one root and dimension are refused together, so the smallest id stands
+    # for all of them; many copies under one root cost a walk no more than one
     options = (
         plans.join(ring.select("root_id", F.col("ring").alias("at")), "root_id")
-        .select(
+        .groupBy(
             "at",
             F.col("dimension").alias("other_dimension"),
-            F.col("id").alias("control_id"),
-            F.col("minimal_plan").alias("control_plan"),
             tx.alnum_key("minimal_plan").alias("plan_key"),
         )
+        .agg(F.min(F.struct(F.col("id").alias("control_id"), F.col("minimal_plan").alias("control_plan"))).alias("o"))
+        .select("at", "other_dimension", "plan_key", "o.*")
     )
     targets = plans.select("root_id", "dimension").distinct().join(ring, "root_id")
     options = cut_lineage(options)
