@@ -61,6 +61,23 @@ def seeded_sample(rows: DataFrame, keys: Sequence[str], limit: int, seed: int) -
     return ranked.filter(F.col("draw") <= limit) if limit > 0 else ranked
 
 
+def probe_rows(
+    problems: DataFrame, limit: int, seed: int = 42, max_source_accuracy: float | None = None
+) -> tuple[DataFrame, int]:
+    """Seeded sample of hard-enough problems and how many were eligible; none is an error.
+
+    The accuracy bound applies only where the column exists. Sort the sample by id to report.
+    """
+    rows = problems
+    if max_source_accuracy is not None and "accuracy" in problems.columns:
+        rows = problems.filter(F.col("accuracy") <= max_source_accuracy)
+    eligible = rows.count()
+    if eligible == 0:
+        raise ValueError("no rows remain after filtering by source accuracy")
+    drawn = seeded_sample(rows.select("log_pos"), ["log_pos"], limit, seed)
+    return rows.join(drawn, "log_pos"), eligible
+
+
 def _plan(max_words: int) -> Column:
     return tx.minimal_plan(
         "source_step", "relation", "subproblem", "subproblem_answer", "reference", max_words
@@ -260,13 +277,24 @@ def usage_totals(admitted: DataFrame) -> DataFrame:
 
 
 def generation_summary(
-    selected: DataFrame, admitted: DataFrame, errors: DataFrame, dimensions: Sequence[str] = tx.DIMENSIONS
+    eligible: DataFrame,
+    selected: DataFrame,
+    admitted: DataFrame,
+    errors: DataFrame,
+    still_open: DataFrame,
+    dimensions: Sequence[str] = tx.DIMENSIONS,
 ) -> DataFrame:
-    """Counts of one generation run over its three tables."""
+    """Counts of one generation run; ``still_open`` is the output of ``open_requests``."""
+
+    def size(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1))).scalar()
+
     return (
-        selected.agg(F.count(F.lit(1)).alias("selected_rows"))
+        eligible.agg(F.count(F.lit(1)).alias("eligible_rows"))
+        .withColumn("selected_rows", size(selected))
         .withColumn("requested_candidates", F.col("selected_rows") * len(dimensions))
-        .withColumn("total_output_rows", admitted.agg(F.count(F.lit(1))).scalar())
-        .withColumn("failed_roots", errors.agg(F.count(F.lit(1))).scalar())
-        .withColumn("terminal_roots", terminal_roots(errors).agg(F.count(F.lit(1))).scalar())
+        .withColumn("skipped_candidates", F.col("requested_candidates") - size(still_open))
+        .withColumn("total_output_rows", size(admitted))
+        .withColumn("failed_roots", size(errors))
+        .withColumn("terminal_roots", size(terminal_roots(errors)))
     )

@@ -375,13 +375,19 @@ def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("F44", "WITH " + LEAKS + """
-SELECT (SELECT count(*) FROM documents) AS selected_rows, 3 * (SELECT count(*) FROM documents) AS requested_candidates,
+SELECT (SELECT count(*) FROM documents) AS eligible_rows, (SELECT count(*) FROM documents WHERE lang = 'en') AS selected_rows,
+       3 * (SELECT count(*) FROM documents WHERE lang = 'en') AS requested_candidates,
+       3 * (SELECT count(*) FROM documents WHERE lang = 'en')
+         - (SELECT count(*) FROM candidates c JOIN documents d ON c.doc_id = d.doc_id WHERE d.lang = 'en'
+              AND c.id NOT IN (SELECT id FROM done) AND c.root_id NOT IN (SELECT root_id FROM leaks)) AS skipped_candidates,
        (SELECT count(*) FROM done) AS total_output_rows, count(*) AS failed_roots, count(DISTINCT root_id) AS terminal_roots
 FROM leaks""")
 def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected = bridge.table(spark, sf_dir, "documents").select("doc_id")
+    docs = bridge.table(spark, sf_dir, "documents")
+    selected = docs.filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("root_id"))
     done = bridge.candidates(spark, sf_dir).filter(F.length("subproblem") > 60).select("id")
-    return ad.generation_summary(selected, done, _errors(spark, sf_dir))
+    errors = _errors(spark, sf_dir)
+    return ad.generation_summary(docs, selected, done, errors, ad.open_requests(selected, done, errors))
 
 
 @query("F44, B28", "WITH " + LEAKS + "SELECT 'ValueError' AS reason, count(*) AS roots FROM leaks")

@@ -334,3 +334,12 @@ def test_usage_counts_one_response_once(spark):
     rows = [("r", {"total": 5}, 1), ("r", {"total": 5}, 2), ("s", {"total": 7}, 3)]
     df = spark.createDataFrame(rows, "root_id string, usage map<string,bigint>, log_pos bigint")
     assert ad.usage_totals(df).first()["total"] == 12
+
+
+def test_probe_rows_sample_and_error(spark):
+    rows = problems(spark, 6).withColumn("accuracy", (F.col("log_pos") % 2).cast("double"))
+    drawn, eligible = ad.probe_rows(rows, limit=2, seed=1, max_source_accuracy=0.5)
+    assert eligible == 3 and drawn.count() == 2 and {r["accuracy"] for r in drawn.collect()} == {0.0}
+    assert ad.probe_rows(rows.drop("accuracy"), 99, 1, 0.5)[0].count() == 6
+    with pytest.raises(ValueError, match="no rows remain"):
+        ad.probe_rows(rows, 2, 1, -1.0)
