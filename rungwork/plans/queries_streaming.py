@@ -19,10 +19,7 @@ from rungwork.streaming import calibration_stream as cs
 
 
 def _work_folder(spark: SparkSession) -> str:
-    folder = checkpoint_folder(spark)
-    if folder is None:
-        raise ValueError("streaming queries need spark.checkpoint.dir")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

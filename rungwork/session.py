@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,15 +31,20 @@ def build_session(cpus: int | str = 8, app_name: str = "rungwork") -> SparkSessi
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
+def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master (tests, benchmark) falls back to a temporary folder of its own;
-    on a cluster an unset setting means that lineage is not cut.
+    Where it is unset, a local master (tests, benchmark) gets one temporary folder for the whole
+    session, removed at exit; on a cluster that is an error, since executors share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="rungwork-checkpoint-")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="rungwork-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -45,12 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
     A written table survives lost executors, is read column by column, and gives the
-    planner its true size. Without a known folder the plan is returned unchanged.
+    planner its true size.
     """
     spark = df.sparkSession
-    folder = checkpoint_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/rungwork-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/rungwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
