@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import bpe_matrix, source_mix, toxicity_pu
+from rungwork.llm import bpe_matrix, source_mix, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_warc", warc_merge.SQL)
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no capture time: page numbers stand for seconds.
+    captured = F.lit(1_700_000_000) + F.col("page_id")
+    pages = table(spark, sf_dir, "pages").withColumn("captured", captured)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc_merge.capture_histories(pages).select(columns)
+
+
 @query("op4_mix", source_mix.SQL)
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
