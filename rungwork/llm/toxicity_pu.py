@@ -84,14 +84,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float, fit: Fit = Fit()) -> Model:
+def train(positive: list, unlabelled: list, prior: float, fit: Fit = Fit()) -> Model:
     """Non-negative PU training with logistic loss, by descent with momentum on features scaled by their log ratio."""
     size = 1 << BITS
     if not positive or not unlabelled:
         return Model({}, -np.inf, prior)
     rows = positive + unlabelled
     indptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    indices = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(indptr[-1]))
+    indices = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows])
     split = indptr[len(positive)]
 
     in_pos, in_unl = (np.bincount(part, minlength=size) for part in (indices[:split], indices[split:]))
@@ -102,7 +102,7 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float,
     ratio = np.log((in_pos / n_pos + pooled) / (in_unl / n_unl + pooled))
     ratio = np.where(certain & (gap > 0), ratio, 0.0)  # only evidence for toxicity, so length is none against it
     chosen = ratio[indices] > 0  # the other features never change a margin
-    owner, columns = np.repeat(np.arange(len(rows)), np.diff(indptr))[chosen], indices[chosen]
+    owner, columns = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(indptr))[chosen], indices[chosen]
     scaled = ratio[columns]
     is_pos = np.arange(len(rows)) < n_pos
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
@@ -124,7 +124,7 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float,
     return Model(dict(zip(found.tolist(), (w * ratio)[found].tolist())), float(b), prior)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list[list[int]], list[list[int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list[np.ndarray], list[np.ndarray], float]:
     """Features of the bounded samples, and the share of toxic rows among the labelled ones."""
     known = (
         labels.select(F.col("doc_id").alias("id"), "toxic")
@@ -139,20 +139,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list[li
     every = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     order = F.xxhash64("id", F.coalesce("text", F.lit("")))
 
-    def first(rows: DataFrame, n: int) -> list[list[int]]:
+    def first(rows: DataFrame, n: int) -> list[np.ndarray]:
         """The first ``n`` rows by hash; ids first, so that only chosen texts are moved."""
         ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)  # n ids at most
         picked = every.join(F.broadcast(ids), "id", "left_semi").orderBy(order, "id").limit(n).select("text")
-        made = picked.mapInArrow(_feature_rows, "f array<int>")
-        return [row.f for row in made.toLocalIterator()]
+        made = picked.mapInArrow(_feature_rows, "f binary")
+        return [np.frombuffer(row.f, dtype=np.int32) for row in made.toLocalIterator()]
 
     return first(known.where("toxic = 1"), fit.positives), first(every, fit.unlabelled), prior
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["f"])
+        rows = [np.array(features(t.as_py()), dtype=np.int32).tobytes() for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["f"])
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
