@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import bpe_matrix, ngram_jaccard, source_mix, toxicity_pu, warc_merge
+from rungwork.llm import bpe_matrix, embedding_itq, ngram_jaccard, source_mix, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_itq")
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_ngram_jaccard")
 def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
