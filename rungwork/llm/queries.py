@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import bpe_matrix, embedding_itq, ngram_jaccard, source_mix, toxicity_pu, warc_merge
+from rungwork.llm import bpe_matrix, embedding_itq, line_chunks, ngram_jaccard, run_length_dedup, source_mix, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,16 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query("op5_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_line_dedup", line_chunks.SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
 @query("op7_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
