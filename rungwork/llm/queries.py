@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import bpe_matrix, embedding_itq, line_chunks, ngram_jaccard, run_length_dedup, source_mix, toxicity_pu, warc_merge
+from rungwork.llm import bpe_matrix, embedding_itq, iblt_fingerprint, line_chunks, ngram_jaccard, run_length_dedup, source_mix, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -77,3 +77,8 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(RANKS)
     return bpe_matrix.encode(docs, path, public_tokenizers.PATTERN, keep_ids=False).drop("text")
+
+
+@query("op9_fingerprint")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt_fingerprint.compare_versions(table(spark, sf_dir, "documents"))
