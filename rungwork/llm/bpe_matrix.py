@@ -321,25 +321,26 @@ def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 2_000_000
             start, size = i + 1, 0
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "", keep_ids: bool = True) -> DataFrame:
-    """Add ``ids`` (unless ``keep_ids`` is false), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "", keep_ids: bool = True, digests: bool = True) -> DataFrame:
+    """Add ``ids`` (unless ``keep_ids`` is false) and, with ``digests``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
     ``ids_sha256`` is over the decimal ids joined by one space, ``decoded_sha256`` over the bytes
     that the ids decode to. Works row by row, without a shuffle.
     """
-    names = [f"{out}{n}" for n in (["ids"] if keep_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]]
+    names = [f"{out}{n}" for n in ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256"] * digests]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; choose another out=")
-    kinds = ([T.ArrayType(T.IntegerType())] if keep_ids else []) + [T.LongType(), T.StringType(), T.StringType()]
+    kinds = [T.ArrayType(T.IntegerType())] * keep_ids + [T.LongType(), T.StringType(), T.StringType()] * digests
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for whole in batches:
             for batch, texts in _text_groups(whole, text):
-                counts, digests, decoded = zip(*encoder.digests(texts))
                 more = [pa.array(list(encoder.encode(texts)), pa.list_(pa.int32()))] if keep_ids else []
-                more += [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                if digests:
+                    found = zip(*encoder.digests(texts))
+                    more += [pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import bpe_matrix, embedding_itq, iblt_fingerprint, line_chunks, ngram_jaccard, run_length_dedup, source_mix, toxicity_pu, warc_merge
+from rungwork.llm import bpe_matrix, embedding_itq, iblt_fingerprint, line_chunks, ngram_jaccard, packing, run_length_dedup, source_mix, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -82,3 +82,11 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_fingerprint")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt_fingerprint.compare_versions(table(spark, sf_dir, "documents"))
+
+
+@query("op10_packing")
+def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_matrix.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=False)
+    free = 50_256  # the first id behind the ranks: ends documents and fills rows
+    return packing.summary(packing.write_packed(ids, length=4096, end_id=free, pad_id=free))
