@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +91,6 @@ def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe_matrix.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=False)
     free = 50_256  # the first id behind the ranks: ends documents and fills rows
     return packing.summary(packing.write_packed(ids, length=4096, end_id=free, pad_id=free))
+
+
+QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

@@ -64,7 +64,8 @@ def source_targets(sizes: DataFrame, budget: float, most: float, weights: Sequen
         weighed.withColumn("cut", full / F.col("weight"))
         .withColumn("level", (F.lit(budget) * F.sum("source_size").over(everything) - F.coalesce(F.sum(full).over(before), F.lit(0.0))) / F.sum("weight").over(onward))
     )
-    level = F.min(F.when(F.col("level") <= F.col("cut"), F.col("level"))).over(everything)
+    # Past the first source that keeps below its bound, levels only fall.
+    level = F.max(F.when(F.col("level") <= F.col("cut"), F.col("level"))).over(everything)
     target = F.least(full, F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
     return levels.select("source", "source_size", "docs", target.alias("target"))
 
@@ -133,7 +134,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     copies = taken.where("taken > 0").withColumn("share", F.explode(shares))
     first = F.array_join(F.slice(F.regexp_extract_all("in_text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("share").cast("int")), "")
     text = F.when(F.col("share") == size, F.col("in_text")).otherwise(first)
-    return copies.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(f"in_{c}")).alias(c) for c in columns])
+    shown = {"text": text}
+    if "n_chars" in columns:  # follows a text that was cut
+        shown["n_chars"] = F.when(F.col("share") == size, F.col("in_n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[shown.get(c, F.col(f"in_{c}")).alias(c) for c in columns])
 
 
 SQL = """
@@ -147,7 +151,7 @@ w AS (SELECT *, ([3.0, 1.0, 2.0])[((turn - 1) % 3 + 1)::INT]::DOUBLE AS weight F
 c AS (SELECT *, 2.0::DOUBLE * source_size / weight AS cut FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY cut, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / sum(weight) OVER (ORDER BY cut, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, min(CASE WHEN level <= cut THEN level END) OVER () * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, max(CASE WHEN level <= cut THEN level END) OVER () * weight) AS target FROM l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
