@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rungwork.functions import text as tx
 from rungwork.plans.ranking import hash_rank
 
-GENERATED = "struct<subproblem:string,answer:string,relation:string,source_step:string,verification:string>"
 
 
 def key_problems(problems: DataFrame) -> DataFrame:
@@ -173,26 +172,35 @@ def admit_candidates(
     unknown = set(dimensions) - set(tx.DIMENSIONS)
     if unknown or not dimensions:
         raise ValueError(f"dimensions must be a non-empty subset of {tx.DIMENSIONS}")
-    shape = f"struct<candidates:map<string,{GENERATED}>>"
-    parsed = responses.withColumn("__set", F.from_json(content, shape)["candidates"])
+    # Inside a list the parser also refuses text behind the object.
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col(content), F.lit("]")))
+    alone = F.try_variant_get("__all", "$[1]", "variant").isNull() & F.rtrim(content).endswith("}")
+    parsed = responses.withColumn("__all", whole).withColumn("__json", F.when(alone, F.col("__all")))
+    parsed = parsed.withColumn("__set", F.try_variant_get("__json", "$[0].candidates", "map<string,variant>"))
     wanted = F.array(*[F.lit(d) for d in dimensions])
     absent = F.array_except(wanted, F.map_keys("__set"))
 
     def clean(dimension: str) -> Column:
-        entry = F.try_element_at("__set", F.lit(dimension))
+        path = f"$[0].candidates.{dimension}"
+
+        def as_text(name: str) -> Column:  # the items of a list become lines
+            items = F.try_variant_get("__json", f"{path}.{name}", "array<string>")
+            lines = F.array_join(F.filter(items, lambda x: tx.strip(x) != ""), "\n")
+            return tx.strip(F.coalesce(lines, F.try_variant_get("__json", f"{path}.{name}", "string"), F.lit("")))
+
+        kind = F.schema_of_variant(F.try_variant_get("__json", path, "variant"))
         return F.struct(
             F.lit(dimension).alias("dimension"),
-            *[
-                tx.strip(F.coalesce(entry[f], F.lit(""))).alias(f)
-                for f in ("subproblem", "answer", "relation", "source_step", "verification")
-            ],
+            F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_object"),
+            *[as_text(f).alias(f) for f in ("subproblem", "answer", "relation", "source_step", "verification")],
         )
 
     secret = tx.answer_key("reference")
 
     def broken(e: Column) -> Column:
         return (
-            F.when((e["subproblem"] == "") | (e["answer"] == ""), "empty subproblem or answer")
+            F.when(~e["is_object"], "response is not a JSON object")
+            .when((e["subproblem"] == "") | (e["answer"] == ""), "empty subproblem or answer")
             .when(F.length(e["subproblem"]) > tx.MAX_SUBPROBLEM_CHARS, "subproblem is too long")
             .when(F.length(e["answer"]) > tx.MAX_ANSWER_CHARS, "answer is too long")
             .when(F.length(e["verification"]) > tx.MAX_VERIFICATION_CHARS, "verification is too long")
@@ -214,7 +222,8 @@ def admit_candidates(
     checked = parsed.withColumn("__j", F.get(F.transform(F.array(entries), judged), F.lit(0)))
     missing = F.concat(F.lit("response is missing candidate dimensions: "), F.array_join(absent, ", "))
     reason = (
-        F.when(F.col("__set").isNull(), F.lit("response does not contain a candidates JSON object"))
+        F.when(F.col("__json").isNull(), F.lit("response is not valid JSON"))
+        .when(F.col("__set").isNull(), F.lit("response does not contain a candidates JSON object"))
         .when(F.size(absent) > 0, missing)
         .otherwise(F.col("__j.reason"))
     )

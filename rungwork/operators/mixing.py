@@ -69,9 +69,10 @@ def unmatched_candidates(problems: DataFrame, candidates: DataFrame) -> DataFram
 def subproblem_row(root: str = "root", cand: str = "cand", fields: list[str] | None = None) -> Column:
     """The root's row rewritten to ask the candidate's subproblem instead."""
     r, c = F.col(root), F.col(cand)
-    reward = F.struct(
-        tx.unboxed(c["subproblem_answer"]).alias("ground_truth"),
-        F.coalesce(r["reward_model"]["style"], F.lit("rule")).alias("style"),
+    reward = (
+        r["reward_model"]
+        .withField("ground_truth", tx.unboxed(c["subproblem_answer"]))
+        .withField("style", F.coalesce(r["reward_model"]["style"], F.lit("rule")))
     )
     extra = _extra(
         r["extra_info"],
@@ -92,6 +93,7 @@ def subproblem_row(root: str = "root", cand: str = "cand", fields: list[str] | N
         "solution": F.lit(None).cast("string"),
         "model_think": F.lit(None).cast("string"),
         "model_answer": F.lit(None).cast("string"),
+        "parsed_output": F.when(F.lit(False), r["parsed_output"]),  # null of the column's type, if there
         "accuracy": F.lit(0.0),
     }
     return F.struct(*[changed.get(f, r[f]).alias(f) for f in fields])
@@ -158,10 +160,11 @@ def _with_plan(fields: list[str], plan: Column, extra: Column) -> Column:
 def plan_decorated_roots(problems: DataFrame, candidates: DataFrame) -> DataFrame:
     """Each matched root with its candidate's plan as only hint, plus its decision.
 
-    A question with several candidates is decorated, for each of its pairs, with the
-    last one of the log.
+    Only trainable candidates make pairs. A question with several candidates is decorated,
+    for each of its pairs, with the last one of the log, trainable or not.
     """
-    matched = match_candidates(problems, candidates)
+    paired = candidates.filter(F.coalesce("trainable", F.lit(True))) if "trainable" in candidates.columns else candidates
+    matched = match_candidates(problems, paired)
     last = last_by(
         candidates.select(tx.question_key("question").alias("question_key"), F.struct(*candidates.columns).alias("pick"), "log_pos"),
         ["question_key"],

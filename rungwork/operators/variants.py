@@ -253,8 +253,8 @@ def random_choice(labels: tuple[str, ...], seed: int, *keys: Column) -> Column:
 def assign_conditions(jobs: DataFrame, seed: int, selector_text: str | None = None) -> DataFrame:
     """Random bit and action per job; with a selector output also its parsed action."""
     keys = (F.col("id"), F.col("sample_index"))
-    out = jobs.withColumn("random_bit", random_choice(("YES", "NO"), seed, *keys)).withColumn(
-        "random_action", random_choice(tx.ACTIONS, seed, *keys)
+    out = jobs.withColumn("random_bit", random_choice(("YES", "NO"), seed, F.lit("bit"), *keys)).withColumn(
+        "random_action", random_choice(tx.ACTIONS, seed, F.lit("action"), *keys)
     )
     if selector_text is None:
         return out

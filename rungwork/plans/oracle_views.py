@@ -71,31 +71,50 @@ variants AS (
   FROM events
 )"""
 
+
+def dealt(turn: str, text: str = "text") -> str:
+    """Every third sentence, from the turn on."""
+    return f"array_to_string(list_filter(string_split({text}, '.'), lambda x, i: (i - 1) % 3 = {turn}), '.')"
+
+
+def dealt_parts(turn: int) -> str:
+    return f"list_filter(string_split(text, '.'), lambda x, i: (i - 1) % 3 = {turn})"
+
+
 CANDIDATES = (
     DIMENSION_ROWS
-    + """,
+    + f""",
+cut AS (
+  SELECT *, {dealt('pos - 1')} AS subproblem, {dealt('pos % 3')} AS source_step FROM documents CROSS JOIN dims
+),
 candidates AS (
   SELECT concat(CAST(doc_id AS VARCHAR), '::', dimension) AS id, CAST(doc_id AS VARCHAR) AS root_id, dimension,
-         source AS source_id, text AS question, split_part(text, ' ', 3) AS reference,
-         split_part(text, '.', pos) AS subproblem, split_part(text, ' ', pos + 4) AS subproblem_answer,
-         '' AS relation, split_part(text, '.', pos + 1) AS source_step,
-         CAST(length(split_part(text, '.', pos)) AS BIGINT) AS support_tokens,
+         source AS source_id, text AS question, split_part(text, ' ', -1) AS reference, subproblem,
+         CASE WHEN doc_id % 4 = 1 THEN concat('\\boxed{{', split_part(subproblem, ' ', -1), '}}')
+              ELSE split_part(subproblem, ' ', -1) END AS subproblem_answer,
+         '' AS relation, source_step, CAST(length(subproblem) AS BIGINT) AS support_tokens,
          doc_id * 3 + pos AS log_pos, pos, doc_id
-  FROM documents CROSS JOIN dims
+  FROM cut
 )"""
 )
 
-PROBLEMS = """
+PROBLEMS = f"""
 problems AS (
-  SELECT source AS id, text AS question, split_part(text, ' ', 3) AS ground_truth,
+  SELECT source AS id, text AS question, split_part(text, ' ', -1) AS ground_truth,
          CASE WHEN lang = 'en' THEN concat(source, '::verifiable_subproblem') ELSE source END AS data_source,
-         list_value(split_part(text, '.', 1), split_part(text, '.', 2)) AS knowledge_parts,
-         list_value(split_part(text, '.', 2), split_part(text, '.', 3), split_part(text, '.', 4)) AS planning_parts,
-         list_value(split_part(text, '.', 4)) AS solution_parts,
+         {dealt_parts(0)} AS knowledge_parts, {dealt_parts(1)} AS planning_parts, list_value({dealt('2')}) AS solution_parts,
          CAST(1 - quality AS DOUBLE) AS accuracy, documents.doc_id AS log_pos
   FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id
 )"""
 
+# a third of the turns end with an action word; the others are whole texts as they are
+CONVERSATION_ACTIONS = r"""
+actions AS (
+  SELECT conv_id, turn, nullif(regexp_extract(upper(CASE turn % 3 WHEN 0 THEN concat(text, ' -> planning') ELSE text END),
+           '(?:^|[^\p{L}\p{N}_])(NONE|KNOWLEDGE|PLANNING|STEP)(?:[^\p{L}\p{N}_]|$)', 1), '') AS action
+  FROM conversations
+)"""
+
 EVAL_SCORES = """
 eval_scores AS (
   SELECT n_name AS dataset, o_orderpriority AS method,

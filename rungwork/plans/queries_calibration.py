@@ -331,7 +331,7 @@ owners AS (
          arg_max(first_pos, ROW(records, -first_pos, -shard)) AS first_pos
   FROM history GROUP BY root_id
 ),
-eligible AS (SELECT CAST(c_custkey AS VARCHAR) AS root_id FROM customer WHERE c_acctbal > 0),
+eligible AS (SELECT CAST(c_custkey AS VARCHAR) AS root_id FROM customer),
 ranked AS (
   SELECT o.*, row_number() OVER (PARTITION BY shard_index ORDER BY first_pos) AS place
   FROM owners o SEMI JOIN eligible e ON o.root_id = e.root_id
@@ -356,7 +356,7 @@ manifest AS (
 
 
 def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = bridge.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
+    customers = bridge.table(spark, sf_dir, "customer")
     return customers.select(F.col("c_custkey").cast("string").alias("root_id"))
 
 
@@ -389,9 +389,8 @@ def round_robin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("E2, F35", PLANS + f"""
 SELECT root_id, min(log_pos) AS first_pos FROM plans
 WHERE minimal_plan <> '' AND {ov.question_key('question')} IN (
-  SELECT {ov.question_key('text')} FROM documents WHERE lang = 'en')
+  SELECT {ov.question_key('text')} FROM documents)
 GROUP BY root_id""")
 def eligible_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = bridge.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    problems = english.select(F.col("text").alias("question"))
+    problems = bridge.table(spark, sf_dir, "documents").select(F.col("text").alias("question"))
     return sh.eligible_roots(bridge.candidates(spark, sf_dir), problems)

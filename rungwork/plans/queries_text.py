@@ -199,23 +199,21 @@ def numeric_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.grade_rollouts(rows).select("event_id", "correct")
 
 
-# every turn rewritten as one of the reply styles a teacher may use
-REPLY = r"""
+# every whole turn rewritten as one of the reply styles a teacher may use
+T0, T1, T2, LAST = ov.dealt("0"), ov.dealt("1"), ov.dealt("2"), "split_part(text, ' ', -1)"
+REPLY = rf"""
 replies AS (
-  SELECT conv_id, turn, role, split_part(text, ' ', 3) AS reference,
+  SELECT conv_id, turn, role, {LAST} AS reference, {T0} AS t0, {LAST} AS t9,
          CASE turn % 4
-           WHEN 0 THEN concat('<State> ', split_part(text, '.', 1), ' </state><SUBPROBLEM>', split_part(text, '.', 2), ' </Subproblem> <answer>', split_part(text, ' ', 3), '</answer> <verify>', split_part(text, '.', 3), '</verify> yes')
-           WHEN 1 THEN concat('Here: {"question": ', to_json(split_part(text, '.', 1)), ', "target": ', to_json(split_part(text, ' ', 2)), '} planning')
-           WHEN 2 THEN concat('Question: ', replace(split_part(text, '.', 1), chr(10), ' '), chr(10), 'Answer: ', replace(split_part(text, ' ', 2), chr(10), ' '), chr(10), 'no')
+           WHEN 0 THEN concat('<State> ', {T0}, ' </state><SUBPROBLEM>', {T1}, ' </Subproblem> <answer>', {LAST}, '</answer> <verify>', {T2}, '</verify> yes')
+           WHEN 1 THEN concat('Here: {{"question": ', to_json({T0}), ', "target": ', to_json({LAST}), '}} planning')
+           WHEN 2 THEN concat('Question: ', replace({T0}, chr(10), ' '), chr(10), 'Answer: ', replace({LAST}, chr(10), ' '), chr(10), 'no')
            ELSE text END AS t
   FROM conversations
 )"""
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def cell(delimiter: str, n: int) -> Column:
-        return bridge.field("text", delimiter, n)
-
     def as_json(value: Column) -> Column:
         return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
@@ -223,20 +221,18 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.replace(value, F.lit("\n"), F.lit(" "))
 
     style = F.col("turn") % 4
+    state, sub, verify = (bridge.dealt("text", k) for k in range(3))
+    last = bridge.last_word("text")
     tagged = F.concat(
-        F.lit("<State> "), cell(".", 1), F.lit(" </state><SUBPROBLEM>"), cell(".", 2),
-        F.lit(" </Subproblem> <answer>"), cell(" ", 3), F.lit("</answer> <verify>"), cell(".", 3), F.lit("</verify> yes"),
-    )
-    json = F.concat(
-        F.lit('Here: {"question": '), as_json(cell(".", 1)), F.lit(', "target": '), as_json(cell(" ", 2)), F.lit("} planning")
-    )
-    lines = F.concat(
-        F.lit("Question: "), one_line(cell(".", 1)), F.lit("\nAnswer: "), one_line(cell(" ", 2)), F.lit("\nno")
+        F.lit("<State> "), state, F.lit(" </state><SUBPROBLEM>"), sub,
+        F.lit(" </Subproblem> <answer>"), last, F.lit("</answer> <verify>"), verify, F.lit("</verify> yes"),
     )
+    json = F.concat(F.lit('Here: {"question": '), as_json(state), F.lit(', "target": '), as_json(last), F.lit("} planning"))
+    lines = F.concat(F.lit("Question: "), one_line(state), F.lit("\nAnswer: "), one_line(last), F.lit("\nno"))
     return bridge.table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
-        cell(" ", 3).alias("reference"),
+        last.alias("reference"),
         F.when(style == 0, tagged).when(style == 1, json).when(style == 2, lines).otherwise(F.col("text")).alias("t"),
     )
 
@@ -244,13 +240,12 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("B20-B23", "WITH " + REPLY + f""",
 found AS (
   SELECT *, CASE turn % 4 WHEN 0 THEN {ov.collapse("regexp_extract(t, '<subproblem>(.*?)</subproblem>', 1, 'is')")}
-                 WHEN 1 THEN {ov.collapse("t1")} WHEN 2 THEN {ov.collapse("t1")} ELSE '' END AS q,
+                 WHEN 1 THEN {ov.collapse("t0")} WHEN 2 THEN {ov.collapse("t0")} ELSE '' END AS q,
          CASE turn % 4 WHEN 0 THEN {ov.collapse("regexp_extract(t, '<answer>(.*?)</answer>', 1, 'is')")}
-                 WHEN 1 THEN {ov.collapse("t2")} WHEN 2 THEN {ov.collapse("t2")} ELSE '' END AS a,
+                 WHEN 1 THEN {ov.collapse("t9")} WHEN 2 THEN {ov.collapse("t9")} ELSE '' END AS a,
          {ov.collapse("regexp_extract(t, '<state>(.*?)</state>', 1, 'is')")} AS tentative_state,
          coalesce(nullif({ov.collapse("regexp_extract(t, '<verify>(.*?)</verify>', 1, 'is')")}, ''), '{tx.DEFAULT_VERIFICATION}') AS v
-  FROM (SELECT r.*, split_part(c.text, '.', 1) AS t1, split_part(c.text, ' ', 2) AS t2
-        FROM replies r JOIN conversations c ON r.conv_id = c.conv_id AND r.turn = c.turn) s
+  FROM replies
 )
 SELECT conv_id, turn, CASE WHEN q <> '' AND a <> '' THEN q END AS subproblem,
        CASE WHEN q <> '' AND a <> '' THEN a END AS subproblem_answer, tentative_state,
@@ -284,48 +279,59 @@ def reply_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", "oracle_answer", "action")
 
 
-# structured responses built from documents; some break a rule
-RESPONSE = """
+# structured responses built from whole documents; some break a rule
+RESPONSE = f"""
 responses AS (
-  SELECT doc_id, split_part(text, ' ', 3) AS reference, split_part(text, '.', 1) AS k, split_part(text, '.', 2) AS p, split_part(text, '.', 3) AS c,
-         split_part(text, ' ', 2) AS a, text
+  SELECT doc_id, split_part(text, ' ', -1) AS reference, {T0} AS k, {T1} AS p, {T2} AS c,
+         concat(split_part({T0}, ' ', -1), CASE WHEN doc_id % 7 = 2 AND doc_id % 5 <> 0 THEN concat(chr(10), 'second') ELSE '' END) AS a, text
   FROM documents
 )"""
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def entry(sub: Column) -> Column:
+    """Kinds by id: a missing dimension, no JSON, text behind the JSON, single quotes, a bare string; list answers."""
+    k, p, c = (bridge.dealt("text", i) for i in range(3))
+
+    def entry(sub: Column, answer: Column) -> Column:
         return F.struct(
             sub.alias("subproblem"),
-            bridge.field("text", " ", 2).alias("answer"),
+            answer.alias("answer"),
             F.lit("r").alias("relation"),
             F.lit(" s ").alias("source_step"),
             F.col("text").alias("verification"),
         )
 
-    full = F.struct(
-        F.struct(
-            entry(bridge.field("text", ".", 1)).alias("knowledge"),
-            entry(bridge.field("text", ".", 2)).alias("planning"),
-            entry(bridge.field("text", ".", 3)).alias("calculation"),
-        ).alias("candidates")
-    )
-    partial = F.struct(F.struct(entry(bridge.field("text", ".", 1)).alias("knowledge")).alias("candidates"))
-    kind = F.col("doc_id") % 5
-    content = F.when(kind == 0, F.to_json(partial)).when(kind == 1, F.lit("not json")).otherwise(F.to_json(full))
-    return bridge.table(spark, sf_dir, "documents").select(
-        "doc_id", bridge.field("text", " ", 3).alias("reference"), content.alias("content")
+    def full(answer: Column) -> Column:
+        entries = F.struct(entry(k, answer).alias("knowledge"), entry(p, answer).alias("planning"), entry(c, answer).alias("calculation"))
+        return F.to_json(F.struct(entries.alias("candidates")))
+
+    last = bridge.last_word(k)
+    listed = full(F.array(last, F.lit(" "), F.lit("second")))
+    partial = F.to_json(F.struct(F.struct(entry(k, last).alias("knowledge")).alias("candidates")))
+    bare = F.to_json(F.struct(F.struct(k.alias("knowledge"), p.alias("planning"), c.alias("calculation")).alias("candidates")))
+    kind = F.col("doc_id") % 20
+    content = (
+        F.when(kind % 5 == 0, partial)
+        .when(kind == 1, F.lit("not json"))
+        .when(kind == 6, F.concat(full(last), F.lit(" trailing")))
+        .when(kind == 11, F.lit("{'candidates': {}}"))
+        .when(kind == 16, bare)
+        .when(F.col("doc_id") % 7 == 2, listed)
+        .otherwise(full(last))
     )
+    return bridge.table(spark, sf_dir, "documents").select("doc_id", bridge.last_word("text").alias("reference"), content.alias("content"))
 
 
 @query("B26-B28", "WITH " + RESPONSE + f""",
 clean AS (
-  SELECT doc_id, reference, {strip('k')} AS k, {strip('p')} AS p, {strip('c')} AS c, {strip('a')} AS a, {strip('text')} AS v FROM responses
+  SELECT doc_id, reference, {strip('k')} AS k, {strip('p')} AS p, {strip('c')} AS c, {strip('a')} AS a, {strip('text')} AS v,
+         doc_id % 20 IN (1, 6, 11) AS no_json, doc_id % 20 = 16 AS bare, doc_id % 5 = 0 AS part FROM responses
 ),
 judged AS (
   SELECT *, CASE
-    WHEN doc_id % 5 = 1 THEN 'response does not contain a candidates JSON object'
-    WHEN doc_id % 5 = 0 THEN 'response is missing candidate dimensions: planning, calculation'
+    WHEN no_json THEN 'response is not valid JSON'
+    WHEN part THEN 'response is missing candidate dimensions: planning, calculation'
+    WHEN bare THEN 'response is not a JSON object'
     ELSE coalesce(
       CASE WHEN k = '' OR a = '' THEN 'empty subproblem or answer' WHEN length(k) > 1200 THEN 'subproblem is too long'
            WHEN length(a) > 400 THEN 'answer is too long' WHEN length(v) > 2000 THEN 'verification is too long' END,
@@ -337,13 +343,14 @@ judged AS (
     END AS reject_reason
   FROM clean
 )
-SELECT doc_id, d.dimension, CASE WHEN doc_id % 5 = 1 OR (doc_id % 5 = 0 AND d.dimension <> 'knowledge') THEN '' ELSE
+SELECT doc_id, d.dimension, CASE WHEN no_json OR bare OR (part AND d.dimension <> 'knowledge') THEN '' ELSE
          CASE d.dimension WHEN 'knowledge' THEN k WHEN 'planning' THEN p ELSE c END END AS subproblem,
+       CASE WHEN no_json OR bare OR (part AND d.dimension <> 'knowledge') THEN '' ELSE a END AS answer,
        reject_reason, coalesce(reject_reason LIKE '%equals the original final answer', false) AS terminal
 FROM judged CROSS JOIN (VALUES ('knowledge'), ('planning'), ('calculation')) d(dimension)""")
 def admit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     admitted = ad.admit_candidates(_responses(spark, sf_dir))
-    return admitted.select("doc_id", "dimension", "subproblem", "reject_reason", "terminal")
+    return admitted.select("doc_id", "dimension", "subproblem", F.col("subproblem_answer").alias("answer"), "reject_reason", "terminal")
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +367,7 @@ leaks AS (
   SELECT * FROM candidates WHERE {ov.answer_key('subproblem_answer')} = {ov.answer_key('reference')}
      OR {ov.answer_key('subproblem')} = {ov.answer_key('reference')}
 ),
-done AS (SELECT id FROM candidates WHERE length(subproblem) > 60)
+done AS (SELECT id FROM candidates WHERE length(subproblem) > 800)
 """
 
 
@@ -370,22 +377,21 @@ WHERE c.id NOT IN (SELECT id FROM done) AND c.root_id NOT IN (SELECT root_id FRO
 def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = bridge.candidates(spark, sf_dir)
     roots = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("root_id"))
-    done = candidates.filter(F.length("subproblem") > 60).select("id")
+    done = candidates.filter(F.length("subproblem") > 800).select("id")
     return ad.open_requests(roots, done, _errors(spark, sf_dir)).select("id", "root_id", "dimension")
 
 
 @query("F44", "WITH " + LEAKS + """
-SELECT (SELECT count(*) FROM documents) AS eligible_rows, (SELECT count(*) FROM documents WHERE lang = 'en') AS selected_rows,
-       3 * (SELECT count(*) FROM documents WHERE lang = 'en') AS requested_candidates,
-       3 * (SELECT count(*) FROM documents WHERE lang = 'en')
-         - (SELECT count(*) FROM candidates c JOIN documents d ON c.doc_id = d.doc_id WHERE d.lang = 'en'
-              AND c.id NOT IN (SELECT id FROM done) AND c.root_id NOT IN (SELECT root_id FROM leaks)) AS skipped_candidates,
+SELECT (SELECT count(*) FROM documents) AS eligible_rows, (SELECT count(*) FROM documents) AS selected_rows,
+       3 * (SELECT count(*) FROM documents) AS requested_candidates,
+       3 * (SELECT count(*) FROM documents)
+         - (SELECT count(*) FROM candidates c WHERE c.id NOT IN (SELECT id FROM done) AND c.root_id NOT IN (SELECT root_id FROM leaks)) AS skipped_candidates,
        (SELECT count(*) FROM done) AS total_output_rows, count(*) AS failed_roots, count(DISTINCT root_id) AS terminal_roots
 FROM leaks""")
 def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bridge.table(spark, sf_dir, "documents")
-    selected = docs.filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("root_id"))
-    done = bridge.candidates(spark, sf_dir).filter(F.length("subproblem") > 60).select("id")
+    selected = docs.select(F.col("doc_id").cast("string").alias("root_id"))
+    done = bridge.candidates(spark, sf_dir).filter(F.length("subproblem") > 800).select("id")
     errors = _errors(spark, sf_dir)
     return ad.generation_summary(docs, selected, done, errors, ad.open_requests(selected, done, errors))
 

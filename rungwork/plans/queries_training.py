@@ -44,13 +44,13 @@ scored AS (
 last_problem AS (
   SELECT * FROM (SELECT *, {ov.question_key('question')} AS question_key,
                         row_number() OVER (PARTITION BY {ov.question_key('question')} ORDER BY log_pos DESC) AS back
-                 FROM problems WHERE log_pos % 10 <> 3) p WHERE back = 1
+                 FROM problems) p WHERE back = 1
 )
 """
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.problems(spark, sf_dir).filter(F.col("log_pos") % 10 != 3)
+    return bridge.problems(spark, sf_dir)
 
 
 BARE = (
@@ -130,7 +130,8 @@ last_candidate AS (
 SELECT s.id AS candidate_id, c.root_id, s.question_key, round(c.q_no, 9) AS root_success,
        round(c.q_help, 9) AS selected_scaffold_success, c.id AS active_id, round(c.q_help - c.q_no, 9) AS gain_over_no_help,
        round(c.q_help - c.q_random, 9) AS gain_over_random, c.plan AS minimal_plan, c.plan AS planning_part
-FROM planned s JOIN last_problem p ON s.question_key = p.question_key JOIN last_candidate c ON c.question_key = s.question_key""")
+FROM planned s JOIN last_problem p ON s.question_key = p.question_key JOIN last_candidate c ON c.question_key = s.question_key
+WHERE s.trainable""")
 def plan_decorated_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.coalesce(
         F.nullif(tx.collapse("source_step"), F.lit("")), F.nullif(tx.collapse("subproblem"), F.lit("")), F.lit("")

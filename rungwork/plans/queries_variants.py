@@ -178,16 +178,34 @@ def relevance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BUCKET = "('0x' || substr({h}, 1, 8))::BIGINT"
-SEEDED = ov.seeded(42, "id", "CAST(sample_index AS VARCHAR)")
+KEYS = ("id", "CAST(sample_index AS VARCHAR)")
+BIT, ACTION = (BUCKET.format(h=ov.seeded(42, f"'{purpose}'", *KEYS)) for purpose in ("bit", "action"))
+DRAWN = ov.VARIANTS + f""",
+drawn AS (
+  SELECT id, sample_index, CASE {BIT} % 2 WHEN 0 THEN 'YES' ELSE 'NO' END AS random_bit,
+         CASE {ACTION} % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'KNOWLEDGE' WHEN 2 THEN 'PLANNING' ELSE 'STEP' END AS random_action
+  FROM (SELECT DISTINCT id, sample_index FROM variants) j
+)"""
 
 
-@query("D7, B23", "WITH " + ov.VARIANTS + f""",
-jobs AS (
-  SELECT DISTINCT id, sample_index, {BUCKET.format(h=SEEDED)} AS bucket FROM variants
-)
-SELECT id, sample_index, CASE bucket % 2 WHEN 0 THEN 'YES' ELSE 'NO' END AS random_bit,
-       CASE bucket % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'KNOWLEDGE' WHEN 2 THEN 'PLANNING' ELSE 'STEP' END AS random_action
-FROM jobs""")
+@query("D7", "WITH " + DRAWN + "SELECT random_bit, random_action, count(*) AS jobs FROM drawn GROUP BY ALL")
+def random_condition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight pairs of bit and action occur: the two draws are independent."""
+    jobs = bridge.variant_rollouts(spark, sf_dir).select("id", "sample_index").distinct()
+    return va.assign_conditions(jobs, seed=42).groupBy("random_bit", "random_action").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query("D7, B23", "WITH " + ov.CONVERSATION_ACTIONS + """
+SELECT conv_id AS id, turn AS sample_index, coalesce(action, 'NONE') AS policy_action, action IS NULL AS invalid_action FROM actions""")
+def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selector outputs = conversation turns; what names no action is invalid and falls back to none."""
+    jobs = bridge.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("id"), F.col("turn").alias("sample_index"), bridge.as_selector_output("turn", "text").alias("said")
+    )
+    return va.assign_conditions(jobs, seed=42, selector_text="said").select("id", "sample_index", "policy_action", "invalid_action")
+
+
+@query("D7, B23", "WITH " + DRAWN + "SELECT * FROM drawn")
 def random_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = bridge.variant_rollouts(spark, sf_dir).select("id", "sample_index").distinct()
     return va.assign_conditions(jobs, seed=42)

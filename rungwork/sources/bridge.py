@@ -13,26 +13,9 @@ from pyspark.sql import functions as F
 from rungwork.functions import text as tx
 
 
-SPREAD_KEYS = {
-    "lineitem": ("l_orderkey", "l_linenumber"),
-    "documents": ("doc_id",),
-    "conversations": ("conv_id", "turn"),
-    "embeddings": ("vec_id",),
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.
-
-    The large tables are spread by key when they arrive as fewer files than there are
-    cores, since one file of one row group would otherwise be worked by a single task.
-    A table of many files is read as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, *SPREAD_KEYS[name])
-    return df
+    """One driver table, as the scan splits it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +156,18 @@ def field(text: Column | str, delimiter: str, position: Column | int) -> Column:
     return F.split_part(tx.col(text), F.lit(delimiter), position)
 
 
+def dealt(text: Column | str, turn: Column | int) -> Column:
+    """Every third sentence of the whole text, from ``turn`` (0 to 2) on."""
+    sentences = F.split(tx.col(text), r"\.")
+    return F.array_join(F.filter(sentences, lambda x, i: i % 3 == turn), ".")
+
+
+def last_word(text: Column | str) -> Column:
+    return field(text, " ", -1)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root = document, one candidate per dimension, cut from its sentences and words."""
+    """Root = document, one candidate per dimension; all sentences are dealt to the three."""
     slots = F.array(
         *[F.struct(F.lit(d).alias("dimension"), F.lit(i + 1).alias("pos")) for i, d in enumerate(tx.DIMENSIONS)]
     )
@@ -182,51 +175,62 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "text", F.inline(slots).alias("dimension", "pos")
     )
     root = F.col("doc_id").cast("string")
-    return cut.select(
-        F.concat_ws("::", root, "dimension").alias("id"),
-        root.alias("root_id"),
-        "dimension",
-        F.col("source").alias("source_id"),
-        F.col("text").alias("question"),
-        field("text", " ", 3).alias("reference"),
-        field("text", ".", F.col("pos")).alias("subproblem"),
-        field("text", " ", F.col("pos") + 4).alias("subproblem_answer"),
-        F.lit("").alias("relation"),
-        field("text", ".", F.col("pos") + 1).alias("source_step"),
-        F.length(field("text", ".", F.col("pos"))).cast("long").alias("support_tokens"),
-        (F.col("doc_id") * 3 + F.col("pos")).alias("log_pos"),
+    return (
+        cut.withColumn("subproblem", dealt("text", F.col("pos") - 1))
+        .select(
+            F.concat_ws("::", root, "dimension").alias("id"),
+            root.alias("root_id"),
+            "dimension",
+            F.col("source").alias("source_id"),
+            F.col("text").alias("question"),
+            last_word("text").alias("reference"),
+            "subproblem",
+            # some answers come wrapped, as a generator may write them
+            F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\\boxed{"), last_word("subproblem"), F.lit("}")))
+            .otherwise(last_word("subproblem"))
+            .alias("subproblem_answer"),
+            F.lit("").alias("relation"),
+            dealt("text", F.col("pos") % 3).alias("source_step"),
+            F.length("subproblem").cast("long").alias("support_tokens"),
+            (F.col("doc_id") * 3 + F.col("pos")).alias("log_pos"),
+        )
     )
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; ``id`` = source, reused across rows."""
+    """One row per document; ``id`` = source, reused across rows; all sentences are dealt to the hint lists."""
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("label_doc"), (1 - F.col("quality")).cast("double").alias("accuracy")
     )
     docs = table(spark, sf_dir, "documents")
     joined = docs.join(labels, F.col("doc_id") == F.col("label_doc"), "left")
     message = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+
+    def parts(turn: int) -> Column:
+        return F.filter(F.split("text", r"\."), lambda x, i: i % 3 == turn)
+
     return joined.select(
         F.col("source").alias("id"),
         F.col("text").alias("question"),
         F.array(message).alias("prompt"),
-        F.struct(field("text", " ", 3).alias("ground_truth"), F.lit("rule").alias("style")).alias(
-            "reward_model"
-        ),
+        F.struct(last_word("text").alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
         F.when(F.col("lang") == "en", F.concat("source", F.lit(tx.LEGACY_SOURCE_SUFFIX)))
         .otherwise(F.col("source"))
         .alias("data_source"),
-        F.array(field("text", ".", 1), field("text", ".", 2)).alias("knowledge_components_parts"),
-        F.array(field("text", ".", 2), field("text", ".", 3), field("text", ".", 4)).alias(
-            "planning_skeleton_parts"
-        ),
-        F.array(field("text", ".", 4)).alias("solution_breakdown_parts"),
+        parts(0).alias("knowledge_components_parts"),
+        parts(1).alias("planning_skeleton_parts"),
+        F.array(dealt("text", 2)).alias("solution_breakdown_parts"),
         F.col("text").alias("solution"),
         "accuracy",
         F.col("doc_id").alias("log_pos"),
     )
 
 
+def as_selector_output(turn: Column | str, text: Column | str) -> Column:
+    """A third of the turns end with an action word; the others are whole texts as they are."""
+    return F.when(tx.col(turn) % 3 == 0, F.concat(tx.col(text), F.lit(" -> planning"))).otherwise(tx.col(text))
+
+
 def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dataset = nation, method = order priority, score = share of returned lines."""
     customer = table(spark, sf_dir, "customer")

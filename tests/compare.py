@@ -70,7 +70,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     path = f"/root/testdata/sf{sf}"
-    spark, con = build_session(8), duck(path)
+    spark, con = build_session(int(os.environ.get("CPUS", "8"))), duck(path)
     chosen = sys.argv[2:] or list(REGISTRY)
     bad = 0
     for name in chosen:
