@@ -49,7 +49,7 @@ def chunks(text: Column, spread: int = SPREAD) -> Column:
 
     def cut(lines: Column) -> Column:
         return once(
-            ends(F.transform(lines, hash_of)),
+            once(F.transform(lines, hash_of), ends),
             lambda e: F.transform(
                 F.sequence(F.lit(1), F.size(e) - 1),
                 lambda k: F.array_join(F.slice(lines, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1)), "\n"),
