@@ -309,7 +309,7 @@ def shard_merge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.overlapping_roots(sh.root_history(_shards(spark, sf_dir)))
 
 
-@query("F34, H8", "WITH " + ov.HELP_RESULTS + """,
+@query("F34", "WITH " + ov.HELP_RESULTS + """,
 roots AS (SELECT root_id, max(log_pos) % 2 AS shard FROM help_results GROUP BY root_id)
 SELECT CAST(sum(n) AS BIGINT) AS selected_roots, count(*) AS num_shards, (SELECT count(*) FROM roots) AS training_roots,
        round((SELECT count(*) FROM roots) / sum(n), 9) AS training_candidate_rate

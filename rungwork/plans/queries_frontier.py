@@ -102,7 +102,7 @@ def rescue_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fr.rescue_summary(fr.item_frontiers(bridge.rollouts(spark, sf_dir))))
 
 
-@query("F7, C13", ALL_STATS + """
+@query("F7", ALL_STATS + """
 SELECT arm_name, max(kind) AS arm_kind, max(strength) AS arm_strength, CAST(max(arm_order) AS INTEGER) AS arm_order,
        round(sum(hits) / sum(n), 9) AS rollout_accuracy,
        round(sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) / count(*), 9) AS pass_at_k,
@@ -401,7 +401,7 @@ def scaffold_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("id", cu.select_scaffold("scaffolds", RULES)["name"].alias("selected_scaffold"))
 
 
-@query("F14, C1-C3", STATES + f"""
+@query("F14, C2, C3", STATES + f"""
 SELECT id AS root_id, {ov.question_key('question')} AS question_key, phase, round(root_success, 9) AS root_success,
        round(1.0::DOUBLE - pow(root_success, 4) - pow(1.0::DOUBLE - root_success, 4), 9) AS informative_probability,
        CASE WHEN phase IN ('guided_root', 'decompose_or_defer') THEN pick END AS selected_scaffold,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def data_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.data_sources(bridge.problems(spark, sf_dir))
 
 
-@query("A1, H13", "WITH " + ov.PROBLEMS + f"""
+@query("H13", "WITH " + ov.PROBLEMS + f"""
 SELECT log_pos, id, row_number() OVER (ORDER BY {ov.seeded(42, 'CAST(log_pos AS VARCHAR)')}) AS draw
 FROM problems
 WHERE coalesce(accuracy, 0.0) <= 0.5 AND {strip('question')} <> '' AND {strip('ground_truth')} <> ''
@@ -501,3 +503,37 @@ UNION ALL SELECT 'column uid', 'present', 'missing', false
 UNION ALL SELECT 'rows', 'any', CAST(count(*) AS VARCHAR), true FROM problems""")
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.contract_check(bridge.problems(spark, sf_dir), ["question", "reward_model", "uid"])
+
+
+# what each slot of a template is filled with, as SQL over the candidates
+SLOTS = {
+    "question": "question",
+    "kind": "dimension",
+    "hint": "source_step",
+    "plan": "source_step",
+    "bit": "CASE WHEN support_tokens % 2 = 0 THEN 'YES' ELSE 'NO' END",
+    "subproblem": "subproblem",
+    "subproblem_answer": "subproblem_answer",
+    "reference_solution": "question",
+    "verification_question": "subproblem",
+}
+
+
+def _rendered(template: str) -> str:
+    pieces = re.split(r"\{(\w+)\}", template)
+    quoted = ["'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if i % 2 == 0 else SLOTS[p] for i, p in enumerate(pieces)]
+    return "concat(" + ", ".join(q if i % 2 else f"({q})" for i, q in enumerate(quoted)) + ")"
+
+
+FORMS = {n: t for n, t in prompts.TEMPLATES.items() if set(re.findall(r"\{(\w+)\}", t)) <= set(SLOTS)}
+SYSTEM = prompts.SYSTEM.replace("'", "''")
+
+
+@query("B30", "WITH " + ov.CANDIDATES + " " + " UNION ALL ".join(
+    f"SELECT id, '{n}' AS form, sha1(concat('{SYSTEM}', chr(10), {_rendered(t)})) AS digest FROM candidates" for n, t in sorted(FORMS.items())))
+def prompt_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt form of every candidate, with the system message before it."""
+    values = {name: F.expr(text) for name, text in SLOTS.items()}
+    forms = bridge.candidates(spark, sf_dir).select("id", F.inline(prompts.every_form(values)).alias("form", "prompt"))
+    chat = forms.select("id", "form", prompts.chat("prompt").alias("messages"))
+    return chat.select("id", "form", F.sha1(F.array_join(F.transform("messages", lambda m: m["content"]), "\n")).alias("digest"))

@@ -525,7 +525,7 @@ def probability_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- reports -------------------------------------------------------------------------
-@query("F42, A13", "WITH " + ov.EVAL_SCORES + """,
+@query("F42", "WITH " + ov.EVAL_SCORES + """,
 rows AS (
   SELECT dataset, method, score FROM eval_scores UNION ALL SELECT NULL, method, avg(score) FROM eval_scores GROUP BY method
 )
