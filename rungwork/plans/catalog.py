@@ -2,6 +2,7 @@
 
 from rungwork.plans import (  # noqa: F401
     queries_calibration,
+    queries_files,
     queries_frontier,
     queries_streaming,
     queries_text,
