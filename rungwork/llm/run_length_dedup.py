@@ -68,7 +68,7 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return owner, at - (ends - sizes)[owner], grams[at]
 
 
-def _grouped(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _grouped(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     start, part, size = 0, [], 0
     for text in texts:
         part.append((text or "").encode())
@@ -129,17 +129,18 @@ def _frames(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                key, text, places, grams = (batch.column(i)[k].as_py() for i in range(4))
+                key, text, every, names_of = (batch.column(i)[k].as_py() for i in range(4))
                 data = text.encode()
-                bodies = [data[max(0, p - reach) : p + width] for p in places]
-                left = [min(p, reach) for p in places]
-                joined = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-                ends = np.cumsum([len(b) for b in bodies])
-                names = slice_hashes(prefix_hashes(joined), ends - [len(b) for b in bodies], ends) ^ mix64(np.array(left))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams, pa.int64()), pa.array(names.view(np.int64)), pa.array([key] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array(left, pa.int32()), pa.array(bodies, pa.binary())],
-                    names=["gram", "frame", "cls", "pos", "left", "body"],
-                )
+                for start in range(0, len(every), 512):  # a text of one repeated byte has an anchor at each place
+                    places, grams = every[start : start + 512], names_of[start : start + 512]
+                    bodies = [data[max(0, p - reach) : p + width] for p in places]
+                    left = [min(p, reach) for p in places]
+                    joined = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+                    ends = np.cumsum([len(b) for b in bodies])
+                    names = slice_hashes(prefix_hashes(joined), ends - [len(b) for b in bodies], ends) ^ mix64(np.array(left))
+                    columns = (grams, names.view(np.int64), [key] * len(places), places, left, bodies)
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["gram", "frame", "cls", "pos", "left", "body"])
 
     return run
 
@@ -210,7 +211,7 @@ def _marks(width: int):
         for batch in batches:
             for k in range(0, len(batch), 1024):
                 for row in zip(*[c.to_pylist() for c in batch.slice(k, 1024).columns]):
-                    if len(held) >= 8192 and row[0] != held[-1][0]:
+                    if len(held) >= 2048 and row[0] != held[-1][0]:
                         yield flush(held)
                         held = []
                     held.append(row)
@@ -240,7 +241,7 @@ def _windows(width: int):
 
 def _kept(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, len(whole), 256)):
             out = []
             for k in range(len(batch)):
                 doc_id, text, copies, spans = (batch.column(i)[k].as_py() for i in range(4))
