@@ -39,6 +39,9 @@ HEADLINE = (
     "routing_metrics",
     "probability_metrics",
     "eval_comparison",
+    "stream_ingest",
+    "stream_running_q",
+    "stream_sequential_stop",
 )
 
 
