@@ -5,8 +5,8 @@ so that short ones have parts too. Each distinct paragraph's digest goes into on
 three subtables; a cell holds a count and the xor of digests and of their check hashes. Sketches
 of two versions are subtracted cell by cell: what both have cancels out. A cell with count 1 or -1
 and a fitting check hash holds one differing digest; it is taken out of its other cells, subtable
-by subtable, until nothing is left. If cells are left, the pair is tried again with a larger
-sketch and other hashes. The likeness is that of the paragraph sets, from their sizes and the
+by subtable, until nothing is left. The first sketch is sized by the two sets; if cells are left,
+the pair is tried again with twice the size and other hashes. ``fingerprint`` is a smaller sketch. The likeness is that of the paragraph sets, from their sizes and the
 number of recovered digests.
 
 The next document is the next row by id, so ids are cut into slices of about ``SLICE`` rows and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rungwork.session import checkpoint_folder, cut_lineage
 
 SLICE = 2_000
-CELLS = 8  # of each subtable in the fingerprint
+CELLS = 4  # of each subtable in the fingerprint
 TABLES = 3
 FEW = 8  # paragraphs; below, words count as well
 PASSES = 12
@@ -101,9 +101,11 @@ def subtract(pairs: DataFrame, level: int) -> DataFrame:
     return made.where("n <> 0 or key <> 0 or check <> 0").withColumn("known", F.lit(0).cast("long"))
 
 
-def peel(cells: DataFrame, level: int, passes: int = PASSES) -> DataFrame:
+def peel(cells: DataFrame, level: int, passes: int = PASSES, digests: bool = True) -> DataFrame:
     """Take single digests out of their cells; recovered ones are rows of cell -1 with ``known``.
 
+    Without ``digests`` they are only counted (``check``), in one row a pair.
+
     A pass looks at one subtable, where a digest has one cell, so none is taken out twice.
     """
     for turn in range(passes):
@@ -116,12 +118,12 @@ def peel(cells: DataFrame, level: int, passes: int = PASSES) -> DataFrame:
 
         zero = F.lit(0).cast("long")
         out = [row(cell_of(F.col("key"), j, F.col("cells"), level), -F.col("n"), F.col("key"), F.col("check"), zero) for j in range(TABLES) if j != table]
-        found = F.array(row(F.lit(-1), F.col("n"), zero, zero, F.col("key")), *out)
+        found = F.array(row(F.lit(-1), F.lit(0), zero, F.lit(1).cast("long"), F.col("key") if digests else zero), *out)
         same = F.array(row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"), F.col("known")))
         moved = cells.select(*KEY, "cells", F.explode(F.when(alone, found).otherwise(same)).alias("r")).select(*KEY, "cells", "r.*")
         cells = (
             moved.groupBy(*KEY, "cells", "cell", "known")
-            .agg(F.sum("n").cast("int").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check"))
+            .agg(F.sum("n").cast("int").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("if(cell < 0, sum(if(cell < 0, check, 0)), bit_xor(check))").alias("check"))
             .where("cell < 0 or n <> 0 or key <> 0 or check <> 0")
         )
     return cells
@@ -143,10 +145,10 @@ def differences(rows: DataFrame, sides: dict[int, tuple[str, str]], digests: boo
         if failed is not None:
             left = failed.groupBy(F.col("slice").alias("s")).agg(F.collect_set(F.struct("place", "pair")).alias("open"))
             todo = pairs.join(left, F.col("slice") == F.col("s")).where(F.array_contains("open", F.struct("place", "pair")))
-        sized = F.lit(CELLS) if level == 1 else F.greatest(F.lit(2 * CELLS), F.ceil(whole * 0.7 * 2 ** (level - 2))).cast("int")
-        sized = todo.select(*KEY, sized.alias("cells"), "x", "y")
-        cells = peel(subtract(sized, level), level, 6 if level == 1 else PASSES)
-        wanted = [F.sum(F.when(F.col("cell") < 0, 1).otherwise(0)).alias("found"), F.sum(F.when(F.col("cell") >= 0, 1).otherwise(0)).alias("open")]
+        cells = F.greatest(F.lit(2 * CELLS), F.ceil(whole * 0.7 * 2 ** (level - 1))).cast("int")
+        sized = todo.select(*KEY, cells.alias("cells"), "x", "y")
+        cells = peel(subtract(sized, level), level, PASSES, digests)
+        wanted = [F.sum(F.when(F.col("cell") < 0, F.col("check")).otherwise(0)).alias("found"), F.sum(F.when(F.col("cell") >= 0, 1).otherwise(0)).alias("open")]
         if digests:
             wanted.append(F.collect_list(F.when(F.col("cell") < 0, F.col("known"))).alias("digests"))
         result = cut_lineage(cells.groupBy(*KEY).agg(*wanted))
@@ -158,13 +160,19 @@ def differences(rows: DataFrame, sides: dict[int, tuple[str, str]], digests: boo
     raise RuntimeError(f"sketches of {LEVELS} sizes did not decode")
 
 
-def fingerprints(rows: DataFrame, name: str, out: str) -> DataFrame:
-    """(slice, place, ``out``): the smallest sketch of an array of digests as text."""
-    d = rows.select("slice", "place", F.explode(name).alias("d")).select("slice", "place", "d", F.explode(F.array(*[F.lit(j) for j in range(TABLES)])).alias("t"))
-    put = d.select("slice", "place", cell_of(F.col("d"), F.col("t"), F.lit(CELLS), 1).alias("cell"), "d")
-    made = put.groupBy("slice", "place", "cell").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(d)").alias("key"))
-    text = F.format_string("%02x%x:%016x", F.col("cell"), F.col("n"), F.col("key"))
-    return made.groupBy("slice", "place").agg(F.array_join(F.array_sort(F.collect_list(text)), ".").alias(out))
+def fingerprints(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(slice, place and the values of ``names``): the smallest sketches of arrays of digests as text."""
+    sides = [F.transform(name, lambda d, k=k: F.struct(F.lit(k).alias("side"), d.alias("d"))) for k, name in enumerate(names)]
+    tables = F.array(*[F.lit(j) for j in range(TABLES)])
+    one = rows.select("slice", "place", F.explode(F.concat(*sides)).alias("e")).select("slice", "place", "e.*", F.explode(tables).alias("t"))
+    put = one.select("slice", "place", "side", cell_of(F.col("d"), F.col("t"), F.lit(CELLS), 0).alias("cell"), "d")
+    every = []
+    for k in range(len(names)):
+        mine = F.col("side") == k
+        every += [F.sum(F.when(mine, 1).otherwise(0)).alias(f"n{k}"), F.bit_xor(F.when(mine, F.col("d")).otherwise(F.lit(0))).alias(f"key{k}")]
+    made = put.groupBy("slice", "place", "cell").agg(*every)
+    shown = [F.array_join(F.array_sort(F.collect_list(F.when(F.col(f"n{k}") > 0, F.format_string("%x%x:%016x", F.col("cell"), F.col(f"n{k}"), F.col(f"key{k}"))))), ".").alias(out) for k, out in enumerate(names.values())]
+    return made.groupBy("slice", "place").agg(*shown)
 
 
 def likeness(x: Column, y: Column, found: Column) -> Column:
@@ -196,7 +204,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     wide = found.groupBy("slice", "place").agg(*[F.max(F.when(F.col("pair") == k, F.col("found"))).alias(f"found{k}") for k in (0, 1)])
     base = table.select("slice", "place", "doc_id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in "abc"])
     joined = base
-    for part in (fingerprints(table, "a", "fingerprint"), fingerprints(table, "b", "edited_fingerprint"), wide):
+    for part in (fingerprints(table, {"a": "fingerprint", "b": "edited_fingerprint"}), wide):
         renamed = part.withColumnsRenamed({"slice": "s", "place": "p"})
         joined = joined.join(renamed, (F.col("slice") == F.col("s")) & (F.col("place") == F.col("p")), "left").drop("s", "p")
     zero = F.lit(0)
