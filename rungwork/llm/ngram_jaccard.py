@@ -5,9 +5,9 @@ by how many documents hold them, rarest first: the counts of all documents go in
 fixed size (a collision makes an n-gram look more frequent, which only moves it back in an order
 that is the same for all). Two sets of the asked similarity share an n-gram among their first
 n - ceil(t n) + 1, so only those are shuffled, once, with size and position. In every run of
-equal n-grams the length and positional filters leave candidate pairs. Runs of more than
-``RUN`` classes name no pairs: their members are put into one group per leader, and large groups
-are cut into cells of two blocks, so no group is expanded. Each candidate or cell gets the full
+equal n-grams the length and positional filters leave candidates. Runs of more than ``RUN``
+classes name no pairs: their members with a possible partner are put into one group per leader,
+and large groups are cut into cells of two blocks, so no group is expanded. Each candidate or cell gets the full
 sets once; a suffix bound over parts of the hash space drops pairs before the intersection.
 Only links that join something new in their cell leave it; the components are those of all links.
 
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungwork.llm.linking import components, mix64, prefix_hashes, slice_hashes
+from rungwork.llm.linking import components, mix64, prefix_hashes, release_memory, slice_hashes
 from rungwork.session import cut_lineage
 
 SKETCH_BITS = 20
 BLOCKS = 32  # the sketch is summed in so many parts
-RUN = 12  # classes in a run up to which pairs are named
+RUN = 3  # classes in a run up to which pairs are named
+FILTERED = 64  # classes in a run up to which those without a possible partner are left out
 CELL = 2048  # classes in a block of a large group
 SLOTS = 1 << 20  # of the broadcast filter of candidate ids
 PIVOTS = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
@@ -150,16 +151,22 @@ def _postings(n: int, percent: int, shared):
                 [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64) << 32, many) | place), pa.array(np.repeat(np.array(keys), many))],
                 names=["gram", "size_place", "cls"],
             )
+        seen.clear()
+        release_memory()
 
     return run
 
 
 def _run_pairs(percent: int):
-    """Candidates of runs of one n-gram; rows come sorted by n-gram, size and place."""
+    """Candidates of runs of one n-gram; rows come sorted by n-gram and class.
 
-    def similar(nx, px, ny, py):  # nx <= ny
+    The first class of a large run is its leader, so runs of the same classes have the same one.
+    """
+
+    def similar(nx, px, ny, py):
         need = -(-percent * (nx + ny) // (100 + percent))
-        return (100 * nx >= percent * ny) & (1 + np.minimum(nx - px - 1, ny - py - 1) >= need)
+        fits = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        return fits & (1 + np.minimum(nx - px - 1, ny - py - 1) >= need)
 
     def work(gram, sp, cls, began, last: bool):
         """Pairs and members of whole runs, and the rows of a run that may go on."""
@@ -170,18 +177,25 @@ def _run_pairs(percent: int):
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         lengths = np.diff(np.append(starts, len(gram)))
         run = np.repeat(np.arange(len(starts)), lengths)
-        big = lengths > RUN
+        big = lengths > FILTERED
         if began is not None and len(gram) and gram[0] == began[0]:
             big[0] = True
         centre, member, clique = [], [], []
-        small = ~big[run]
-        for d in range(1, RUN):
-            i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:])) if len(gram) > d else np.zeros(0, np.int64)
+        few, usual = lengths[run] <= RUN, ~big[run]
+        paired = np.zeros(len(gram), dtype=bool)
+        for d in range(1, FILTERED):
+            i = np.flatnonzero(usual[:-d] & (run[:-d] == run[d:])) if len(gram) > d else np.zeros(0, np.int64)
             if not len(i):
                 break
             ok = i[similar(size[i], place[i], size[i + d], place[i + d])]
-            low, high = np.minimum(cls[ok], cls[ok + d]), np.maximum(cls[ok], cls[ok + d])
-            centre.append(low), member.append(high), clique.append(np.zeros(len(ok), bool))
+            paired[ok] = paired[ok + d] = True
+            ok = ok[few[ok]]
+            centre.append(cls[ok]), member.append(cls[ok + d]), clique.append(np.zeros(len(ok), bool))
+        some = np.flatnonzero(paired & ~few)
+        if len(some):
+            first = np.concatenate([[True], run[some][1:] != run[some][:-1]])
+            leader = cls[some[first]][np.cumsum(first) - 1]
+            centre.append(leader), member.append(cls[some]), clique.append(np.ones(len(some), bool))
         in_big = np.flatnonzero(big[run])
         if len(in_big):
             leader = cls[starts[run[in_big]]].copy()
@@ -211,7 +225,7 @@ def _run_pairs(percent: int):
             if not len(gram):
                 continue
             cut = int(np.searchsorted(gram, gram[-1]))  # start of the run that may go on
-            if len(gram) - cut > RUN + 1 or (began is not None and began[0] == gram[-1]):
+            if len(gram) - cut > FILTERED + 1 or (began is not None and began[0] == gram[-1]):
                 yield from emit(columns, False)  # a large run: its members may leave at once
                 if began is None or began[0] != gram[-1]:
                     began = (gram[-1], columns[2][cut])
@@ -309,6 +323,8 @@ def _verify(percent: int):
                     rows.append((member, values, block))
         if key is not None:
             yield flush()
+        rows = []
+        release_memory()
 
     return run
 
@@ -322,6 +338,26 @@ def _sets(n: int):
     return run
 
 
+def without_covered(grouped: DataFrame) -> DataFrame:
+    """Drop groups and pairs that lie within another group, where all their pairs are verified as well.
+
+    The other group is that of the smallest leader of the group's own leader, so what is dropped is
+    covered by a smaller leader's group, and following it up ends at one that stays.
+    """
+    inside = grouped.where("clique").select(F.col("centre").alias("g"), F.col("member").alias("m"))
+    parents = cut_lineage(inside.where("g <> m").groupBy(F.col("m").alias("node")).agg(F.min("g").alias("parent")).where("parent < node"))
+    named = grouped.join(parents, F.col("centre") == F.col("node"), "left").drop("node")
+    held = named.join(inside, (F.col("parent") == F.col("g")) & (F.col("member") == F.col("m")), "left")
+    held = cut_lineage(held.select("centre", "member", "clique", F.col("g").isNotNull().alias("held")))
+    groups = held.where("clique").groupBy(F.col("centre").alias("of")).agg(F.every("held").alias("all")).where("all").select("of")
+    kept = held.where("clique").join(cut_lineage(groups), F.col("centre") == F.col("of"), "left_anti").select("centre", "member", "clique")
+    pairs = held.where("not clique and not held").select("centre", "member", "clique")
+    other = pairs.join(parents, F.col("member") == F.col("node"))  # the same from the pair's other side
+    gone = other.join(inside, (F.col("parent") == F.col("g")) & (F.col("centre") == F.col("m"))).select(F.col("centre").alias("c"), F.col("member").alias("d"))
+    pairs = pairs.join(gone, (F.col("centre") == F.col("c")) & (F.col("member") == F.col("d")), "left_anti")
+    return cut_lineage(kept.unionByName(pairs))
+
+
 def describe(docs: DataFrame, n: int) -> DataFrame:
     """Written: a row per document (doc_id, n, cls), and the parts of the sketch."""
     return cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe(n), "doc_id long, n long, cls long, block int, counts binary"))
@@ -333,9 +369,9 @@ def links(docs: DataFrame, described: DataFrame, n: int, percent: int) -> DataFr
     shared = spark.sparkContext.broadcast(sketch_of(described))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     postings = texts.mapInArrow(_postings(n, percent, shared), "gram long, size_place long, cls long")
-    runs = postings.repartition(F.col("gram")).sortWithinPartitions("gram", "size_place", "cls")
+    runs = postings.repartition(F.col("gram")).sortWithinPartitions("gram", "cls")
     found = runs.mapInArrow(_run_pairs(percent), "centre long, member long, clique boolean")
-    grouped = cut_lineage(found.distinct())
+    grouped = without_covered(cut_lineage(found.distinct()))
     stars = grouped.where("not clique")
     stars = stars.unionByName(stars.select("centre", F.col("centre").alias("member"), "clique").distinct())
     cliques = grouped.where("clique")
