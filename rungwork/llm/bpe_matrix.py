@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rungwork.llm.linking import POWERS, mix64, release_memory
+
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 CELLS = 1 << 21  # cells of one matrix at most, unless a single piece is longer
-CACHED_PIECES = 400_000  # pieces a task remembers; then it starts anew
+CACHED_PIECES = 150_000  # pieces a task remembers; then it starts anew
 
 
 class Vocabulary:
@@ -142,19 +144,6 @@ def piece_starts(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return starts
 
 
-def spread_bits(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def merge_matrix(ids: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Encode the rows of a matrix of byte ids padded by -1: ids row after row, and ids a row."""
     counts = np.zeros(len(ids), dtype=np.int64)
@@ -236,13 +225,9 @@ class Encoder:
     than the known one goes through the Unicode matcher instead.
     """
 
-    BASE = 0xD6E8FEB86659FD93
-
     def __init__(self, path: str, pattern: str):
         self.voc, self.pattern = vocabulary(path), pattern
         self.forget()
-        n = 1 << 16
-        self.up, self.down = powers(self.BASE, n), powers(pow(self.BASE, -1, 1 << 64), n)
 
     def forget(self) -> None:
         self.place: dict[int | str, int] = {}
@@ -279,12 +264,10 @@ class Encoder:
         starts[gaps] = True
         starts[gaps[:-1] + 1] = True
         begin = np.flatnonzero(starts)
-        if len(points) >= len(self.up):
-            n = 1 << int(len(points)).bit_length()
-            self.up, self.down = powers(self.BASE, n), powers(pow(self.BASE, -1, 1 << 64), n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread_bits(points) * self.up[: len(points)], dtype=np.uint64)])
+        up, down = POWERS.upto(len(points))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(points) * up, dtype=np.uint64)])
         end = np.append(begin[1:], len(points))
-        keys = (sums[end] - sums[begin]) * self.down[begin] ^ spread_bits(end - begin)
+        keys = (sums[end] - sums[begin]) * down[begin] ^ mix64(end - begin)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         listed = unique.tolist()
         known = [self.place.get(k, -1) for k in listed]
@@ -310,7 +293,7 @@ class Encoder:
             yield named.count(b" "), hashlib.sha256(named[:-1]).hexdigest(), hashlib.sha256(plain).hexdigest()
 
 
-def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in slices whose texts stay small together; one text is never cut."""
     texts = [t or "" for t in batch.column(batch.schema.names.index(column)).to_pylist()]
     start, size = 0, 0
@@ -342,6 +325,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                     found = zip(*encoder.digests(texts))
                     more += [pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+        del encoder
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 

@@ -1,8 +1,12 @@
-"""Connected components of a link table, and 64-bit hashes of words, for the joins of this folder."""
+"""Connected components of a link table, 64-bit hashes of byte slices, and memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,16 @@ from rungwork.session import cut_lineage
 _BASE = 0xD6E8FEB86659FD93
 
 
+def release_memory() -> None:
+    """Hand freed memory back at the end of a task: Spark keeps its Python workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit numbers."""
     x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungwork.llm.linking import mix64, prefix_hashes, slice_hashes
+from rungwork.llm.linking import mix64, prefix_hashes, release_memory, slice_hashes
 from rungwork.session import cut_lineage
 
 GRAM = 64
@@ -94,6 +94,7 @@ def _anchor_rows(width: int):
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(names), pa.array(at.astype(np.int32))], names=["gram", "cls", "pos"])
             if len(seen) > 1_000_000:
                 seen.clear()
+        release_memory()
 
     return run
 
@@ -217,6 +218,8 @@ def _marks(width: int):
                     held.append(row)
         if held:
             yield flush(held)
+        held = []
+        release_memory()
 
     return run
 

@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rungwork.llm.linking import release_memory
+
 BITS = 18  # hashed features
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 MARKS = '.,;:!?"()'
 
 
@@ -190,5 +192,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             for start in range(0, len(column), 256):
                 found += scores_of(column.slice(start, 256).to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
+        known.clear()
+        release_memory()
 
     return docs.mapInArrow(run, schema)
