@@ -169,10 +169,7 @@ def _run_pairs(percent: int):
         return fits & (1 + np.minimum(nx - px - 1, ny - py - 1) >= need)
 
     def work(gram, sp, cls, began, last: bool):
-        """Pairs and members of whole runs, and the rows of a run that may go on."""
-        keep = np.ones(len(gram), dtype=bool)
-        keep[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])  # copies of a class
-        gram, sp, cls = gram[keep], sp[keep], cls[keep]
+        """Pairs and members of whole runs, and the rows of a run that may go on; a class comes once."""
         size, place = sp >> 32, sp & 0xFFFFFFFF
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         lengths = np.diff(np.append(starts, len(gram)))
@@ -221,11 +218,15 @@ def _run_pairs(percent: int):
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if tail is not None:
                 columns = [np.concatenate(x) for x in zip(tail, columns)]
-            gram = columns[0]
+            gram, _, cls = columns
             if not len(gram):
                 continue
+            keep = np.ones(len(gram), dtype=bool)
+            keep[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])  # copies of a class: classes count, not rows
+            columns = [c[keep] for c in columns]
+            gram = columns[0]
             cut = int(np.searchsorted(gram, gram[-1]))  # start of the run that may go on
-            if len(gram) - cut > FILTERED + 1 or (began is not None and began[0] == gram[-1]):
+            if len(gram) - cut > FILTERED or (began is not None and began[0] == gram[-1]):
                 yield from emit(columns, False)  # a large run: its members may leave at once
                 if began is None or began[0] != gram[-1]:
                     began = (gram[-1], columns[2][cut])

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,25 @@ def test_last_words_of_a_long_text_count(spark):
     assert sorted(map(tuple, ngram_jaccard.jaccard_groups(frame(spark, rows)).collect())) == [(1, 19_996, 1), (2, 19_996, 2), (3, 19_996, 1)]
 
 
+@pytest.mark.parametrize("step", [66, 70, 130, 211])
+def test_copies_over_batch_borders_make_no_large_run(step):
+    # One n-gram, few classes with many copies each: every two classes are a pair or in one group.
+    for classes in (2, 3, 10, 64, 65, 90):
+        cls = np.repeat(np.arange(100, 100 + classes), 40)
+        columns = [np.full(len(cls), 7), np.full(len(cls), 10 << 32), cls]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], names=["gram", "size_place", "cls"]) for i in range(0, len(cls), step)]
+        pairs, groups = set(), defaultdict(set)
+        for out in ngram_jaccard._run_pairs(80)(iter(batches)):
+            for centre, member, clique in zip(*[c.to_pylist() for c in out.columns]):
+                if clique:
+                    groups[centre].add(member)
+                else:
+                    pairs.add((centre, member))
+        assert all(leader in members for leader, members in groups.items())
+        for a, b in itertools.combinations(range(100, 100 + classes), 2):
+            assert (a, b) in pairs or any({a, b} <= g for g in groups.values())
+
+
 def test_jaccard_groups_of_an_empty_table(spark):
     assert ngram_jaccard.jaccard_groups(frame(spark, [])).count() == 0
 
