@@ -101,7 +101,7 @@ def router_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.inline(arms),
     )
     labelled = cut_lineage(rm.with_split(rows))
-    router = rm.fit_router(labelled, max_features=2000, max_iter=20)
+    router = rm.fit_router(labelled, max_features=10_000, max_iter=1_000)  # as the reference
     scored = router.score(labelled.filter(F.col("split") == "test"))
     plain = scored.select(F.col("correct").cast("int").alias("label"), F.col("predicted_success").alias("p"))
     return rounded(ro.probability_metrics(plain))

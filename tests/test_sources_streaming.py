@@ -182,3 +182,14 @@ def test_router_learns_and_reloads(spark, tmp_path):
     with pytest.raises(ValueError, match="both reward classes"):
         rm.fit_router(labelled.withColumn("correct", F.lit(True)))
     assert sum(r["items"] for r in rm.split_report(labelled).collect()) == 60
+
+
+def test_router_query_fits_with_the_sizes_of_the_reference(spark, monkeypatch):
+    from rungwork.plans import queries_streaming
+
+    fit, made = rm.fit_router, []
+    monkeypatch.setattr(rm, "fit_router", lambda *a, **b: made.append(fit(*a, **b)) or made[0])
+    assert queries_streaming.router_ml(spark, "/root/testdata/sf0.001").count() == 1
+    words, chars = (s for s in made[0].counts.stages if hasattr(s, "vocabulary"))
+    assert (words.getVocabSize(), chars.getVocabSize()) == (10_000, 10_000) and len(chars.vocabulary) > 2_000
+    assert made[0].classifier.getMaxIter() == 1_000
