@@ -22,8 +22,11 @@ SLOTS = 1 << 20
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; labels only come from the training fold."""
     model = toxicity_pu.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity_pu.score(docs, model, out="toxicity_score")
-    return scored.where("toxicity_score < 0.5").select(docs.columns)
+    out = "toxicity_score"
+    while out in map(str.lower, docs.columns):  # the caller may have such a column
+        out += "_"
+    scored = toxicity_pu.score(docs, model, out=out)
+    return scored.where(F.col(out) < 0.5).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +42,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_jaccard.jaccard_groups(docs)
     ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
     touched = cut_lineage(ids.where("component <> doc_id or n > 1").select(F.col("doc_id").alias("id"), (F.col("component") != F.col("doc_id")).alias("out")))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    row = docs.select(F.struct(*docs.columns).alias("row"))  # helper names stay apart from the caller's
+    slot = F.pmod(F.xxhash64("row.doc_id"), F.lit(SLOTS))
     slots = touched.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")).distinct()  # SLOTS rows at most
-    dealt = docs.withColumn("slot", slot)
+    dealt = row.withColumn("slot", slot)
     rest = dealt.join(F.broadcast(slots), "slot", "left_anti")
-    some = dealt.join(F.broadcast(slots), "slot", "left_semi").join(touched, F.col("doc_id") == F.col("id"), "left")
-    copy = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    some = dealt.join(F.broadcast(slots), "slot", "left_semi").join(touched, F.col("row.doc_id") == F.col("id"), "left")
+    copy = Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy("row.text")
     kept = some.where("not coalesce(out, false)").withColumn("copy", F.row_number().over(copy))
     kept = kept.where("id is null or copy = 1")
-    return rest.select(docs.columns).unionByName(kept.select(docs.columns))
+    return rest.select("row").unionByName(kept.select("row")).select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

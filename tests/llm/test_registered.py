@@ -79,3 +79,19 @@ def test_repeated_rows_leave_one(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted((str(x.doc_id), x.text) for x in kept if x.text) == [("1", "a b c d e f g"), ("3", "x"), ("None", "x"), ("None", "x")]
     assert any(x.doc_id == 4 for x in kept)
+
+
+def test_stages_keep_columns_named_as_their_helpers(spark):
+    names = ["slot", "id", "out", "copy", "row", "Toxicity_Score", "component", "n"]
+    rows = [(i, t, *[f"{c}{k}" for c in names]) for k, (i, t) in enumerate([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "x"), (None, "x"), (4, None)])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string", *[f"{c} string" for c in names]]))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[0] != 2)
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = whole.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names])
+    got = corpus_pipeline.toxicity(spark, wide, SF)
+    assert got.columns == wide.columns
+    got = got.collect()
+    assert sorted(x.doc_id for x in got) == sorted(x.doc_id for x in corpus_pipeline.toxicity(spark, whole, SF).collect())
+    assert all(x[c] == f"{c}{x.doc_id}" for x in got for c in names)
