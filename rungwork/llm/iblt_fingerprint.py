@@ -9,7 +9,7 @@ by subtable, until nothing is left. The first sketch is sized by the two sets; i
 the pair is tried again with twice the size and other hashes. ``fingerprint`` is a smaller sketch. The likeness is that of the paragraph sets, from their sizes and the
 number of recovered digests.
 
-The next document is the next row by id, so ids are cut into slices of about ``SLICE`` rows and
+The next document is the next row by id, so ids are cut by approximate quantiles into slices of about ``SLICE`` rows and
 each slice also gets the first row of the following one: texts move once. The slices are written
 as a bucketed table; all sketch work is grouped by slice and needs no shuffle.
 
@@ -21,8 +21,10 @@ tables give no row. Very long texts are read whole. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +64,15 @@ def cell_of(digest: Column, table: Column | int, cells: Column, level: int) -> C
 def with_next(docs: DataFrame) -> DataFrame:
     """(slice, place, doc_id, text, next): every row with the text of the row after it."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    slices = max(1, -(-n // SLICE))
-    low, width = (0, 1) if low is None else (low, max(1, -(-(high - low + 1) // slices)))
+    slices = max(1, -(-rows.count() // SLICE))
+    number = F.col("doc_id").cast("double")  # rounding keeps the order, and equal ids together
+    parts = [k / slices for k in range(1, slices)]
+    ends = (rows.agg(F.percentile_approx(number, parts, 4 * slices)).first()[0] or []) if parts else []
+    splits = [-math.inf, *sorted(set(ends)), math.inf]
+    dealt = Bucketizer(splits=splits, inputCol="v", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("v", number)) if ends else rows.withColumn("bucket", F.lit(0))
     hashed = F.xxhash64("text")
-    dated = F.floor((F.col("doc_id") - low) / width)
-    cut = F.coalesce(dated, F.lit(slices) + F.pmod(hashed, F.lit(slices)))
-    sliced = rows.withColumn("slice", cut.cast("long")).withColumn("hash", hashed)
+    cut = F.when(F.col("doc_id").isNotNull(), F.col("bucket")).otherwise(F.lit(slices) + F.pmod(hashed, F.lit(slices)))
+    sliced = dealt.select("doc_id", "text", cut.cast("long").alias("slice")).withColumn("hash", hashed)
     ids = sliced.groupBy("slice").agg(F.min("doc_id").alias("first_id"))
     heads = sliced.join(ids.withColumnRenamed("slice", "s"), (F.col("slice") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     heads = heads.groupBy("slice", "doc_id").agg(F.min("hash").alias("hash"))

@@ -251,3 +251,13 @@ def test_peeling_recovers_the_digests(spark):
     table = spark.createDataFrame(rows, "slice long, place int, x array<long>, y array<long>")
     out = {(d.slice, d.place): sorted(d.digests) for d in iblt_fingerprint.differences(table, {0: ("x", "y")}, digests=True).collect()}
     assert out == {(0, 1): sorted([*range(5), *range(60, 65)]), (0, 3): [8, 9], (1, 1): list(range(300))}
+
+
+def test_far_ids_leave_slices_even(spark, monkeypatch):
+    monkeypatch.setattr(iblt_fingerprint, "SLICE", 20)
+    rows = [(i, f"text {i}") for i in range(200)] + [(10**12 + i, f"far {i}") for i in range(3)] + [(None, "none")]
+    placed, _ = iblt_fingerprint.with_next(frame(spark, rows))
+    got = placed.collect()
+    assert max(Counter(x.slice for x in got).values()) <= 40
+    after = {x.text: x.next for x in got}
+    assert len(got) == len(rows) and all(after[a] == b for (_, a), (_, b) in zip(rows, rows[1:] + rows[:1]))
