@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import bpe_matrix, embedding_itq, iblt_fingerprint, line_chunks, ngram_jaccard, packing, run_length_dedup, source_mix, toxicity_pu, warc_merge
+from rungwork.llm import benchmark_scan, bpe_matrix, embedding_itq, iblt_fingerprint, line_chunks, ngram_jaccard, packing, run_length_dedup, source_mix, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -93,4 +93,12 @@ def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(packing.write_packed(ids, length=4096, end_id=free, pad_id=free))
 
 
+@query("op11_benchmark_scan", benchmark_scan.SQL)
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_scan.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
