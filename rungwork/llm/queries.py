@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.llm import benchmark_scan, bpe_matrix, embedding_itq, iblt_fingerprint, line_chunks, ngram_jaccard, packing, run_length_dedup, source_mix, toxicity_pu, warc_merge
+from rungwork.llm import benchmark_scan, bpe_matrix, conversation_repair, embedding_itq, iblt_fingerprint, line_chunks
+from rungwork.llm import ngram_jaccard, packing, run_length_dedup, source_mix, token_alignment, toxicity_pu, warc_merge
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
@@ -101,4 +102,16 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op12_token_alignment")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.aligned_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_conversation_repair")
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(conversation_repair.faults(broken))
+
+
 QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
