@@ -155,7 +155,9 @@ class Pieces:
         words = list(chain.from_iterable(cut))
         fresh = list(set(words).difference(self.place))
         if fresh:
-            ids, counts = _flat(self.model.encode([w[1:] for w in fresh], num_threads=1))
+            # the model puts a blank before a word, but none before nothing
+            alone = self.model.encode("a ")[len(self.model.encode("a")) :]
+            ids, counts = _flat([row if w != " " else alone for w, row in zip(fresh, self.model.encode([w[1:] for w in fresh], num_threads=1))])
             self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
             self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, counts])
