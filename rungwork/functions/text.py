@@ -34,6 +34,7 @@ ACTIONS = ("NONE", "KNOWLEDGE", "PLANNING", "STEP")
 MAX_SUBPROBLEM_CHARS = 1200
 MAX_ANSWER_CHARS = 400
 MAX_VERIFICATION_CHARS = 2000
+JSON_SPACE = " \t\r\n"
 LEAK_BY_ANSWER = "subproblem answer equals the original final answer"
 LEAK_BY_TEXT = "subproblem text equals the original final answer"
 # -------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,28 +173,32 @@ def admit_candidates(
     unknown = set(dimensions) - set(tx.DIMENSIONS)
     if unknown or not dimensions:
         raise ValueError(f"dimensions must be a non-empty subset of {tx.DIMENSIONS}")
-    # Inside a list the parser also refuses text behind the object.
+    # Inside a list the parser also refuses text behind the object; white space around it is JSON's own.
     whole = F.try_parse_json(F.concat(F.lit("["), F.col(content), F.lit("]")))
-    alone = F.try_variant_get("__all", "$[1]", "variant").isNull() & F.rtrim(content).endswith("}")
+    ends = F.rtrim(F.col(content), F.lit(tx.JSON_SPACE)).endswith("}")
+    alone = F.try_variant_get("__all", "$[1]", "variant").isNull() & ends
     parsed = responses.withColumn("__all", whole).withColumn("__json", F.when(alone, F.col("__all")))
     parsed = parsed.withColumn("__set", F.try_variant_get("__json", "$[0].candidates", "map<string,variant>"))
     wanted = F.array(*[F.lit(d) for d in dimensions])
     absent = F.array_except(wanted, F.map_keys("__set"))
+    names = ("subproblem", "answer", "relation", "source_step", "verification")
+    fields = f"struct<{', '.join(f'{f}: variant' for f in names)}>"
 
     def clean(dimension: str) -> Column:
-        path = f"$[0].candidates.{dimension}"
-
-        def as_text(name: str) -> Column:  # the items of a list become lines
-            items = F.try_variant_get("__json", f"{path}.{name}", "array<string>")
+        def as_text(field: Column) -> Column:  # the items of a list become lines
+            items = F.try_variant_get(field, "$", "array<string>")
             lines = F.array_join(F.filter(items, lambda x: tx.strip(x) != ""), "\n")
-            return tx.strip(F.coalesce(lines, F.try_variant_get("__json", f"{path}.{name}", "string"), F.lit("")))
+            return tx.strip(F.coalesce(lines, F.try_variant_get(field, "$", "string"), F.lit("")))
 
-        kind = F.schema_of_variant(F.try_variant_get("__json", path, "variant"))
-        return F.struct(
-            F.lit(dimension).alias("dimension"),
-            F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_object"),
-            *[as_text(f).alias(f) for f in ("subproblem", "answer", "relation", "source_step", "verification")],
-        )
+        def entry(found: Column) -> Column:  # one walk to the object, bound for its five fields
+            return F.struct(
+                F.lit(dimension).alias("dimension"),
+                found.isNotNull().alias("is_object"),
+                *[as_text(found[f]).alias(f) for f in names],
+            )
+
+        found = F.try_variant_get(F.element_at("__set", dimension), "$", fields)
+        return F.get(F.transform(F.array(found), entry), F.lit(0))
 
     secret = tx.answer_key("reference")
 
@@ -286,24 +291,57 @@ def usage_totals(admitted: DataFrame) -> DataFrame:
 
 
 def generation_summary(
-    eligible: DataFrame,
-    selected: DataFrame,
-    admitted: DataFrame,
-    errors: DataFrame,
-    still_open: DataFrame,
-    dimensions: Sequence[str] = tx.DIMENSIONS,
+    roots: DataFrame, admitted: DataFrame, errors: DataFrame, dimensions: Sequence[str] = tx.DIMENSIONS
 ) -> DataFrame:
-    """Counts of one generation run; ``still_open`` is the output of ``open_requests``."""
-
-    def size(df: DataFrame) -> Column:
-        return df.agg(F.count(F.lit(1))).scalar()
+    """Counts of one generation run.
 
-    return (
-        eligible.agg(F.count(F.lit(1)).alias("eligible_rows"))
-        .withColumn("selected_rows", size(selected))
-        .withColumn("requested_candidates", F.col("selected_rows") * len(dimensions))
-        .withColumn("skipped_candidates", F.col("requested_candidates") - size(still_open))
-        .withColumn("total_output_rows", size(admitted))
-        .withColumn("failed_roots", size(errors))
-        .withColumn("terminal_roots", size(terminal_roots(errors)))
+    ``roots``: one row per eligible root (``root_id``, ``selected``); ``admitted``: candidate ids with
+    ``this_run``; ``errors``: failed roots (``id``, ``error``, ``terminal``) with ``this_run``. A root
+    whose dimensions are all there is skipped with all of them, one that failed for good in an
+    earlier run with those that are missing. Every table becomes rows of counts, and one aggregate
+    adds them up.
+    """
+    before = ~F.col("this_run")
+    chosen = roots.filter("selected").select("root_id")
+    wanted = chosen.select("root_id", F.explode(F.array(*[F.lit(d) for d in dimensions])).alias("dimension"))
+    wanted = wanted.select("root_id", tx.candidate_id("root_id", "dimension").alias("id"))
+    done = admitted.filter(before).select(F.col("id").alias("__id")).distinct()
+    stopped = terminal_roots(errors.filter(before)).select(F.col("id").alias("__root"), F.lit(True).alias("__stopped"))
+    per_root = (
+        wanted.join(done, F.col("id") == F.col("__id"), "left")
+        .groupBy("root_id")
+        .agg(F.count_if(F.col("__id").isNull()).alias("missing"))
+        .join(stopped, F.col("root_id") == F.col("__root"), "left")
+    )
+    all_there = F.when(F.col("missing") == 0, len(dimensions))
+    skipped = F.coalesce(all_there, F.when(F.col("__stopped"), F.col("missing")), F.lit(0))
+    names = (
+        "eligible_rows", "selected_rows", "requested_candidates", "completed_before_run", "success_this_run",
+        "skipped_this_run", "total_output_rows", "failed_roots_this_run", "terminal_roots",
+    )
+
+    def counted(rows: DataFrame, **values: Column) -> DataFrame:
+        return rows.select(*[values.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    one, now = F.lit(1), F.col("this_run").cast("int")
+    selected = F.col("selected").cast("int")
+    parts = [
+        counted(roots, eligible_rows=one, selected_rows=selected, requested_candidates=selected * len(dimensions)),
+        counted(per_root, skipped_this_run=skipped),
+        counted(admitted, completed_before_run=1 - now, success_this_run=now, total_output_rows=one),
+        counted(errors, failed_roots_this_run=now),
+        counted(terminal_roots(errors), terminal_roots=one),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
+def valid_rate(screened: DataFrame) -> DataFrame:
+    """Selected questions, valid candidates among their parsed replies, and the share."""
+    n = F.count(F.lit(1))
+    valid = F.count_if(F.col("reject_reason").isNull())
+    return screened.agg(
+        n.alias("selected_questions"),
+        valid.alias("valid_candidates"),
+        F.when(n > 0, valid / n).otherwise(F.lit(0.0)).alias("valid_candidate_rate"),
     )

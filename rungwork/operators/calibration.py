@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwork.functions import text as tx
@@ -170,59 +170,59 @@ def calibration_summary(roots: DataFrame, selected: DataFrame) -> DataFrame:
     )
 
 
-def expected_keys(candidates: DataFrame, samples: str) -> DataFrame:
-    """Keys each root must have: one baseline and two per candidate for every sample.
+WORD_BITS = 62  # samples in one mask
 
-    ``samples`` names an array column of sample indices, equal within a root.
+
+def expected_keys(candidates: DataFrame) -> DataFrame:
+    """Keys each root must have: one baseline and two per candidate, whatever the sample."""
+    base = candidates.select("root_id", F.lit("").alias("candidate_id"), F.lit(NO_HELP).alias("variant")).distinct()
+    variants = F.explode(F.array(F.lit(RELEVANT), F.lit(RANDOM))).alias("variant")
+    helped = candidates.select("root_id", F.col("id").alias("candidate_id")).distinct().select("root_id", "candidate_id", variants)
+    return base.unionByName(helped)
+
+
+def sample_masks(results: DataFrame, max_samples: int) -> DataFrame:
+    """Logged samples of each (root, candidate, variant) as bits of the numbers ``mask0``, ``mask1``, ...
+
+    One scan of the log; equal keys meet before the shuffle.
     """
-    base = (
-        candidates.groupBy("root_id")
-        .agg(F.any_value(samples).alias(samples))
-        .select("root_id", F.lit("").alias("candidate_id"), F.lit(NO_HELP).alias("variant"), samples)
-    )
-    variants = F.array(F.lit(RELEVANT), F.lit(RANDOM))
-    helped = candidates.select(
-        "root_id", F.col("id").alias("candidate_id"), F.explode(variants).alias("variant"), samples
-    )
-    return base.unionByName(helped).select(
-        "root_id", "candidate_id", "variant", F.explode(samples).alias("sample_index")
+    at = F.col("sample_index")
+    bit = F.expr(f"shiftleft(1L, cast(sample_index % {WORD_BITS} as int))")
+    words = range(-(-max_samples // WORD_BITS))
+    return (
+        results.filter((at >= 0) & (at < max_samples))
+        .select("root_id", F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), "variant", "sample_index", bit.alias("__bit"))
+        .groupBy("root_id", "candidate_id", "variant")
+        .agg(*[F.bit_or(F.when(F.floor(at / WORD_BITS) == w, F.col("__bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"mask{w}") for w in words])
     )
 
 
+def expected_masks(candidates: DataFrame, results: DataFrame, max_samples: int) -> tuple[DataFrame, list[str]]:
+    """Every expected key with its mask, zero where nothing is logged; keys of unknown candidates fall out."""
+    masks = sample_masks(results, max_samples)
+    words = [c for c in masks.columns if c.startswith("mask")]
+    joined = expected_keys(candidates).join(masks, ["root_id", "candidate_id", "variant"], "left")
+    return joined.fillna(0, words), words
+
+
+def _first_gap(words: list[Column], max_samples: int) -> Column:
+    """Lowest bit that is not set in the words, ``max_samples`` at most."""
+    gap = F.lit(max_samples)
+    for w in reversed(range(len(words))):
+        full = F.lit((1 << WORD_BITS) - 1)
+        ones = F.bit_count(words[w].bitwiseAND(F.bitwise_not(words[w] + 1)))
+        gap = F.when(words[w] == full, gap).otherwise(F.lit(w * WORD_BITS) + ones)
+    return F.least(gap, F.lit(max_samples)).cast("int")
+
+
 def completed_prefix(candidates: DataFrame, results: DataFrame, max_samples: int) -> DataFrame:
     """First sample index of each root whose expected keys are not all logged.
 
-    Only keys of known candidates count. No key list is built: distinct keys per
-    (root, index) are counted and compared with ``1 + 2 x candidates``.
+    A sample is complete where the masks of all expected keys have its bit: their conjunction.
     """
-    sizes = candidates.groupBy("root_id").agg(
-        (F.count_distinct("id") * 2 + 1).alias("expected")
-    )
-    known = candidates.select("root_id", F.col("id").alias("candidate_id")).distinct()
-    wanted = results.filter((F.col("sample_index") >= 0) & (F.col("sample_index") < max_samples))
-    helped = (
-        wanted.filter(F.col("variant").isin(RELEVANT, RANDOM))
-        .select("root_id", "candidate_id", "variant", "sample_index")
-        .distinct()
-        .join(known, ["root_id", "candidate_id"], "left_semi")
-    )
-    base = (
-        wanted.filter((F.col("variant") == NO_HELP) & (F.coalesce("candidate_id", F.lit("")) == ""))
-        .select("root_id", F.lit("").alias("candidate_id"), "variant", "sample_index")
-        .distinct()
-    )
-    full = (
-        helped.unionByName(base)
-        .groupBy("root_id", "sample_index")
-        .agg(F.count(F.lit(1)).alias("have"))
-        .join(sizes, "root_id")
-        .filter(F.col("have") == F.col("expected"))
-        .groupBy("root_id")
-        .agg(F.collect_set("sample_index").alias("complete"))  # at most max_samples entries
-    )
-    every = F.sequence(F.lit(0), F.lit(max_samples))
-    gap = F.array_min(F.array_except(every, F.coalesce("complete", F.array().cast("array<int>"))))
-    return sizes.join(full, "root_id", "left").select("root_id", gap.alias("prefix"))
+    keys, words = expected_masks(candidates, results, max_samples)
+    whole = keys.groupBy("root_id").agg(*[F.bit_and(w).alias(w) for w in words])
+    return whole.select("root_id", _first_gap([F.col(w) for w in words], max_samples).alias("prefix"))
 
 
 def pending_jobs(
@@ -232,23 +232,24 @@ def pending_jobs(
     max_samples: int,
     sample_batch: int,
 ) -> DataFrame:
-    """Missing keys of each root's next wave of samples."""
+    """Missing keys of each root's next wave of samples: bits of the wave that a key's mask lacks."""
     if min_samples < 1 or max_samples < min_samples or sample_batch < 1:
         raise ValueError("need 1 <= min_samples <= max_samples and sample_batch >= 1")
+    keys, words = expected_masks(candidates, results, max_samples)
+    root = Window.partitionBy("root_id")
+    whole = [F.bit_and(w).over(root) for w in words]
     start = F.col("prefix")
     end = F.least(F.lit(max_samples), F.greatest(F.lit(min_samples), start + sample_batch))
-    waves = (
-        completed_prefix(candidates, results, max_samples)
-        .filter(start < max_samples)
-        .withColumn("wave", F.sequence(start, end - 1))
-        .select("root_id", "wave")
+    masks = F.array(*words)
+    lacking = F.filter(
+        F.sequence(start, end - 1),
+        lambda i: F.getbit(F.get(masks, F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS) == 0,
     )
-    members = candidates.select("root_id", "id").distinct().join(waves, "root_id")
-    jobs = expected_keys(members, "wave")
-    done = results.select(
-        "root_id", F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), "variant", "sample_index"
+    return (
+        keys.withColumn("prefix", _first_gap(whole, max_samples))
+        .filter(start < max_samples)
+        .select("root_id", "candidate_id", "variant", F.explode(lacking).alias("sample_index"))
     )
-    return jobs.join(done, ["root_id", "candidate_id", "variant", "sample_index"], "left_anti")
 
 
 def learnability(candidates: DataFrame, results: DataFrame, group_size: int) -> DataFrame:

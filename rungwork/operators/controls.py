@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwork.functions import text as tx
@@ -10,6 +10,7 @@ from rungwork.plans.ranking import hash_rank
 from rungwork.session import cut_lineage
 
 VALUE_SLICE = 1024
+SLOTS = 4096  # of the ring in one part
 
 
 def nearest_size_controls(
@@ -67,19 +68,54 @@ def nearest_size_controls(
     )
 
 
-def ring_controls(
-    plans: DataFrame,
-    seed: int = 42,
-    first_reach: int = 4,
-    require_all: bool = True,
-) -> DataFrame:
+def shown_secrets(keys: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Distinct (plan_key, secret) where the key holds the secret: substrings of the secrets' lengths, joined as strings."""
+    secrets = secrets.select("secret").where("secret <> ''").distinct()
+    lengths = [r[0] for r in secrets.select(F.length("secret").alias("n")).distinct().collect()]  # one entry a length
+    if not lengths:
+        return keys.select("plan_key", F.col("plan_key").alias("secret")).limit(0)
+    fitting = keys.select("plan_key").distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))
+    starts = F.sequence(F.lit(1), F.length("plan_key") - F.col("n") + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("plan_key"), i, F.col("n"))))
+    cut = fitting.where(F.col("n") <= F.length("plan_key")).select("plan_key", F.explode(pieces).alias("secret"))
+    return cut.join(secrets, "secret").select("plan_key", "secret")
+
+
+def next_free(blocked: DataFrame, size: int, width: int = SLOTS) -> DataFrame:
+    """Add ``free`` to distinct (secret, at): the first slot behind ``at`` that the secret does not block, null behind ``size``.
+
+    Slots are cut into parts of ``width``. Inside a part a run of blocked slots has one difference of
+    slot and row number; a run up to a part's end goes on in the parts behind it, of which a secret
+    has one row each.
+    """
+    part, behind = F.floor(F.col("at") / width), (F.col("part") + 1) * width
+    inside = Window.partitionBy("secret", "part").orderBy("at")
+    runs = blocked.withColumn("part", part).withColumn("run", F.col("at") - F.row_number().over(inside))
+    runs = runs.withColumn("last", F.max("at").over(Window.partitionBy("secret", "part", "run")))
+    heads = runs.groupBy("secret", "part").agg(F.max(F.when(F.col("at") == F.col("part") * width, F.col("last"))).alias("head"))
+    along = Window.partitionBy("secret").orderBy("part")
+    rest = along.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    opening = F.when(F.col("head").isNull(), F.col("part") * width).when(F.col("head") + 1 < behind, F.col("head") + 1)
+    chain = heads.withColumn("follows", F.coalesce(F.lead("part").over(along) == F.col("part") + 1, F.lit(False)))
+    chain = chain.withColumn("stop", F.coalesce(opening, F.when(~F.col("follows"), behind)))
+    chain = chain.withColumn("after", F.first("stop", ignorenulls=True).over(rest))
+    chain = chain.withColumn("going_on", F.when(F.col("follows"), F.lead("after").over(along)).otherwise(behind))
+    chain = chain.select(F.col("secret").alias("s"), F.col("part").alias("p"), "going_on")
+    found = runs.join(chain, (F.col("secret") == F.col("s")) & (F.col("part") == F.col("p")))
+    free = F.when(F.col("last") + 1 < behind, F.col("last") + 1).otherwise(F.col("going_on"))
+    return found.select("secret", "at", F.when(free <= size, free).alias("free"))
+
+
+def ring_controls(plans: DataFrame, seed: int = 42, require_all: bool = True) -> DataFrame:
     """Plan of the next root on a seeded ring that does not show the root's reference.
 
     ``plans``: ``root_id, id, dimension, reference, minimal_plan, log_pos`` with non-empty
-    plans. Inside the next root the same dimension is preferred, then the smaller id. Each
-    round looks ``reach`` roots ahead with an equi-join on the ring index; only targets
-    still without a control go on, with a four times longer reach, until the ring is
-    closed, so the result is exact however far the walk must go.
+    plans. Inside the next root the same dimension is preferred, then the smaller id.
+
+    An index from the secrets to the slots whose plans all show them gives each secret's runs
+    of blocked slots. A root looks its next slot up, and behind the ring's end the first one;
+    a blocked slot names the slot behind its run. So work grows with plans and hits, however
+    far the nearest usable root is.
     """
     plans = cut_lineage(
         plans.select("root_id", "id", "dimension", "reference", "minimal_plan", "log_pos")
@@ -91,9 +127,8 @@ def ring_controls(
     size = ring.count()
     if size < 2:
         raise ValueError("at least two roots with plans are needed")
-    # equal plans of one root and dimension are refused together, so the smallest id stands
-    # for all of them; many copies under one root cost a walk no more than one
-    options = (
+    # equal plans of one root and dimension are refused together, so the smallest id stands for all of them
+    options = cut_lineage(
         plans.join(ring.select("root_id", F.col("ring").alias("at")), "root_id")
         .groupBy(
             "at",
@@ -103,30 +138,36 @@ def ring_controls(
         .agg(F.min(F.struct(F.col("id").alias("control_id"), F.col("minimal_plan").alias("control_plan"))).alias("o"))
         .select("at", "other_dimension", "plan_key", "o.*")
     )
-    targets = plans.select("root_id", "dimension").distinct().join(ring, "root_id")
-    options = cut_lineage(options)
-    open_targets = targets
-    found, start, reach = None, 1, first_reach
-    while start < size:
-        stop = min(size - 1, start + reach - 1)
-        steps = open_targets.withColumn("step", F.explode(F.sequence(F.lit(start), F.lit(stop))))
-        steps = steps.withColumn("at", (F.col("ring") - 1 + F.col("step")) % size + 1)
-        usable = steps.join(options, "at").filter(
-            (F.col("secret") == "") | ~F.contains("plan_key", F.col("secret"))
-        )
-        nearest = F.struct(
-            "step", (F.col("other_dimension") != F.col("dimension")).alias("differs"), "control_id"
-        )
-        hits = usable.groupBy("root_id", "dimension").agg(
-            F.min_by(F.struct("control_id", "control_plan", "step"), nearest).alias("c")
-        )
-        hits = cut_lineage(hits.select("root_id", "dimension", "c.*"))
-        found = hits if found is None else found.unionByName(hits)
-        open_targets = open_targets.join(hits, ["root_id", "dimension"], "left_anti")
-        if stop == size - 1 or open_targets.isEmpty():
-            break
-        open_targets = cut_lineage(open_targets)
-        start, reach = stop + 1, reach * 4
-    if require_all and not open_targets.isEmpty():
-        raise ValueError("some roots have no control plan free of their reference answer")
-    return plans.select("root_id", "id", "dimension").join(found, ["root_id", "dimension"], "left")
+    shown = shown_secrets(options, ring).join(options.select("plan_key", "at"), "plan_key")
+    slots = options.groupBy(F.col("at").alias("slot")).agg(F.count(F.lit(1)).alias("plans"))
+    refused = shown.groupBy("secret", "at").agg(F.count(F.lit(1)).alias("n"))
+    blocked = refused.join(slots, F.col("at") == F.col("slot")).where("n = plans").select("secret", "at")
+    free = cut_lineage(next_free(blocked, size))
+
+    def looked_up(targets: DataFrame, slot: Column, name: str) -> DataFrame:
+        """``name``: ``slot`` where it is free for the secret, else the slot behind its run."""
+        seen = free.select(F.col("secret").alias("s"), "at", F.col("free").alias("behind"))
+        joined = targets.withColumn("slot", slot).join(seen, (F.col("secret") == F.col("s")) & (F.col("slot") == F.col("at")), "left")
+        return joined.withColumn(name, F.when(F.col("at").isNull(), F.col("slot")).otherwise(F.col("behind"))).drop("slot", "s", "at", "behind")
+
+    targets = looked_up(looked_up(ring, F.col("ring") + 1, "ahead"), F.lit(1).cast("long"), "again")
+    chosen = F.when(F.col("ahead") <= size, F.col("ahead")).when(F.col("again") < F.col("ring"), F.col("again"))
+    targets = cut_lineage(targets.select("root_id", "secret", "ring", chosen.alias("at")).where("at is not null"))
+    wanted = targets.select("secret", "at").distinct().join(options, "at")
+    usable = wanted.where((F.col("secret") == "") | ~F.contains("plan_key", F.col("secret")))
+    firsts = usable.groupBy("secret", "at", "other_dimension").agg(F.min(F.struct("control_id", "control_plan")).alias("c"))
+    kinds = plans.select("root_id", "dimension").distinct().join(targets, "root_id")
+    nearest = F.struct((F.col("other_dimension") != F.col("dimension")).alias("differs"), "c.control_id")
+    step = F.pmod(F.col("at") - F.col("ring"), F.lit(size))
+    found = (
+        kinds.join(firsts, ["secret", "at"])
+        .groupBy("root_id", "dimension", step.alias("step"))
+        .agg(F.min_by("c", nearest).alias("c"))
+        .select("root_id", "dimension", "c.*", "step")
+    )
+    out = plans.select("root_id", "id", "dimension").join(found, ["root_id", "dimension"], "left")
+    if require_all:
+        out = cut_lineage(out)
+        if not out.where("step is null").isEmpty():
+            raise ValueError("some roots have no control plan free of their reference answer")
+    return out

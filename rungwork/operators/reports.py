@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values: datasets, published scores in percent, gate bounds ----------------
@@ -50,22 +50,49 @@ def complete_methods(scores: DataFrame, datasets: Sequence[str] = DATASETS) -> D
     return scores.join(full, "method", "left_semi")
 
 
-def eval_comparison(scores: DataFrame, baseline: str) -> DataFrame:
+def eval_comparison(
+    scores: DataFrame,
+    baseline: str,
+    datasets: Sequence[str] = DATASETS,
+    incomplete: str = "error",
+    budgets: DataFrame | None = None,
+) -> DataFrame:
     """Score, macro row and delta against the baseline, per dataset and method.
 
-    The macro row (``dataset`` null) is the mean of the method's dataset scores.
+    The macro row (``dataset`` null) is the mean over the fixed ``datasets``; other datasets do
+    not count. Both levels come from one aggregate with grouping sets. A method without a single
+    score for each of them is an error, or left out with ``incomplete="skip"``. ``budgets``
+    (method, steps, prompts_per_step, rollouts_per_prompt) adds the trajectories of each method.
     """
-    per = scores.groupBy("dataset", "method").agg(F.avg("score").alias("score"))
-    macro = per.groupBy("method").agg(F.avg("score").alias("score")).select(
-        F.lit(None).cast("string").alias("dataset"), "method", "score"
-    )
-    rows = per.unionByName(macro)
-    base = rows.filter(F.col("method") == baseline).select(
-        F.col("dataset").alias("__d"), F.col("score").alias("__base")
-    )
-    return rows.join(base, F.col("dataset").eqNullSafe(F.col("__d")), "left").select(
-        "dataset", "method", "score", (F.col("score") - F.col("__base")).alias("delta")
+    if incomplete not in ("error", "skip"):
+        raise ValueError("incomplete must be 'error' or 'skip'")
+    listed = scores.filter(F.col("dataset").isin(*datasets)).select("dataset", "method", "score")
+    by_set = [[F.col("dataset"), F.col("method")], [F.col("method")]]
+    rows = listed.groupingSets(by_set, "dataset", "method").agg(
+        F.avg("score").alias("score"),
+        F.count("score").alias("__n"),
+        F.count_if(F.col("score").isNull()).alias("__null"),
+        F.grouping_id().alias("__level"),
     )
+    # a method has one dataset row each and one macro row
+    method = Window.partitionBy("method")
+    present = F.count_if(F.col("__level") == 0).over(method)
+    counted = F.max(F.when(F.col("__level") != 0, F.col("__n") - F.col("__null"))).over(method)
+    whole = (present == len(datasets)) & (counted == len(datasets))
+    rows = rows.withColumn("__whole", whole)
+    if incomplete == "skip":
+        rows = rows.filter("__whole")
+    else:
+        message = F.concat(F.col("method"), F.lit(f" is not scored once on each of the {len(datasets)} datasets"))
+        rows = rows.withColumn("score", F.when(F.col("__whole"), F.col("score")).otherwise(F.raise_error(message).cast("double")))
+    dataset = Window.partitionBy("dataset")  # one row a method
+    base = F.max(F.when(F.col("method") == baseline, F.col("score"))).over(dataset)
+    out = rows.select("dataset", "method", "score", (F.col("score") - base).alias("delta"))
+    if budgets is None:
+        return out
+    trajectories = F.col("steps").cast("bigint") * F.col("prompts_per_step") * F.col("rollouts_per_prompt")
+    known = budgets.select(F.col("method").alias("__m"), trajectories.alias("trajectories"))
+    return out.join(known, F.col("method") == F.col("__m"), "left").drop("__m")
 
 
 def trajectory_budget(steps: int, prompts_per_step: int, rollouts: int) -> int:

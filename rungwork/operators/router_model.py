@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     NGram,
     Normalizer,
     OneHotEncoder,
@@ -19,7 +19,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwork.operators.routing import grouped_split
@@ -35,24 +35,42 @@ FROM __THIS__
 WORD_GRAMS = "SELECT *, concat(word_tokens, word_pairs) AS word_grams FROM __THIS__"
 
 
-def gram_counts(max_features: int) -> Pipeline:
-    """First stages: sparse counts of the grams seen in at least two rows, arm codes.
+def gram_stages() -> list:
+    """Word and character grams of a question, without anything to fit."""
+    return [
+        RegexTokenizer(inputCol="question", outputCol="word_tokens", pattern=r"(?U)\b\w\w+\b", gaps=False),
+        NGram(n=2, inputCol="word_tokens", outputCol="word_pairs"),
+        SQLTransformer(statement=WORD_GRAMS),
+        SQLTransformer(statement=CHAR_GRAMS),
+    ]
+
+
+def vocabulary(rows: DataFrame, grams: str, size: int, least_rows: int = 2) -> DataFrame:
+    """The ``size`` most used grams that at least ``least_rows`` rows hold: (gram, rows, uses, place).
+
+    Exact: counts combine before the shuffle, and equal counts are ordered by the gram.
+    """
+    held = rows.select(F.monotonically_increasing_id().alias("row"), F.explode(grams).alias("gram"))
+    per_row = held.groupBy("row", "gram").agg(F.count(F.lit(1)).alias("uses"))
+    counts = per_row.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.sum("uses").alias("uses"))
+    top = counts.filter(F.col("rows") >= least_rows).orderBy(F.desc("uses"), "gram").limit(size)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "gram")) - 1)  # size rows at most
+
+
+def gram_counts(train: DataFrame, max_features: int) -> PipelineModel:
+    """First stages: sparse counts of the vocabulary's grams, arm codes.
 
     Unseen arm names get a code of their own, which the encoder turns into all zeros.
     """
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="question", outputCol="word_tokens", pattern=r"(?U)\b\w\w+\b", gaps=False),
-            NGram(n=2, inputCol="word_tokens", outputCol="word_pairs"),
-            SQLTransformer(statement=WORD_GRAMS),
-            SQLTransformer(statement=CHAR_GRAMS),
-            CountVectorizer(inputCol="word_grams", outputCol="word_counts", minDF=2.0, vocabSize=max_features),
-            CountVectorizer(inputCol="char_grams", outputCol="char_counts", minDF=2.0, vocabSize=max_features),
-            StringIndexer(
-                inputCols=["arm_name", "arm_kind"], outputCols=["arm_ix", "kind_ix"], handleInvalid="keep"
-            ),
-        ]
-    )
+    cut = PipelineModel(gram_stages())
+    grams = cut.transform(train)
+    stages = gram_stages()
+    for kind in ("word", "char"):
+        listed = [r.gram for r in vocabulary(grams, f"{kind}_grams", max_features).orderBy("place").select("gram").collect()]
+        model = CountVectorizerModel.from_vocabulary(listed or [""], f"{kind}_grams", f"{kind}_counts", minTF=1.0)
+        stages.append(model._set(vocabSize=max_features))
+    arms = StringIndexer(inputCols=["arm_name", "arm_kind"], outputCols=["arm_ix", "kind_ix"], handleInvalid="keep")
+    return PipelineModel([*stages, arms.fit(train)])
 
 
 COUNTED = ("word_counts", "char_counts", "arm_ix", "kind_ix", "arm_strength", "hint_tokens", "correct")
@@ -82,6 +100,7 @@ class Router:
     features: PipelineModel
     classifier: LogisticRegressionModel
     calibrator: LogisticRegressionModel
+    training: DataFrame | None = None  # counted rows that the classifier was fitted on, with label and weight
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Rows with the calibrated ``predicted_success``."""
@@ -122,7 +141,7 @@ def with_split(rows: DataFrame, train: float = 0.6, validation: float = 0.2, see
     return rows.join(grouped_split(rows, train, validation, seed), "item_key")
 
 
-def fit_router(labelled: DataFrame, max_features: int = 20_000, max_iter: int = 100) -> Router:
+def fit_router(labelled: DataFrame, max_features: int = 10_000, max_iter: int = 1_000) -> Router:
     """Fit on the train split, calibrate on the validation split of ``with_split`` rows.
 
     Texts are cut into grams once per vocabulary and once for the counts; the counts are
@@ -135,7 +154,7 @@ def fit_router(labelled: DataFrame, max_features: int = 20_000, max_iter: int =
     m, valid_positive = _class_counts(validation)
     if not (0 < positive < n and 0 < valid_positive < m):
         raise ValueError("train and validation splits must each contain both reward classes")
-    counts = gram_counts(max_features).fit(train)
+    counts = gram_counts(train, max_features)
     both = labelled.filter(F.col("split").isin("train", "validation"))
     counted = cut_lineage(counts.transform(both).select("split", *COUNTED)).withColumn(
         "label", F.col("correct").cast("double")
@@ -143,9 +162,10 @@ def fit_router(labelled: DataFrame, max_features: int = 20_000, max_iter: int =
     train, validation = (counted.filter(F.col("split") == s) for s in ("train", "validation"))
     features = scaled_features().fit(train)
     balance = F.when(F.col("correct"), n / (2.0 * positive)).otherwise(n / (2.0 * (n - positive)))
+    train = train.withColumn("weight", balance)
     classifier = LogisticRegression(
         featuresCol="features", weightCol="weight", maxIter=max_iter, regParam=1.0 / n, standardization=False
-    ).fit(features.transform(train).select("features", "label", balance.alias("weight")))
+    ).fit(features.transform(train).select("features", "label", "weight"))
     scored = _as_feature(_margin(classifier, features.transform(validation)))
     calibrator = LogisticRegression(
         featuresCol="margin_vec",
@@ -154,7 +174,51 @@ def fit_router(labelled: DataFrame, max_features: int = 20_000, max_iter: int =
         predictionCol="cal_prediction",
         maxIter=max_iter,
     ).fit(scored.select("margin_vec", "label"))
-    return Router(counts, features, classifier, calibrator)
+    return Router(counts, features, classifier, calibrator, train)
+
+
+def class_weights(labelled: DataFrame) -> DataFrame:
+    """Per split and class: rows, and the balanced weight of one row (rows / (2 x rows of the class))."""
+    rows = labelled.groupBy("split", F.col("correct").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    whole = F.sum("rows").over(Window.partitionBy("split"))  # two rows a split
+    return rows.withColumn("weight", whole / (2.0 * F.col("rows")))
+
+
+def gradient(router: Router) -> DataFrame:
+    """Slope of the fitted loss at the stored coefficients: (feature, gradient, coefficient), feature -1 the intercept.
+
+    The loss is the weighted mean log loss plus half of regParam times the squared coefficients. Each
+    row sends its residual times its non-zero features; sums combine before the shuffle. At the
+    optimum all slopes are zero.
+    """
+    model = router.classifier
+    rows = model.transform(router.features.transform(router.training))
+    share = F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
+    parts = rows.select(share.alias("share"), "weight", F.unwrap_udt("features").alias("v"))
+    every = F.when(F.col("v.type") == 0, F.arrays_zip("v.indices", "v.values")).otherwise(
+        F.transform("v.values", lambda x, i: F.struct(i.alias("indices"), x.alias("values")))
+    )
+    whole = F.concat(every, F.array(F.struct(F.lit(-1).alias("indices"), F.lit(1.0).alias("values"))))
+    summed = parts.select("share", F.explode(whole).alias("f")).groupBy(F.col("f.indices").alias("feature")).agg(F.sum(F.col("share") * F.col("f.values")).alias("slope"))
+    weight = router.training.agg(F.sum("weight"))
+    spark = router.training.sparkSession
+    at = model.coefficients.toArray()  # as long as the vocabularies, which are bounded
+    listed = spark.createDataFrame([(-1, float(model.intercept)), *((i, float(x)) for i, x in enumerate(at))], "at int, coefficient double")
+    penalty = F.when(F.col("at") >= 0, F.col("coefficient") * model.getRegParam()).otherwise(0.0)
+    joined = listed.join(summed, F.col("at") == F.col("feature"), "left").withColumn("__weight", weight.scalar())
+    return joined.select(
+        F.col("at").alias("feature"), (F.coalesce("slope", F.lit(0.0)) / F.col("__weight") + penalty).alias("gradient"), "coefficient"
+    )
+
+
+def optimality(router: Router, bound: float = 1e-3) -> DataFrame:
+    """One row: features, whether the largest slope keeps below ``bound``, and whether the whole gradient does."""
+    norm = F.sqrt(F.sum(F.col("gradient") * F.col("gradient")))
+    return gradient(router).agg(
+        (F.count(F.lit(1)) - 1).alias("features"),
+        (F.max(F.abs("gradient")) <= bound).alias("flat_everywhere"),
+        (norm <= bound).alias("flat"),
+    )
 
 
 def split_report(labelled: DataFrame) -> DataFrame:

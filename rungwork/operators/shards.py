@@ -102,9 +102,10 @@ def recover_manifests(
 
     A root logged by several shards stays with the one holding more rows, then the
     earlier first position, then the smaller shard. Every shard is ranked in slices, so
-    no shard is sorted in one task. Where roots are too few, a shard stays below its quota;
-    :func:`manifest_check` reports that.
+    no shard is sorted in one task. Fewer eligible roots than the quotas ask for are an error
+    when the manifests are read.
     """
+    eligible = eligible.select("root_id").distinct()
     quota = F.array(*[F.lit(int(q)).cast("bigint") for q in quotas])
     owner = F.struct("records", -F.col("first_pos"), -F.col("shard"))
     owned = history.groupBy("root_id").agg(
@@ -139,7 +140,12 @@ def recover_manifests(
         position.cast("bigint").alias("position"),
         F.lit(False).alias("recovered"),
     ).filter(F.col("shard_index").isNotNull())
-    return recovered.unionByName(drawn)
+    asked = sum(int(q) for q in quotas)
+    size = eligible.agg(F.count(F.lit(1)).alias("n"))
+    short = F.raise_error(F.concat(F.lit("not enough eligible roots: "), F.col("__n").cast("string"), F.lit(f" < {asked}")))
+    both = recovered.unionByName(drawn).withColumn("__n", size.scalar())
+    whole = F.when(F.col("__n") >= asked, F.col("position")).otherwise(short.cast("bigint"))
+    return both.withColumn("position", whole).drop("__n")
 
 
 def manifest_check(manifests: DataFrame, quotas: Sequence[int]) -> DataFrame:

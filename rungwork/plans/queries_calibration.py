@@ -84,12 +84,13 @@ seen AS (SELECT DISTINCT root_id, dimension FROM help_results WHERE candidate_id
 whole AS (SELECT root_id, row_number() OVER (ORDER BY {ov.seeded(42, 'root_id')}, root_id) AS root_rank
           FROM seen GROUP BY root_id HAVING count(*) = 3)
 SELECT c.id, c.root_id, c.dimension, root_rank, CAST(c.pos - 1 AS INTEGER) AS dimension_rank
-FROM root_candidates c JOIN whole w ON c.root_id = w.root_id WHERE root_rank <= 500""")
+FROM root_candidates c JOIN whole w ON c.root_id = w.root_id WHERE root_rank <= (SELECT count(DISTINCT root_id) // 2 FROM root_candidates)""")
 def complete_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates, results = _tables(spark, sf_dir)
     seen = results.filter(F.col("candidate_id") != "").select(F.col("candidate_id").alias("id")).distinct()
     known = candidates.join(seen, "id", "left_semi").withColumn("log_pos", F.lit(1))
-    picked = ca.complete_roots(known, root_limit=500, seed=42)
+    half = candidates.select("root_id").distinct().count() // 2
+    picked = ca.complete_roots(known, root_limit=half, seed=42)
     return picked.select("id", "root_id", "dimension", "root_rank", "dimension_rank")
 
 
@@ -324,7 +325,6 @@ def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sh.merge_summary(sh.merge_shards(roots), summaries))
 
 
-QUOTAS = (400, 300)
 RECOVER = SHARDED + f""",
 owners AS (
   SELECT root_id, arg_max(shard, ROW(records, -first_pos, -shard)) AS shard_index,
@@ -332,13 +332,14 @@ owners AS (
   FROM history GROUP BY root_id
 ),
 eligible AS (SELECT CAST(c_custkey AS VARCHAR) AS root_id FROM customer),
+quotas AS (SELECT count(*) * 2 // 5 AS q0, count(*) * 3 // 10 AS q1 FROM customer),
 ranked AS (
   SELECT o.*, row_number() OVER (PARTITION BY shard_index ORDER BY first_pos) AS place
   FROM owners o SEMI JOIN eligible e ON o.root_id = e.root_id
 ),
 recovered AS (
   SELECT root_id, shard_index, place - 1 AS position, true AS recovered
-  FROM ranked WHERE place <= CASE shard_index WHEN 0 THEN 400 ELSE 300 END
+  FROM ranked CROSS JOIN quotas WHERE place <= CASE shard_index WHEN 0 THEN q0 ELSE q1 END
 ),
 have AS (SELECT count(*) FILTER (shard_index = 0) AS a, count(*) FILTER (shard_index = 1) AS b FROM recovered),
 pool AS (
@@ -348,9 +349,9 @@ pool AS (
 manifest AS (
   SELECT * FROM recovered
   UNION ALL
-  SELECT root_id, CASE WHEN draw <= 400 - a THEN 0 ELSE 1 END,
-         CASE WHEN draw <= 400 - a THEN a + draw - 1 ELSE b + draw - (400 - a) - 1 END, false
-  FROM pool CROSS JOIN have WHERE draw <= 400 - a + 300 - b
+  SELECT root_id, CASE WHEN draw <= q0 - a THEN 0 ELSE 1 END,
+         CASE WHEN draw <= q0 - a THEN a + draw - 1 ELSE b + draw - (q0 - a) - 1 END, false
+  FROM pool CROSS JOIN have CROSS JOIN quotas WHERE draw <= q0 - a + q1 - b
 )
 """
 
@@ -360,22 +361,60 @@ def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(F.col("c_custkey").cast("string").alias("root_id"))
 
 
-def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quotas(eligible: DataFrame) -> tuple[int, int]:
+    """Two fifths of the roots for the first shard, three tenths for the second."""
+    n = eligible.count()
+    return n * 2 // 5, n * 3 // 10
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
     history = sh.root_history(_shards(spark, sf_dir))
-    return sh.recover_manifests(_eligible(spark, sf_dir), history, QUOTAS, seed=42)
+    eligible = _eligible(spark, sf_dir)
+    quotas = _quotas(eligible)
+    return sh.recover_manifests(eligible, history, quotas, seed=42), quotas
 
 
 @query("F35", RECOVER + "SELECT root_id, CAST(shard_index AS INTEGER) AS shard_index, position, recovered FROM manifest")
 def root_manifest_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _manifest(spark, sf_dir)
+    return _manifest(spark, sf_dir)[0]
+
+
+CHECKED = """,
+sizes AS (SELECT 0 AS s, q0 AS q FROM quotas UNION ALL SELECT 1, q1 FROM quotas)
+"""
 
 
-@query("F36", RECOVER + """
+@query("F36", RECOVER + CHECKED + """
 SELECT CAST(s AS INTEGER) AS shard_index, count(*) FILTER (shard_index = s) AS manifest_roots, CAST(q AS BIGINT) AS quota,
        count(*) FILTER (shard_index = s AND recovered) AS recovered_roots, count(*) FILTER (shard_index = s) = any_value(q) AS ok
-FROM manifest CROSS JOIN (VALUES (0, 400), (1, 300)) v(s, q) GROUP BY s, q""")
+FROM manifest CROSS JOIN sizes GROUP BY s, q""")
 def root_manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sh.manifest_check(_manifest(spark, sf_dir), QUOTAS)
+    return sh.manifest_check(*_manifest(spark, sf_dir))
+
+
+@query("F36, A14", RECOVER + CHECKED + """
+SELECT CAST(s AS INTEGER) AS shard_index, count(*) FILTER (shard_index = s) AS manifest_roots, CAST(q AS BIGINT) AS quota,
+       count(*) FILTER (shard_index = s AND CAST(root_id AS BIGINT) % 11 = 0) AS missing_roots,
+       count(*) FILTER (shard_index = s) = q AND count(*) FILTER (shard_index = s AND CAST(root_id AS BIGINT) % 11 = 0) = 0 AS ok
+FROM manifest CROSS JOIN sizes GROUP BY s, q""")
+def root_manifest_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen manifests against the candidates of a later run, in which every eleventh root is gone."""
+    frozen, quotas = _manifest(spark, sf_dir)
+    later = _eligible(spark, sf_dir).filter(F.col("root_id").cast("bigint") % 11 != 0)
+    return sh.reuse_manifests(frozen.select("root_id", "shard_index"), later, quotas)
+
+
+@query("F36, H4", f"""
+SELECT CAST(i AS INTEGER) AS shard_index, count(*) FILTER (rank <= n // 2 AND (rank - 1) % 3 = i) AS quota, count(*) FILTER (rank <= n // 2 AND (rank - 1) % 3 = i) AS roots
+FROM (SELECT row_number() OVER (ORDER BY {ov.seeded(42, 'CAST(c_custkey AS VARCHAR)')}) AS rank, count(*) OVER () AS n FROM customer) r
+CROSS JOIN (VALUES (0), (1), (2)) v(i) GROUP BY i""")
+def shard_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas of half of the roots in three shards, beside what a round-robin deal gives them."""
+    roots = _eligible(spark, sf_dir)
+    half = roots.count() // 2
+    quotas = F.array(*[F.lit(q).cast("bigint") for q in sh.shard_quotas(half, 3)])
+    dealt = sh.round_robin(roots, num_shards=3, seed=42, root_limit=half).groupBy("shard_index").agg(F.count(F.lit(1)).alias("roots"))
+    return dealt.select("shard_index", F.get(quotas, "shard_index").alias("quota"), "roots")
 
 
 @query("H4", f"""

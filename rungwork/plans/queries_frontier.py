@@ -416,9 +416,129 @@ def curriculum_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("F15", STATES + "SELECT phase, count(*) AS roots FROM decided GROUP BY phase")
 def phase_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cu.phase_histogram(cu.decide_curriculum(_states(spark, sf_dir), RULES))
+    return cu.phase_histogram(curriculum_manifest(spark, sf_dir))
+
+
+def curriculum_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cu.decide_curriculum(_states(spark, sf_dir), RULES)
 
 
 @query("F15", STATES + "SELECT count(*) AS num_roots, round(avg(root_success), 9) AS mean_root_success FROM decided")
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cu.manifest_summary(cu.decide_curriculum(_states(spark, sf_dir), RULES)))
+
+
+# An order is a root: its lines are its subproblems, three flags of a line one's rewards, and the lines' flags the
+# hints' and the root's own rewards. Streaks and hint sizes come from the keys, so every phase occurs.
+SUB_STATES = """
+WITH lines AS (
+  SELECT o_orderkey AS k, l_linenumber AS n, l_returnflag = 'R' AS a, l_discount > 0.05 AS b, l_tax > 0.04 AS c,
+         CAST(floor(l_quantity) AS BIGINT) AS hint
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+subs AS (
+  SELECT k, n, concat(CAST(k AS VARCHAR), '-', CAST(n AS VARCHAR)) AS id, (a::INT + b::INT + c::INT) / 3.0::DOUBLE AS success
+  FROM lines
+),
+roots AS (
+  SELECT k, count(*) FILTER (b) / count(*) AS p, k % 4 AS streak FROM lines GROUP BY k
+),
+hints AS (
+  SELECT k, 'knowledge@25' AS name, 0.25::DOUBLE AS strength, min(hint) AS hint, count(*) FILTER (a) / count(*) AS success FROM lines GROUP BY k
+  UNION ALL SELECT k, 'solution@100', 1.0::DOUBLE, sum(hint), count(*) FILTER (a OR c) / count(*) FROM lines GROUP BY k
+),
+usable AS (SELECT *, 1.0::DOUBLE - pow(success, 4) - pow(1.0::DOUBLE - success, 4) AS info FROM hints WHERE hint <= 96),
+picks AS (
+  SELECT k, coalesce(
+           arg_min(name, ROW(hint, strength, -info, name)) FILTER (success BETWEEN 0.25 AND 0.60),
+           arg_min(name, ROW(hint, strength, success, name)) FILTER (success >= 0.25),
+           arg_max(name, ROW(success, -hint, -strength, name))) AS pick
+  FROM usable GROUP BY k
+),
+taught AS (
+  SELECT k, count(*) AS subs, count(*) FILTER (success >= 0.75) / count(*) AS mastery,
+         coalesce(string_agg(id, ',' ORDER BY n) FILTER (success BETWEEN 0.25 AND 0.60), '') AS active,
+         coalesce(string_agg(id, ',' ORDER BY n) FILTER (success < 0.25), '') AS stuck
+  FROM subs WHERE k % 5 <> 0 GROUP BY k
+),
+decided AS (
+  SELECT r.k, r.p, pick, u.success AS pick_success, u.info AS pick_info, coalesce(mastery, 0.0) AS mastery, coalesce(active, '') AS active,
+         coalesce(stuck, '') AS stuck,
+         CASE WHEN p >= 0.75 AND streak >= 2 THEN 'graduated' WHEN p BETWEEN 0.25 AND 0.60 THEN 'unguided_root'
+              WHEN p > 0.60 THEN 'unguided_probe'
+              WHEN coalesce(u.success >= 0.25, false) AND (t.k IS NULL OR mastery >= 0.5) THEN 'guided_root'
+              WHEN coalesce(active, '') <> '' THEN 'subproblem_curriculum' ELSE 'decompose_or_defer' END AS phase
+  FROM roots r LEFT JOIN picks USING (k) LEFT JOIN usable u ON u.k = r.k AND u.name = pick LEFT JOIN taught t ON t.k = r.k
+)
+"""
+SUB_RULES = CurriculumRules(group_size=4, prerequisite_coverage=0.5)
+
+
+def _subproblem_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reward lists of an order: seven lines at most."""
+    a, b, c = F.col("l_returnflag") == "R", F.col("l_discount") > 0.05, F.col("l_tax") > 0.04
+    hint = F.floor("l_quantity").cast("long")
+    number = F.col("l_linenumber")
+
+    def reward(flag):
+        return flag.cast("double")
+
+    sub = F.struct(number.alias("n"), F.concat_ws("-", F.col("o_orderkey").cast("string"), number.cast("string")).alias("id"), F.array(reward(a), reward(b), reward(c)).alias("rewards"))
+    lists = bridge.order_lines(spark, sf_dir).groupBy("o_orderkey").agg(
+        F.collect_list(reward(b)).alias("root_rewards"),
+        F.array_sort(F.collect_list(sub)).alias("subs"),
+        F.collect_list(reward(a)).alias("weak"),
+        F.collect_list(reward(a | c)).alias("strong"),
+        F.min(hint).alias("least"),
+        F.sum(hint).alias("all"),
+    )
+
+    def arm(name: str, size: str, strength: float, rewards: str):
+        return F.struct(
+            F.lit(name).alias("name"), F.col(size).alias("hint_tokens"), F.lit(strength).alias("strength"),
+            F.lit(name.split("@")[0]).alias("kind"), F.col(rewards).alias("rewards"),
+        )
+
+    taught = F.transform("subs", lambda s: F.struct(s["id"].alias("id"), s["rewards"].alias("rewards")))
+    return lists.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.concat(F.lit("Problem "), F.col("o_orderkey").cast("string")).alias("question"),
+        F.lit("0").alias("answer"),
+        "root_rewards",
+        F.when(F.col("o_orderkey") % 5 != 0, taught).alias("subproblems"),
+        F.array(arm("knowledge@25", "least", 0.25, "weak"), arm("solution@100", "all", 1.0, "strong")).alias("scaffolds"),
+        (F.col("o_orderkey") % 4).cast("int").alias("consecutive_unguided_mastery"),
+    )
+
+
+@query("F14, F12, C1", SUB_STATES + """
+SELECT CAST(k AS VARCHAR) AS root_id, phase, round(p, 9) AS root_success,
+       CASE WHEN phase IN ('guided_root', 'subproblem_curriculum', 'decompose_or_defer') THEN pick END AS selected_scaffold,
+       CASE WHEN phase IN ('guided_root', 'subproblem_curriculum', 'decompose_or_defer') THEN round(pick_success, 9) END AS selected_scaffold_success,
+       CASE WHEN phase IN ('guided_root', 'subproblem_curriculum') THEN active ELSE '' END AS active_ids,
+       CASE WHEN phase IN ('guided_root', 'subproblem_curriculum', 'decompose_or_defer') THEN stuck ELSE '' END AS unresolved_ids,
+       CASE WHEN phase IN ('guided_root', 'subproblem_curriculum', 'decompose_or_defer') THEN round(mastery, 9) ELSE 1.0 END AS prerequisite_mastery,
+       CASE WHEN phase = 'guided_root' THEN round(pick_info, 9) END AS scaffold_informative_probability
+FROM decided""")
+def subproblem_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions from reward lists, with sub-problem states and streaks; all six phases occur."""
+    decisions = cu.decide_curriculum(cu.states_from_rewards(_subproblem_states(spark, sf_dir)), SUB_RULES)
+    return rounded(
+        decisions.select(
+            "root_id", "phase", "root_success", "selected_scaffold", "selected_scaffold_success",
+            F.array_join("active_subproblem_ids", ",").alias("active_ids"),
+            F.array_join("unresolved_subproblem_ids", ",").alias("unresolved_ids"),
+            "prerequisite_mastery", "scaffold_informative_probability",
+        )
+    )
+
+
+@query("C13", "WITH " + ov.ROLLOUTS + """
+SELECT arm_name, count(*) AS rows, count(*) FILTER (CASE WHEN sample_index % 3 = 0 THEN output_tokens >= 400 ELSE hit_max END) AS limited
+FROM rollouts GROUP BY arm_name""")
+def truncation_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the records do not say whether they were cut off; their length does."""
+    log = bridge.rollouts(spark, sf_dir)
+    flag = F.when(F.col("sample_index") % 3 != 0, F.col("hit_max_new_tokens"))
+    filled = fr.with_truncation_default(log.withColumn("hit_max_new_tokens", flag), max_new_tokens=400)
+    return filled.groupBy("arm_name").agg(F.count(F.lit(1)).alias("rows"), F.count_if("hit_max_new_tokens").alias("limited"))

@@ -69,13 +69,14 @@ def data_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("H13", "WITH " + ov.PROBLEMS + f"""
-SELECT log_pos, id, row_number() OVER (ORDER BY {ov.seeded(42, 'CAST(log_pos AS VARCHAR)')}) AS draw
-FROM problems
-WHERE coalesce(accuracy, 0.0) <= 0.5 AND {strip('question')} <> '' AND {strip('ground_truth')} <> ''
-QUALIFY draw <= 64""")
+SELECT log_pos, id, draw FROM (
+  SELECT log_pos, id, row_number() OVER (ORDER BY {ov.seeded(42, 'CAST(log_pos AS VARCHAR)')}) AS draw, count(*) OVER () AS n
+  FROM problems
+  WHERE coalesce(accuracy, 0.0) <= 0.5 AND {strip('question')} <> '' AND {strip('ground_truth')} <> '') d
+WHERE draw <= greatest(1, n // 4)""")
 def eligible_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ad.eligible_problems(bridge.problems(spark, sf_dir), max_source_accuracy=0.5)
-    return ad.seeded_sample(kept.select("log_pos", "id"), ["log_pos"], limit=64, seed=42)
+    kept = ad.eligible_problems(bridge.problems(spark, sf_dir), max_source_accuracy=0.5).select("log_pos", "id")
+    return ad.seeded_sample(kept, ["log_pos"], limit=max(1, kept.count() // 4), seed=42)
 
 
 @query("A2", "WITH " + ov.PROBLEMS + """
@@ -165,36 +166,40 @@ WITH gen AS (
            WHEN 'click' THEN concat('final_answer : ', CAST(k AS VARCHAR), ' / -', CAST(k % 7 AS VARCHAR))
            WHEN 'error' THEN concat('FINAL_ANSWER: 9', CHR(10), 'Final_Answer:', CAST(k AS VARCHAR), '.0')
            WHEN 'purchase' THEN concat('about ', CAST(k AS VARCHAR), ' apples')
+           WHEN 'signup' THEN concat('FINAL_ANSWER: -', CAST(k AS VARCHAR), repeat('0', 40), '/3', repeat('0', 40))
            ELSE 'none' END AS t,
          CASE event_type
            WHEN 'view' THEN concat(CAST(2200 + 2 * k + 1 AS VARCHAR), '/2')
            WHEN 'click' THEN CAST(-k AS VARCHAR)
            WHEN 'error' THEN concat(CAST(k AS VARCHAR), '/1')
            WHEN 'purchase' THEN concat(CAST(k AS VARCHAR), '.', repeat('0', 25))
+           WHEN 'signup' THEN concat(CAST(k AS VARCHAR), repeat('0', 40), CASE WHEN k % 2 = 0 THEN '0/-30' ELSE '1/-3' END, repeat('0', 40))
            ELSE '1' END AS reference, k
   FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) e
 )
 SELECT event_id, CASE event_type WHEN 'view' THEN true WHEN 'click' THEN k % 7 <> 0 AND (k = 0 OR k % 7 = 1)
-                 WHEN 'error' THEN true WHEN 'purchase' THEN true ELSE false END AS correct
+                 WHEN 'error' THEN true WHEN 'purchase' THEN true WHEN 'signup' THEN k % 2 = 0 ELSE false END AS correct
 FROM gen"""
 
 
 @query("B17, B18", NUMBERS)
 def numeric_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    kind, s = F.col("event_type"), k.cast("string")
+    kind, s, zeros = F.col("event_type"), k.cast("string"), F.repeat(F.lit("0"), F.lit(40))
     rows = bridge.table(spark, sf_dir, "events").select(
         "event_id",
         F.when(kind == "view", F.concat(F.lit("so FINAL_ANSWER: $1,"), (k + 100).cast("string"), F.lit(".50")))
         .when(kind == "click", F.concat(F.lit("final_answer : "), s, F.lit(" / -"), (k % 7).cast("string")))
         .when(kind == "error", F.concat(F.lit("FINAL_ANSWER: 9\nFinal_Answer:"), s, F.lit(".0")))
         .when(kind == "purchase", F.concat(F.lit("about "), s, F.lit(" apples")))
+        .when(kind == "signup", F.concat(F.lit("FINAL_ANSWER: -"), s, zeros, F.lit("/3"), zeros))
         .otherwise(F.lit("none"))
         .alias("text"),
         F.when(kind == "view", F.concat((k * 2 + 2201).cast("string"), F.lit("/2")))
         .when(kind == "click", (-k).cast("string"))
         .when(kind == "error", F.concat(s, F.lit("/1")))
         .when(kind == "purchase", F.concat(s, F.lit("."), F.repeat(F.lit("0"), F.lit(25))))
+        .when(kind == "signup", F.concat(s, zeros, F.when(k % 2 == 0, F.lit("0/-30")).otherwise(F.lit("1/-3")), zeros))
         .otherwise(F.lit("1"))
         .alias("reference"),
     )
@@ -291,7 +296,10 @@ responses AS (
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds by id: a missing dimension, no JSON, text behind the JSON, single quotes, a bare string; list answers."""
+    """Kinds by id: a missing dimension, no JSON, text behind the JSON, single quotes, a bare string; list answers.
+
+    Some have white space around the object: of JSON (accepted) or another (refused).
+    """
     k, p, c = (bridge.dealt("text", i) for i in range(3))
 
     def entry(sub: Column, answer: Column) -> Column:
@@ -321,13 +329,14 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 7 == 2, listed)
         .otherwise(full(last))
     )
+    content = F.when(kind == 3, F.concat(F.lit("\n \t"), content, F.lit("\t\r\n"))).when(kind == 13, F.concat(content, F.lit("\x0b"))).otherwise(content)
     return bridge.table(spark, sf_dir, "documents").select("doc_id", bridge.last_word("text").alias("reference"), content.alias("content"))
 
 
 @query("B26-B28", "WITH " + RESPONSE + f""",
 clean AS (
   SELECT doc_id, reference, {strip('k')} AS k, {strip('p')} AS p, {strip('c')} AS c, {strip('a')} AS a, {strip('text')} AS v,
-         doc_id % 20 IN (1, 6, 11) AS no_json, doc_id % 20 = 16 AS bare, doc_id % 5 = 0 AS part FROM responses
+         doc_id % 20 IN (1, 6, 11, 13) AS no_json, doc_id % 20 = 16 AS bare, doc_id % 5 = 0 AS part FROM responses
 ),
 judged AS (
   SELECT *, CASE
@@ -383,19 +392,44 @@ def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.open_requests(roots, done, _errors(spark, sf_dir)).select("id", "root_id", "dimension")
 
 
-@query("F44", "WITH " + LEAKS + """
-SELECT (SELECT count(*) FROM documents) AS eligible_rows, (SELECT count(*) FROM documents) AS selected_rows,
-       3 * (SELECT count(*) FROM documents) AS requested_candidates,
-       3 * (SELECT count(*) FROM documents)
-         - (SELECT count(*) FROM candidates c WHERE c.id NOT IN (SELECT id FROM done) AND c.root_id NOT IN (SELECT root_id FROM leaks)) AS skipped_candidates,
-       (SELECT count(*) FROM done) AS total_output_rows, count(*) AS failed_roots, count(DISTINCT root_id) AS terminal_roots
-FROM leaks""")
+RUN = LEAKS.rstrip() + """,
+chosen AS (SELECT CAST(doc_id AS VARCHAR) AS root_id FROM documents WHERE doc_id % 10 <> 0),
+logged AS (SELECT id, log_pos % 2 = 0 AS now FROM candidates WHERE length(subproblem) > 800),
+failed AS (SELECT root_id, CAST(root_id AS BIGINT) % 2 = 1 AS now FROM leaks),
+per_root AS (
+  SELECT c.root_id, count(*) FILTER (l.id IS NULL) AS missing, bool_or(s.root_id IS NOT NULL) AS stopped
+  FROM chosen r JOIN candidates c ON c.root_id = r.root_id LEFT JOIN (SELECT id FROM logged WHERE NOT now) l ON l.id = c.id
+       LEFT JOIN (SELECT DISTINCT root_id FROM failed WHERE NOT now) s ON s.root_id = c.root_id
+  GROUP BY c.root_id
+)
+"""
+
+
+@query("F44", "WITH " + RUN + """
+SELECT (SELECT count(*) FROM documents) AS eligible_rows, (SELECT count(*) FROM chosen) AS selected_rows,
+       3 * (SELECT count(*) FROM chosen) AS requested_candidates, (SELECT count(*) FROM logged WHERE NOT now) AS completed_before_run,
+       (SELECT count(*) FROM logged WHERE now) AS success_this_run,
+       CAST(sum(CASE WHEN missing = 0 THEN 3 WHEN stopped THEN missing ELSE 0 END) AS BIGINT) AS skipped_this_run,
+       (SELECT count(*) FROM logged) AS total_output_rows, (SELECT count(*) FROM failed WHERE now) AS failed_roots_this_run,
+       (SELECT count(DISTINCT root_id) FROM failed) AS terminal_roots
+FROM per_root""")
 def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = bridge.table(spark, sf_dir, "documents")
-    selected = docs.select(F.col("doc_id").cast("string").alias("root_id"))
-    done = bridge.candidates(spark, sf_dir).filter(F.length("subproblem") > 800).select("id")
-    errors = _errors(spark, sf_dir)
-    return ad.generation_summary(docs, selected, done, errors, ad.open_requests(selected, done, errors))
+    roots = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("root_id"), (F.col("doc_id") % 10 != 0).alias("selected"))
+    admitted = bridge.candidates(spark, sf_dir).filter(F.length("subproblem") > 800).select("id", (F.col("log_pos") % 2 == 0).alias("this_run"))
+    errors = _errors(spark, sf_dir).withColumn("this_run", F.col("id").cast("bigint") % 2 == 1)
+    return ad.generation_summary(roots, admitted, errors)
+
+
+@query("F24", "WITH " + REPLY + f""",
+found AS (
+  SELECT *, CASE turn % 4 WHEN 0 THEN {ov.collapse("regexp_extract(t, '<subproblem>(.*?)</subproblem>', 1, 'is')")} WHEN 3 THEN '' ELSE {ov.collapse("t0")} END AS q,
+         CASE turn % 4 WHEN 0 THEN {ov.collapse("regexp_extract(t, '<answer>(.*?)</answer>', 1, 'is')")} WHEN 3 THEN '' ELSE {ov.collapse("t9")} END AS a
+  FROM replies
+),
+judged AS (SELECT q <> '' AND a <> '' AND {ov.answer_key('a', greedy=True)} <> {ov.answer_key('reference', greedy=True)} AS valid FROM found)
+SELECT count(*) AS selected_questions, count(*) FILTER (valid) AS valid_candidates, round(count(*) FILTER (valid) / count(*), 9) AS valid_candidate_rate FROM judged""")
+def valid_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ad.valid_rate(ad.screen_parsed(ad.parse_generations(_replies(spark, sf_dir), "t"))))
 
 
 @query("F44, B28", "WITH " + LEAKS + "SELECT 'ValueError' AS reason, count(*) AS roots FROM leaks")
@@ -496,6 +530,96 @@ def action_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("log_pos", "action", F.sha1(prompts.action_prompt("action", "hint")).alias("prompt_digest"))
 
 
+def _filled(template: str, **slots: str) -> str:
+    """A template with SQL in its slots, as one SQL expression."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return "concat(" + ", ".join(f"({slots[p] if i % 2 else _quoted(p)})" for i, p in enumerate(pieces)) + ")"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+STATE = ov.collapse("regexp_extract(t, '<state>(.*?)</state>', 1, 'is')")
+VERIFY = ov.collapse("regexp_extract(t, '<verify>(.*?)</verify>', 1, 'is')")
+ASKED = f"coalesce(nullif({VERIFY}, ''), '{tx.DEFAULT_VERIFICATION}')"
+BIT = "CASE WHEN correct THEN 'YES' ELSE 'NO' END"
+RETRY = _filled(prompts.TEMPLATES["retry"], question="question", previous="t", oracle_answer=BIT)
+SHORT_RETRY = _filled(prompts.TEMPLATES["retry"], question="question", previous="right(t, 40)", oracle_answer=BIT)
+GO_ON = _filled(
+    prompts.TEMPLATES["continuation"], question="question", state="coalesce(nullif(state, ''), '(not provided)')",
+    verification_question="verification_question", oracle_answer="oracle_answer",
+)
+
+
+@query("B30", "WITH " + REPLY + f""",
+asked AS (
+  SELECT conv_id, turn, concat('Q', CAST(conv_id AS VARCHAR)) AS question, t, turn % 2 = 0 AS correct, {STATE} AS state,
+         CASE WHEN {ASKED} LIKE '%?' THEN {ASKED} ELSE concat({ASKED}, '?') END AS verification_question,
+         coalesce(nullif({WORD.replace('{t}', 't').replace('{w}', 'YES|NO|UNKNOWN')}, ''), 'UNKNOWN') AS oracle_answer
+  FROM replies
+)
+SELECT conv_id, turn, sha1({RETRY}) AS retry, sha1({SHORT_RETRY}) AS short_retry, sha1({GO_ON}) AS continuation FROM asked""")
+def second_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked after a reply: to try again, or to go on from its own state."""
+    parsed = ad.parse_generations(_replies(spark, sf_dir), "t")
+    rows = parsed.withColumns({"question": F.concat(F.lit("Q"), F.col("conv_id").cast("string")), "correct": F.col("turn") % 2 == 0})
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.sha1(prompts.retry_prompt("t", "correct")).alias("retry"),
+        F.sha1(prompts.retry_prompt("t", "correct", tail=40)).alias("short_retry"),
+        F.sha1(prompts.continuation_prompt()).alias("continuation"),
+    )
+
+
+LABELS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.HINT_LABELS.items()) + " ELSE 'Hints' END"
+KINDS = "CASE log_pos % 5 WHEN 0 THEN NULL " + " ".join(f"WHEN {i + 1} THEN '{k}'" for i, k in enumerate(prompts.HINT_LABELS)) + " ELSE 'other' END"
+PLANNED = _filled(prompts.TEMPLATES["plan"], question="question", plan="plan")
+BARE_FORM = _filled(prompts.TEMPLATES["curriculum"], question="question")
+HINTED_FORM = _filled(prompts.TEMPLATES["curriculum_hint"], question="question", hint_label=LABELS, hint="array_to_string(planning_parts, ' ')")
+
+
+@query("B30", "WITH " + ov.PROBLEMS + f""",
+hinted AS (
+  SELECT log_pos, question, planning_parts, {KINDS} AS kind, CASE WHEN log_pos % 3 = 0 THEN '' ELSE coalesce(planning_parts[1], '') END AS plan FROM problems
+)
+SELECT log_pos, sha1(CASE WHEN plan = '' THEN question ELSE {PLANNED} END) AS plan_prompt,
+       sha1(CASE WHEN kind IS NULL OR len(planning_parts) = 0 THEN {BARE_FORM} ELSE {HINTED_FORM} END) AS curriculum_prompt
+FROM hinted""")
+def hinted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with a plan, and with the labelled hints of a curriculum."""
+    at = F.col("log_pos") % 5
+    kind = F.lit(None).cast("string")
+    for i, name in enumerate(prompts.HINT_LABELS):
+        kind = F.when(at == i + 1, F.lit(name)).otherwise(kind)
+    kind = F.when((at == 0) | kind.isNotNull(), kind).otherwise(F.lit("other"))
+    plan = F.when(F.col("log_pos") % 3 == 0, F.lit("")).otherwise(F.get("planning_skeleton_parts", F.lit(0)))
+    rows = bridge.problems(spark, sf_dir).withColumns({"kind": kind, "plan": plan})
+    return rows.select(
+        "log_pos",
+        F.sha1(prompts.plan_prompt("question", "plan")).alias("plan_prompt"),
+        F.sha1(prompts.curriculum_prompt("kind", "planning_skeleton_parts")).alias("curriculum_prompt"),
+    )
+
+
+RULES_TEXT = _quoted("\n".join(f'- "{d}": {prompts.DIMENSION_GUIDANCE[d]}' for d in tx.DIMENSIONS))
+ENTRY = ", ".join(f'"{f}": "..."' for f in ("subproblem", "answer", "relation", "source_step", "verification"))
+SHAPE_TEXT = _quoted('{\n  "candidates": {\n' + ",\n".join(f'    "{d}": {{{ENTRY}}}' for d in tx.DIMENSIONS) + "\n  }\n}")
+REQUEST = _filled(
+    prompts.TEACHER, rules=RULES_TEXT, shape=SHAPE_TEXT, question=strip("question"), reference="ground_truth",
+    knowledge=f"array_to_string({parts('knowledge_parts')}, chr(10))", planning=f"array_to_string({parts('planning_parts')}, chr(10))",
+    breakdown=f"left(array_to_string({parts('solution_parts')}, chr(10)), 200)", solution="question",
+)
+
+
+@query("B30, B4", "WITH " + ov.PROBLEMS + f"SELECT log_pos, sha1({REQUEST}) AS digest FROM problems")
+def teacher_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole requests to a teacher; one field is cut as a short context asks for."""
+    rows = bridge.problems(spark, sf_dir).withColumns({"reference": F.col("reward_model.ground_truth"), "reference_solution": F.col("question")})
+    return rows.select("log_pos", F.sha1(prompts.teacher_prompt(limits={"breakdown": 200})).alias("digest"))
+
+
 @query("A15", "WITH " + ov.PROBLEMS + """
 SELECT 'column question' AS "check", 'present' AS expected, 'present' AS actual, true AS ok
 UNION ALL SELECT 'column reward_model', 'present', 'present', true

@@ -97,19 +97,19 @@ def matched_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.matched_roots(mix).select("candidate_id", "id", "log_pos")
 
 
-FIRST_PAIRS = 300
-
-
-@query("G2, H9", SCORED + f"""
-, taken AS (SELECT * FROM scored WHERE trainable ORDER BY log_pos LIMIT {FIRST_PAIRS})
+@query("G2, H9", SCORED + """
+, taken AS (
+  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY log_pos) AS nth, count(*) OVER () AS n FROM scored WHERE trainable) t WHERE nth <= greatest(1, n // 3)
+)
 SELECT count(p.id) AS root_rows, count(p.id) AS subproblem_rows, 2 * count(p.id) AS total_rows,
        count(*) FILTER (p.id IS NULL) AS candidate_rows_not_matched
 FROM taken s LEFT JOIN last_problem p ON s.question_key = p.question_key""")
 def mix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _source(spark, sf_dir)
     rows = _measured(spark, sf_dir).filter("trainable")
-    mix = mx.training_mix(source, rows, seed=42, max_pairs=FIRST_PAIRS)
-    return mx.mix_summary(mix, mx.unmatched_candidates(source, mx.first_in_log(rows, FIRST_PAIRS)))
+    third = max(1, rows.count() // 3)
+    mix = mx.training_mix(source, rows, seed=42, max_pairs=third)
+    return mx.mix_summary(mix, mx.unmatched_candidates(source, mx.first_in_log(rows, third)))
 
 
 @query("F46", SCORED + """
@@ -229,6 +229,24 @@ def stage_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("G5", STAGES + """
+SELECT p.id, p.log_pos, sha1(p.question) AS question_digest, p.ground_truth FROM staged s JOIN last_problem p ON s.question_key = p.question_key""")
+def stage_root_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root-only training set: the matched roots as they are."""
+    rows = mx.stage_roots(_staged(spark, sf_dir))
+    return rows.select("id", "log_pos", F.sha1("question").alias("question_digest"), F.col("reward_model.ground_truth").alias("ground_truth"))
+
+
+@query("G5", STAGES + """
+SELECT stage AS student_aware_stage, plan AS minimal_plan, id AS selected_candidate_id, dimension AS selected_dimension,
+       round(q_help, 9) AS q_help, round(q_no, 9) AS q_no, round(q_random, 9) AS q_random, round(relevance, 9) AS relevance_score,
+       round(p_sub, 9) AS p_sub, round(contrast, 9) AS contrast_score, round(final, 9) AS final_score
+FROM staged""")
+def stage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage's manifest says about each decision."""
+    return rounded(mx.stage_curriculum(_staged(spark, sf_dir)).select("diagnostics.*"))
+
+
 @query("G5", STAGES + """
 SELECT dimension, stage, count(*) AS rows, count(DISTINCT plan) AS plans, round(avg(final), 9) AS mean_final
 FROM staged GROUP BY dimension, stage""")
@@ -525,14 +543,26 @@ def probability_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- reports -------------------------------------------------------------------------
-@query("F42", "WITH " + ov.EVAL_SCORES + """,
+NATIONS = tuple(f"NATION_{k}" for k in range(7))
+
+
+@query("F42", "WITH " + ov.EVAL_SCORES + f""",
+listed AS (SELECT * FROM eval_scores WHERE dataset IN {NATIONS} AND NOT (dataset = 'NATION_3' AND method = '1-URGENT')),
+whole AS (SELECT method FROM listed GROUP BY method HAVING count(DISTINCT dataset) = 7),
 rows AS (
-  SELECT dataset, method, score FROM eval_scores UNION ALL SELECT NULL, method, avg(score) FROM eval_scores GROUP BY method
-)
-SELECT r.dataset, r.method, round(r.score, 9) AS score, round(r.score - b.score, 9) AS delta
-FROM rows r LEFT JOIN rows b ON b.method = '5-LOW' AND r.dataset IS NOT DISTINCT FROM b.dataset""")
+  SELECT dataset, method, score FROM listed SEMI JOIN whole USING (method)
+  UNION ALL SELECT NULL, method, avg(score) FROM listed SEMI JOIN whole USING (method) GROUP BY method
+),
+budgets AS (SELECT o_orderpriority AS method, count(*) * 7 * 8 AS trajectories FROM orders GROUP BY 1)
+SELECT r.dataset, r.method, round(r.score, 9) AS score, round(r.score - b.score, 9) AS delta, t.trajectories
+FROM rows r LEFT JOIN rows b ON b.method = '5-LOW' AND r.dataset IS NOT DISTINCT FROM b.dataset JOIN budgets t ON t.method = r.method""")
 def eval_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rep.eval_comparison(bridge.eval_scores(spark, sf_dir), baseline="5-LOW"))
+    """One method lacks a score of the fixed seven datasets and is left out."""
+    scores = bridge.eval_scores(spark, sf_dir).filter("not (dataset = 'NATION_3' and method = '1-URGENT')")
+    budgets = bridge.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method")).agg(
+        F.count(F.lit(1)).alias("steps"), F.lit(7).alias("prompts_per_step"), F.lit(8).alias("rollouts_per_prompt")
+    )
+    return rounded(rep.eval_comparison(scores, "5-LOW", NATIONS, incomplete="skip", budgets=budgets))
 
 
 @query("F43", "WITH " + ov.EVAL_SCORES + """,

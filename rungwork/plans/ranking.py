@@ -8,11 +8,14 @@ each row adds its position inside its own slice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICES = 1024  # of positions at most
 HASH_SLICE_DIGITS = 4  # 16**4 slices at most, whatever the row count
 
 
@@ -70,8 +73,23 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, name: str) -> DataF
 def position_rank(
     df: DataFrame, position: str, name: str, by: Sequence[str] = (), width: int = 1_000_000
 ) -> DataFrame:
-    """1-based rank along an integer log position."""
-    return sliced_rank(df, [position], F.floor(F.col(position) / F.lit(width)), name, by)
+    """1-based rank along an integer log position.
+
+    Slices follow the rows, not the range of positions: they are cut at approximate quantiles,
+    so that each holds about ``width`` rows however the positions lie, ``SLICES`` at most. The
+    cuts come from one aggregate that combines bounded sketches.
+    """
+    at = F.col(position).cast("double")  # rounding keeps the order
+    parts = [k / SLICES for k in range(1, SLICES)]
+    rows, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(at, parts, 4 * SLICES)).first()
+    wanted = min(SLICES, -(-rows // width))
+    kept = sorted({cuts[k * SLICES // wanted - 1] for k in range(1, wanted)}) if cuts else []
+    if not kept:
+        return sliced_rank(df, [position], F.lit(0), name, by)
+    raw, slice_of = f"__{name}_at", f"__{name}_cut"
+    binned = Bucketizer(splits=[-math.inf, *kept, math.inf], inputCol=raw, outputCol=slice_of, handleInvalid="keep")
+    sliced = binned.transform(df.withColumn(raw, at)).drop(raw)
+    return sliced_rank(sliced, [position], F.col(slice_of), name, by).drop(slice_of)
 
 
 def last_by(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def helper_tables() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``cut_lineage`` writes inside the block."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not paths]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
@@ -56,5 +79,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/rungwork-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -74,8 +74,8 @@ def metric_tree(spark: SparkSession, root: str, first_key_only: bool = False) ->
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "metric.json")
         .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
+        .select("value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    )  # paths come as URIs
     entries = F.map_values(F.from_json("value", "map<string,string>"))
     scores = F.transform(entries, lambda e: F.get_json_object(e, "$['pass@1']").cast("double"))
     usable = scores if first_key_only else F.filter(scores, lambda s: s.isNotNull())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+METRIC_FILES = 10_000  # of one metric tree
+
 
 def append_log(df: DataFrame, path: str) -> None:
     """Add rows to a JSON-lines log."""
@@ -40,3 +42,21 @@ def write_manifest_text(manifest: DataFrame, path: str) -> None:
         "shard_index", "position"
     )
     ordered.select("shard_index", "root_id").write.mode("overwrite").partitionBy("shard_index").text(path)
+
+
+def write_metric_tree(files: DataFrame, root: str) -> None:
+    """One file a row of (path, value) below ``root``: the metric files of an evaluation, one a dataset and method.
+
+    Rows pass the driver one at a time; more than ``METRIC_FILES`` are an error.
+    """
+    spark = files.sparkSession
+    if files.limit(METRIC_FILES + 1).count() > METRIC_FILES:
+        raise ValueError(f"more than {METRIC_FILES} metric files")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in files.select("path", "value").toLocalIterator():
+        out = store.create(path(f"{root}/{row.path}"), True)
+        try:
+            out.write(bytearray(row.value, "utf-8"))
+        finally:
+            out.close()

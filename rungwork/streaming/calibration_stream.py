@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from rungwork.operators.calibration import NO_HELP, RANDOM, RELEVANT, dimension_rank
+from rungwork.operators.calibration import NO_HELP, RANDOM, RELEVANT, WORD_BITS, dimension_rank, expected_keys
 from rungwork.plans.ranking import last_by
 
 KEYS = ("root_id", "candidate_id", "variant", "sample_index")
+BUCKETS = 64
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "json", files: int = 100) -> DataFrame:
@@ -20,22 +22,60 @@ def read_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "json"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(folder)
 
 
-def unique_rollouts(stream: DataFrame) -> DataFrame:
-    """First arrival of each rollout key.
+def _query_id(batch: DataFrame) -> str:
+    """Id of the running query: kept by its checkpoint, new with a new one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or uuid.uuid4().hex
 
-    The state holds one entry per key ever logged, spread over the whole key, so a root
-    with very many repeats is no hot spot.
-    """
-    return stream.dropDuplicates(list(KEYS))
 
+def bucket_of(keys: Sequence[str], buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """Exactly-once copy of the unique rollouts: a batch rewrites only its own folder."""
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+def ledger_keys(spark: SparkSession, ledger: str, query: str, batch_id: int, buckets: list[int], schema: str) -> DataFrame:
+    """Keys logged by other batches, read from the named buckets alone."""
+    kept = spark.read.schema(f"{schema}, bucket int, query string, batch_id long").parquet(ledger)
+    others = ~((F.col("query") == query) & (F.col("batch_id") == batch_id))
+    return kept.filter(F.col("bucket").isin(buckets) & others)
+
 
-    writer = unique_rollouts(stream).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+def ingest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True, keys: Sequence[str] = KEYS, buckets: int = BUCKETS):
+    """Exactly-once copy of the rows with new keys; of one batch's equal keys any one row stays.
+
+    No streaming state is kept. A ledger beside the copy holds all keys ever copied, in folders of
+    a bucket, a query and a batch; a batch is anti-joined with its own buckets of it. A batch first
+    writes its rows, then its keys, each into folders that only it writes; read again after a
+    failure, it leaves its own earlier keys out and replaces its folders. A query with a new
+    checkpoint has a new id, so the ledger still knows what earlier queries have copied.
+    """
+    ledger = f"{out.rstrip('/')}-ledger"
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark, query = batch.sparkSession, _query_id(batch)
+        rows = batch.dropDuplicates(list(keys)).withColumn("bucket", bucket_of(keys, buckets)).persist()
+        try:
+            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # as many as buckets at most
+            if not touched:
+                return
+            schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+            path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+            fresh = rows
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                known = ledger_keys(spark, ledger, query, batch_id, touched, schema).select("bucket", *keys)
+                same = F.col("n.bucket") == F.col("k.bucket")
+                for key in keys:
+                    same = same & F.col(f"n.{key}").eqNullSafe(F.col(f"k.{key}"))
+                fresh = rows.alias("n").join(known.alias("k"), same, "left_anti")
+            place = f"query={query}/batch_id={batch_id}"
+            fresh.drop("bucket").write.mode("overwrite").parquet(f"{out}/{place}")
+            written = spark.read.schema(rows.drop("bucket").schema).parquet(f"{out}/{place}").select(*keys)
+            tagged = written.withColumns({"bucket": bucket_of(keys, buckets), "query": F.lit(query), "batch_id": F.lit(batch_id)})
+            # only this batch's folders are replaced; one file a bucket
+            dynamic = tagged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            dynamic.partitionBy("bucket", "query", "batch_id").parquet(ledger)
+        finally:
+            rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -62,7 +102,7 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return last_by(spark.read.parquet(out), keys, "batch_id").drop("batch_id")
 
 
-STATE = "done boolean, seen array<string>, cells map<string,array<bigint>>"
+CELL = "root_id string, candidate_id string, variant string, seen array<bigint>, right array<bigint>"
 DECISION = (
     "root_id string, status string, candidate_id string, success_probability double, "
     "no_help_probability double, random_plan_probability double, prefix int, wave_end int"
@@ -79,6 +119,102 @@ def root_members(candidates: DataFrame) -> DataFrame:
     return one.groupBy("root_id").agg(F.collect_list(member).alias("members"))
 
 
+class SampleMasks(StatefulProcessor):
+    """First stage, one state a (root, candidate, variant): which samples are logged, and which were right.
+
+    A sample's first arrival counts, inside a batch the row with the smallest log position. The
+    state is two bits a sample. It expires ``ttl`` milliseconds after its last change, where given.
+    """
+
+    def __init__(self, max_samples: int, ttl: int | None):
+        self.max_samples, self.ttl = max_samples, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.masks = handle.getValueState("masks", "seen array<bigint>, right array<bigint>", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first: dict[int, tuple] = {}
+        for row in rows:
+            if row.sample_index is not None and 0 <= row.sample_index < self.max_samples:
+                place = (row.log_pos is None, row.log_pos or 0)
+                if row.sample_index not in first or place < first[row.sample_index][0]:
+                    first[row.sample_index] = (place, bool(row.correct))
+        none = [0] * -(-self.max_samples // WORD_BITS)
+        seen, right = map(list, self.masks.get()) if self.masks.exists() else (none, list(none))
+        before = list(seen)
+        for index, (_, correct) in first.items():
+            word, bit = index // WORD_BITS, 1 << index % WORD_BITS
+            if not seen[word] & bit:
+                seen[word] |= bit
+                right[word] |= bit * correct
+        if seen != before:
+            self.masks.update((seen, right))
+            yield Row(root_id=key[0], candidate_id=key[1], variant=key[2], seen=seen, right=right)
+
+    def close(self) -> None:
+        pass
+
+
+def _bits(words: Sequence[int]) -> int:
+    return sum(w << k * WORD_BITS for k, w in enumerate(words))
+
+
+class StopRule(StatefulProcessor):
+    """Second stage, one state a root: the masks of its keys until it is decided, then one word.
+
+    Samples that were counted once stay as they were, so a first-stage state that expired or a
+    repeated row changes nothing. When the root is decided, its masks are released.
+    """
+
+    def __init__(self, q_low: float, q_high: float, min_gain: float, min_samples: int, max_samples: int, sample_batch: int, ttl: int | None):
+        self.q_low, self.q_high, self.min_gain = q_low, q_high, min_gain
+        self.min_samples, self.max_samples, self.sample_batch, self.ttl = min_samples, max_samples, sample_batch, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cells = handle.getMapState("cells", "candidate_id string, variant string", "seen array<bigint>, right array<bigint>", self.ttl)
+        self.decided = handle.getValueState("decided", "status string")
+
+    def _share(self, cell: tuple[int, int]) -> float | None:
+        """Success of a key with samples enough."""
+        seen, right = cell
+        return right.bit_count() / seen.bit_count() if seen.bit_count() >= self.min_samples else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.decided.exists():
+            return
+        members: list = []
+        for row in rows:
+            members, name = row.members, (row.candidate_id, row.variant)
+            old = self.cells.getValue(name) if self.cells.containsKey(name) else ([0] * len(row.seen), [0] * len(row.seen))
+            fresh = [now & ~was for now, was in zip(row.seen, old[0])]
+            self.cells.updateValue(name, ([was | new for was, new in zip(old[0], fresh)], [was | (r & new) for was, r, new in zip(old[1], row.right, fresh)]))
+        cells = {tuple(k): (_bits(v[0]), _bits(v[1])) for k, v in self.cells.iterator()}
+        wanted = [("", NO_HELP), *((m.id, v) for m in members for v in (RELEVANT, RANDOM))]
+        found = [cells.get(name, (0, 0)) for name in wanted]
+        whole = (1 << self.max_samples) - 1
+        for seen, _ in found:
+            whole &= seen
+        prefix = (~whole & (whole + 1)).bit_length() - 1
+        base, shares = self._share(found[0]), [self._share(cell) for cell in found[1:]]
+        middle, usable = (self.q_low + self.q_high) / 2, []
+        for m, q, other in zip(members, shares[::2], shares[1::2]):
+            if None not in (base, q, other) and self.q_low <= q <= self.q_high and q > max(base, other) + self.min_gain:
+                usable.append(((m.plan_words, abs(q - middle), m.dimension_rank, m.id), q, other))
+        best = min(usable, default=None)
+        status = "selected" if best else "exhausted" if prefix >= self.max_samples else "next_wave"
+        if status != "next_wave":
+            self.decided.update((status,))
+            self.cells.clear()
+        yield Row(
+            root_id=key[0], status=status, candidate_id=best and best[0][3], success_probability=best and best[1],
+            no_help_probability=base if best else None, random_plan_probability=best and best[2], prefix=prefix,
+            wave_end=min(self.max_samples, max(self.min_samples, prefix + self.sample_batch)) if status == "next_wave" else None,
+        )
+
+    def close(self) -> None:
+        pass
+
+
 def sequential_stop(
     stream: DataFrame,
     candidates: DataFrame,
@@ -88,73 +224,23 @@ def sequential_stop(
     min_samples: int,
     max_samples: int,
     sample_batch: int,
+    ttl: int | None = None,
 ) -> DataFrame:
     """After each batch, per root with news: ``selected``, ``exhausted`` or the next wave.
 
-    State per root is its seen keys and one count pair per (candidate, variant): at most
-    ``max_samples x (1 + 2 x candidates)`` keys. Repeats are dropped upstream.
+    Two stages on a state store. Rows are grouped by (root, candidate, variant), so a root with
+    most of the log is spread over its keys, and become bit masks; the changed masks, one row a
+    key, are grouped by root for the rule. Keys of unknown candidates leave before any state is
+    kept. ``ttl`` (milliseconds) lets first-stage masks and open roots expire that were not changed
+    for so long; it must be longer than the time between waves. Run in append mode.
     """
-
-    def cell(state: dict, candidate: str, variant: str) -> tuple[int, int]:
-        pair = state.get(f"{candidate}|{variant}", (0, 0))
-        return int(pair[0]), int(pair[1])
-
-    def choose(members: list, cells: dict):
-        n, hits = cell(cells, "", NO_HELP)
-        if n < min_samples:
-            return None
-        base, options = hits / n, []
-        for m in members:
-            n_help, hit_help = cell(cells, m["id"], RELEVANT)
-            n_rand, hit_rand = cell(cells, m["id"], RANDOM)
-            if min(n_help, n_rand) < min_samples:
-                continue
-            q, r = hit_help / n_help, hit_rand / n_rand
-            if q_low <= q <= q_high and q > base + min_gain and q > r + min_gain:
-                rank = (m["plan_words"], abs(q - (q_low + q_high) / 2), m["dimension_rank"], m["id"])
-                options.append((rank, q, base, r))
-        return min(options) if options else None
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, seen, cells = (False, [], {}) if not state.exists else state.get
-        if done:
-            return
-        seen, cells = set(seen), {k: list(v) for k, v in dict(cells).items()}
-        members: list = []
-        for frame in frames:
-            if len(frame):
-                members = list(frame["members"].iloc[0])
-            rows = zip(frame["candidate_id"], frame["variant"], frame["sample_index"], frame["correct"])
-            for candidate, variant, index, correct in rows:
-                name = f"{candidate}|{variant}"
-                if f"{name}|{index}" in seen:
-                    continue
-                seen.add(f"{name}|{index}")
-                pair = cells.setdefault(name, [0, 0])
-                pair[0] += 1
-                pair[1] += int(bool(correct))
-        wanted = [f"|{NO_HELP}"] + [f"{m['id']}|{v}" for m in members for v in (RELEVANT, RANDOM)]
-        prefix = next(
-            (i for i in range(max_samples) if any(f"{w}|{i}" not in seen for w in wanted)), max_samples
-        )
-        best = choose(members, cells)
-        status = "selected" if best else ("exhausted" if prefix >= max_samples else "next_wave")
-        state.update((status != "next_wave", sorted(seen), cells))
-        end = min(max_samples, max(min_samples, prefix + sample_batch)) if status == "next_wave" else None
-        yield pd.DataFrame(
-            {
-                "root_id": [key[0]],
-                "status": [status],
-                "candidate_id": [best[0][3] if best else None],
-                "success_probability": [best[1] if best else None],
-                "no_help_probability": [best[2] if best else None],
-                "random_plan_probability": [best[3] if best else None],
-                "prefix": pd.array([prefix], dtype="Int32"),
-                "wave_end": pd.array([end], dtype="Int32"),
-            }
-        )
-
-    rows = unique_rollouts(stream).select(*KEYS, "correct").join(root_members(candidates), "root_id")
-    return rows.groupBy("root_id").applyInPandasWithState(
-        advance, DECISION, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # what this kind of state needs
+    candidate = F.coalesce("candidate_id", F.lit("")).alias("candidate_id")
+    position = F.col("log_pos") if "log_pos" in stream.columns else F.lit(None).cast("bigint").alias("log_pos")
+    rows = stream.select("root_id", candidate, "variant", "sample_index", "correct", position)
+    known = rows.join(expected_keys(candidates), ["root_id", "candidate_id", "variant"], "left_semi")
+    mode = "ProcessingTime" if ttl else "None"
+    masks = known.groupBy("root_id", "candidate_id", "variant").transformWithState(SampleMasks(max_samples, ttl), CELL, "Append", mode)
+    rule = StopRule(q_low, q_high, min_gain, min_samples, max_samples, sample_batch, ttl)
+    return masks.join(root_members(candidates), "root_id").groupBy("root_id").transformWithState(rule, DECISION, "Append", mode)

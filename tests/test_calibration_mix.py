@@ -146,10 +146,55 @@ def test_ring_control_against_a_walk(spark):
             if good:
                 want[x[1]] = good[0][1]
                 break
-    got = {r["id"]: r["control_id"] for r in co.ring_controls(df, 42, first_reach=1).collect()}
+    got = {r["id"]: r["control_id"] for r in co.ring_controls(df, 42).collect()}
     assert got == want
 
 
+def test_next_free_slots_against_a_walk(spark):
+    rng = random.Random(8)
+    size, blocked = 97, set()
+    for secret in "abcdef":
+        at = 1
+        while at <= size:
+            at += rng.choice([1, 2, 9])
+            for _ in range(rng.choice([1, 3, 30, 97])):
+                if at <= size:
+                    blocked.add((secret, at))
+                at += 1
+    blocked |= {("all", k) for k in range(1, size + 1)}
+    df = spark.createDataFrame(sorted(blocked), "secret string, at bigint")
+    for width in (1, 4, 10, 4096):
+        got = {(r["secret"], r["at"]): r["free"] for r in co.next_free(df, size, width).collect()}
+        assert got == {(s, k): next((x for x in range(k, size + 1) if (s, x) not in blocked), None) for s, k in blocked}
+
+
+def test_a_secret_in_all_plans_but_the_farthest(spark):
+    """Each root's control is the one clean root; no intermediate table holds a row per root and step."""
+    n = 3000
+    df = spark.range(n).selectExpr("concat('r', id) AS root_id", "concat('c', id) AS id", "'knowledge' AS dimension", "'x' AS reference",
+                                   "if(id = 0, 'clean', concat('x', id)) AS minimal_plan", "id AS log_pos")
+    sizes = []
+    whole = co.cut_lineage
+
+    def counted(frame):
+        out = whole(frame)
+        sizes.append(out.count())
+        return out
+
+    co.cut_lineage = counted
+    try:
+        got = co.ring_controls(df, 42, require_all=False).collect()
+    finally:
+        co.cut_lineage = whole
+    assert max(sizes) <= n
+    rank = {r["root_id"]: r["ring"] for r in rk.hash_rank(df.select("root_id"), ["root_id"], 42, "ring").collect()}
+    assert {r["control_id"] for r in got if r["root_id"] != "r0"} == {"c0"}
+    assert all(r["step"] == (rank["r0"] - rank[r["root_id"]]) % n for r in got if r["root_id"] != "r0")
+    assert [r["control_id"] for r in got if r["root_id"] == "r0"] == [None]  # all others show its reference
+    with pytest.raises(ValueError):
+        co.ring_controls(df, 42)
+
+
 def test_ranks_are_exact(spark):
     df = spark.range(1, 3001).withColumn("g", (F.col("id") % 3 == 0).cast("int"))
     ranks = [r["n"] for r in rk.position_rank(df, "id", "n", by=["g"], width=100).filter("g = 1").orderBy("id").collect()]
@@ -158,6 +203,65 @@ def test_ranks_are_exact(spark):
     assert sorted(r["n"] for r in hashed.collect()) == list(range(1, 3001))
 
 
+def test_slices_follow_the_rows(spark, monkeypatch):
+    """However far positions lie apart, there are few slices and none is large."""
+    cut = []
+    whole = rk.sliced_rank
+
+    def noted(df, order, slice_expr, name, by=()):
+        cut.extend(r["count"] for r in df.groupBy(slice_expr.alias("s")).count().collect())
+        return whole(df, order, slice_expr, name, by)
+
+    monkeypatch.setattr(rk, "sliced_rank", noted)
+    for positions in (range(5000), [k * 10**9 for k in range(5000)], [*range(4999), 10**18]):
+        cut.clear()
+        df = spark.createDataFrame([(p,) for p in positions], "at bigint")
+        got = sorted((r["at"], r["n"]) for r in rk.position_rank(df, "at", "n", width=100).collect())
+        assert got == [(p, k + 1) for k, p in enumerate(sorted(positions))]
+        assert 30 <= len(cut) <= 60 and max(cut) <= 250
+
+
+def test_an_unfilled_shard_is_an_error(spark):
+    history = spark.createDataFrame([(0, "a", 0, 20)], "shard int, root_id string, first_pos bigint, records bigint")
+    eligible = spark.createDataFrame([(x,) for x in "abc"], "root_id string")
+    assert sh.recover_manifests(eligible, history, [2, 1]).count() == 3
+    with pytest.raises(Exception, match="not enough eligible roots: 3 < 4"):
+        sh.recover_manifests(eligible, history, [2, 2]).collect()
+
+
+def test_masks_of_many_samples(spark):
+    """More samples than one number has bits: prefix and wave against a plain count."""
+    rng = random.Random(6)
+    candidates = spark.createDataFrame([(r, f"{r}::{c}") for r in "ab" for c in range(2)] + [("none", "none::0")], "root_id string, id string")
+    keys = {r: [("", "no_help"), *((f"{r}::{c}", v) for c in range(2) for v in ("relevant_plan", "random_plan"))] for r in "ab"}
+    logged = {(r, c, v, i) for r, reach in (("a", 130), ("b", 64)) for c, v in keys[r] for i in range(reach)}
+    logged |= {(r, c, v, rng.randrange(200)) for r in "ab" for c, v in keys[r] for _ in range(30)}
+    logged |= {("a", "a::9", "relevant_plan", 0), ("a", "", "no_help", 500), ("a", "", "no_help", -1), ("other", "", "no_help", 0)}
+    rows = [(*x,) if x[1] else (x[0], None, x[2], x[3]) for x in logged]
+    log = spark.createDataFrame(rows + rows[:50], "root_id string, candidate_id string, variant string, sample_index int")
+    want = {r: next((i for i in range(150) if any((r, *k, i) not in logged for k in keys[r])), 150) for r in "ab"} | {"none": 0}
+    assert {x.root_id: x.prefix for x in ca.completed_prefix(candidates, log, 150).collect()} == want
+    got = {tuple(x) for x in ca.pending_jobs(candidates, log, 1, 150, 70).collect()}
+    keys["none"] = [("", "no_help"), ("none::0", "relevant_plan"), ("none::0", "random_plan")]
+    assert got == {(r, *k, i) for r in keys for k in keys[r] for i in range(want[r], min(150, want[r] + 70)) if (r, *k, i) not in logged}
+
+
+def test_macro_needs_every_dataset(spark):
+    rows = [(d, m, 0.1 * k) for m in ("base", "new") for k, d in enumerate(rep.DATASETS)] + [(d, "short", 0.5) for d in rep.DATASETS[1:]] + [("extra", "base", 0.9)]
+    scores = spark.createDataFrame(rows, "dataset string, method string, score double")
+    with pytest.raises(Exception, match="short is not scored once on each of the 7 datasets"):
+        rep.eval_comparison(scores, "base").collect()
+    budgets = spark.createDataFrame([("base", 50, 32, 8)], "method string, steps int, prompts_per_step int, rollouts_per_prompt int")
+    got = rep.eval_comparison(scores, "base", incomplete="skip", budgets=budgets).collect()
+    assert len(got) == 16 and {r["method"] for r in got} == {"base", "new"}
+    macro = {r["method"]: r for r in got if r["dataset"] is None}
+    assert macro["base"]["score"] == pytest.approx(0.3) and macro["new"]["delta"] == pytest.approx(0.0)
+    assert (macro["base"]["trajectories"], macro["new"]["trajectories"]) == (12800, None)
+    twice = scores.filter("method <> 'short'").unionByName(spark.createDataFrame([("AIME24", "new", 0.2)], scores.schema))
+    with pytest.raises(Exception, match="new is not scored once"):
+        rep.eval_comparison(twice, "base").collect()
+
+
 def test_manifest_recovery(spark):
     rows = [(0, "a", 0, 20), (0, "b", 1, 10), (0, "shared", 2, 2), (1, "c", 0, 30), (1, "shared", 1, 18)]
     history = spark.createDataFrame(rows, "shard int, root_id string, first_pos bigint, records bigint")
