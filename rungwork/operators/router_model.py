@@ -50,7 +50,8 @@ def vocabulary(rows: DataFrame, grams: str, size: int, least_rows: int = 2) -> D
 
     Exact: counts combine before the shuffle, and equal counts are ordered by the gram.
     """
-    held = rows.select(F.monotonically_increasing_id().alias("row"), F.explode(grams).alias("gram"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col(grams).alias("grams"))
+    held = numbered.select("row", F.explode("grams").alias("gram"))
     per_row = held.groupBy("row", "gram").agg(F.count(F.lit(1)).alias("uses"))
     counts = per_row.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.sum("uses").alias("uses"))
     top = counts.filter(F.col("rows") >= least_rows).orderBy(F.desc("uses"), "gram").limit(size)

@@ -189,7 +189,7 @@ class StopRule(StatefulProcessor):
             fresh = [now & ~was for now, was in zip(row.seen, old[0])]
             self.cells.updateValue(name, ([was | new for was, new in zip(old[0], fresh)], [was | (r & new) for was, r, new in zip(old[1], row.right, fresh)]))
         cells = {tuple(k): (_bits(v[0]), _bits(v[1])) for k, v in self.cells.iterator()}
-        wanted = [("", NO_HELP), *((m.id, v) for m in members for v in (RELEVANT, RANDOM))]
+        wanted = [("", NO_HELP), *((m["id"], v) for m in members for v in (RELEVANT, RANDOM))]
         found = [cells.get(name, (0, 0)) for name in wanted]
         whole = (1 << self.max_samples) - 1
         for seen, _ in found:
@@ -199,7 +199,7 @@ class StopRule(StatefulProcessor):
         middle, usable = (self.q_low + self.q_high) / 2, []
         for m, q, other in zip(members, shares[::2], shares[1::2]):
             if None not in (base, q, other) and self.q_low <= q <= self.q_high and q > max(base, other) + self.min_gain:
-                usable.append(((m.plan_words, abs(q - middle), m.dimension_rank, m.id), q, other))
+                usable.append(((m["plan_words"], abs(q - middle), m["dimension_rank"], m["id"]), q, other))
         best = min(usable, default=None)
         status = "selected" if best else "exhausted" if prefix >= self.max_samples else "next_wave"
         if status != "next_wave":
