@@ -3,22 +3,42 @@
 Toxic documents go, repeated multi-line chunks go, one document of each near-duplicate group
 stays, sources are mixed to their target weights, and the mix is encoded. Every stage takes the
 documents that the one before has kept, written as Parquet; all but the last return the columns
-of ``documents``.
+of ``documents``. A stage's helper tables are deleted when the next one starts: by then its result
+is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rungwork.llm import bpe_matrix, line_chunks, ngram_jaccard, source_mix, toxicity_pu
-from rungwork.session import cut_lineage
+from rungwork.session import cut_lineage, drop_tables, helper_tables
 
 ORACLE_SQL = None  # learned scores and merges have no SQL; tests/llm holds brute-force versions
 SLOTS = 1 << 20
+_helpers: list[str] = []  # of the stage before
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that deletes the helper tables of the one before it and remembers its own."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _helpers)
+        with helper_tables() as paths:
+            out = work(spark, docs, sf_dir)
+        _helpers[:] = paths
+        return out
+
+    return run_stage
 
 
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; labels only come from the training fold."""
     model = toxicity_pu.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,11 +49,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(out) < 0.5).select(docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated chunks of lines but for their first places."""
     return line_chunks.dedup_lines(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; of rows with one id and text one stays.
 
@@ -54,11 +76,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rest.select("row").unionByName(kept.select("row")).select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; on a source's border the first words of one."""
     return source_mix.mixed_documents(docs)
 
 
+@stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,6 +100,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    for _, work in STAGES:
+        docs = cut_lineage(work(spark, docs, sf_dir))
     return docs

@@ -1,7 +1,9 @@
 """Line dedup by content-defined chunks of lines (native).
 
-Lines get a hash each, and a cyclic rolling hash over ``2`` line hashes ends a chunk where it is a
-multiple of ``spread``; so the same passage is cut alike wherever it stands. A chunk of at least
+Lines get a hash each, and a cyclic rolling hash over ``2`` line hashes marks lines where it is a
+multiple of ``spread``. A chunk ends at a marked line behind an unmarked one, but not at the last
+line but one, so every chunk of a text of two lines has at least two, and the same passage is cut
+alike wherever it stands: an end depends on three lines. A chunk of at least
 ``least`` lines that occurs again anywhere is removed everywhere but at its first place (smallest
 doc_id, then text hash, then position), after its bytes were compared with the first one's.
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rungwork.session import cut_lineage
 
-SPREAD = 3
+SPREAD = 2
 LEAST = 2
 SLOTS = 1 << 20
 
@@ -39,17 +41,21 @@ def chunks(text: Column, spread: int = SPREAD) -> Column:
     def turned(value: Column) -> Column:
         return (value * 2) % ring + F.floor(value * 2 / ring).cast("long")
 
-    def ends(hashes: Column) -> Column:
-        last = F.size(hashes) - 1
+    def marks(hashes: Column) -> Column:
+        """Whether the rolling hash at each line is a multiple of ``spread``; the first line has none."""
+        return F.transform(hashes, lambda h, i: (i > 0) & (h.bitwiseXOR(turned(F.get(hashes, i - 1))) % spread == 0))
+
+    def ends(marked: Column) -> Column:
+        last = F.size(marked) - 1
         inner = F.filter(
-            F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i > 0) & (F.get(hashes, i).bitwiseXOR(turned(F.get(hashes, i - 1))) % spread == 0),
+            F.when(last > 2, F.sequence(F.lit(1), last - 2)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.get(marked, i) & ~F.get(marked, i - 1),
         )
         return F.concat(F.array(F.lit(-1)), inner, F.array(last))
 
     def cut(lines: Column) -> Column:
         return once(
-            once(F.transform(lines, hash_of), ends),
+            once(once(F.transform(lines, hash_of), marks), ends),
             lambda e: F.transform(
                 F.sequence(F.lit(1), F.size(e) - 1),
                 lambda k: F.array_join(F.slice(lines, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1)), "\n"),
@@ -131,7 +137,9 @@ WITH l AS (
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 h AS (SELECT doc_id, hash, p[1] AS line, p[2] AS i, ('0x' || substr(md5(p[1]), 1, 7))::BIGINT AS v FROM l),
 r AS (SELECT *, lag(v) OVER w AS u, lead(i) OVER w AS nxt FROM h WINDOW w AS (PARTITION BY doc_id, hash ORDER BY i)),
-e AS (SELECT *, CASE WHEN nxt IS NULL OR (i > 0 AND xor(v, (u * 2) % 268435456 + (u * 2) // 268435456) % 3 = 0) THEN 1 ELSE 0 END AS is_end FROM r),
+m AS (SELECT *, coalesce(i > 0 AND xor(v, (u * 2) % 268435456 + (u * 2) // 268435456) % 2 = 0, false) AS marked FROM r),
+o AS (SELECT *, lag(marked) OVER w AS behind, lead(nxt) OVER w AS nxt2 FROM m WINDOW w AS (PARTITION BY doc_id, hash ORDER BY i)),
+e AS (SELECT *, CASE WHEN nxt IS NULL OR (marked AND NOT behind AND nxt2 IS NOT NULL) THEN 1 ELSE 0 END AS is_end FROM o),
 n AS (SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id, hash ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
 c AS (SELECT doc_id, hash, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines FROM n GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, hash, place) > 1 AND lines >= 2 AS gone FROM c),

@@ -31,6 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OUT = ("size", "source_size", "target", "taken")
+SOURCES = 100_000  # whose borders are broadcast
 
 
 def words(text: Column) -> Column:
@@ -70,9 +71,13 @@ def source_targets(sizes: DataFrame, budget: float, most: float, weights: Sequen
     return levels.select("source", "source_size", "docs", target.alias("target"))
 
 
-def mix(
+def sampling_key(doc_id: Column, text: Column, seed: int, weight: Column | None) -> Column:
+    return -F.log(uniform(doc_id, seed)) / (quality(text) if weight is None else weight)
+
+
+def _placed(
     docs: DataFrame,
-    keep: Sequence[str] | None = None,
+    keep: Sequence[str],
     budget: float = 1.5,
     most: float = 2.0,
     weights: Sequence[int] = WEIGHTS,
@@ -80,21 +85,14 @@ def mix(
     seed: int = 11,
     slice_rows: int = 1_000,
 ) -> DataFrame:
-    """Add size, source_size, target and taken to the ``keep`` columns (all of them by default).
-
-    ``weight`` replaces the quality of a document; it must be positive.
-    """
-    keep = list(docs.columns if keep is None else keep)
-    if clash := set(OUT) & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are there already; leave them out of keep=")
-    drawn = -F.log(uniform(F.col("doc_id"), seed)) / (quality(F.col("text")) if weight is None else weight)
+    """Per document: ``row`` (the ``keep`` columns), source, key, doc_id, size, its source's figures, ``epochs`` and ``part``."""
     rows = cut_lineage(
         docs.select(
-            F.struct(*keep).alias("row"),
+            F.struct(F.lit(0).alias(""), *keep).alias("row"),
             F.col("source").alias("source"),
             F.col("doc_id").alias("doc_id"),
             words(F.col("text")).alias("size"),
-            drawn.alias("key"),
+            sampling_key(F.col("doc_id"), F.col("text"), seed, weight).alias("key"),
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
@@ -115,29 +113,87 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("ahead")))
-    taken = (F.col("epochs") * F.col("size") + part).cast("long")
-    return placed.withColumn("epochs", epochs).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
+    return placed.withColumn("epochs", epochs).withColumn("part", part)
+
+
+def mix(docs: DataFrame, keep: Sequence[str] | None = None, **settings) -> DataFrame:
+    """Add size, source_size, target and taken to the ``keep`` columns (all of them by default).
+
+    Settings: ``budget``, ``most``, ``weights``, ``seed``, ``slice_rows`` and ``weight``, which
+    replaces the quality of a document and must be positive.
+    """
+    keep = list(docs.columns if keep is None else keep)
+    if clash := set(OUT) & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are there already; leave them out of keep=")
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
+    placed = _placed(docs, keep, **settings)
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
+
 
+def borders(placed: DataFrame) -> DataFrame:
+    """One row a source: epochs, the first place in its order that is not taken whole, and what is taken there.
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the last time maybe its first words only."""
+    ``words`` is the amount of all documents of that place and ``alike`` their number; the place
+    is null where the whole source is taken.
+    """
+    place = F.struct(F.col("key"), F.col("doc_id").isNotNull().alias("named"), "doc_id", "size")
+    at = placed.withColumn("place", place)
+    first = at.groupBy("source").agg(F.max("epochs").alias("epochs"), F.min(F.when(F.col("part") < F.col("size"), F.col("place"))).alias("border"))
+    first = cut_lineage(first)
+    named = first.select(F.col("source").alias("of"), F.col("border").alias("b")).where("b is not null")
+    met = at.join(named, F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("b")))
+    tied = met.groupBy("of").agg(F.sum("part").alias("words"), F.count(F.lit(1)).alias("alike"))
+    return first.join(tied, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), F.col("epochs").alias("times"), "border", "words", "alike")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 11, weight: Column | None = None, **settings) -> DataFrame:
+    """The mix itself: each document as often as it is taken, the last time maybe its first words only.
+
+    Only ids, sizes and keys are put in order; from them comes one border a source, and each
+    document is compared with its source's border where it lies. Texts are not moved, but for
+    documents that share a border, which are numbered to the last word.
+    """
     columns = docs.columns
-    taken = mix(docs.withColumnsRenamed({c: f"in_{c}" for c in columns}).withColumns(
-        {c: F.col(f"in_{c}") for c in ("doc_id", "source", "text")}
-    ), keep=[f"in_{c}" for c in columns], **settings)
-    size = F.col("size")
-    whole = F.floor(F.col("taken") / F.when(size > 0, size))
-    shares = F.concat(
-        F.array_repeat(size, whole.cast("int")),
-        F.when(F.col("taken") > whole * size, F.array(F.col("taken") - whole * size)).otherwise(F.array().cast("array<bigint>")),
-    )
-    copies = taken.where("taken > 0").withColumn("share", F.explode(shares))
-    first = F.array_join(F.slice(F.regexp_extract_all("in_text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("share").cast("int")), "")
-    text = F.when(F.col("share") == size, F.col("in_text")).otherwise(first)
+    given = docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"))
+    needed = {c: F.col(f"row.{c}") for c in ("doc_id", "source", "text")}
+    narrow = _placed(docs, [], seed=seed, weight=weight, **settings)
+    marks = cut_lineage(borders(narrow))
+    size = words(needed["text"])
+    place = F.struct(sampling_key(needed["doc_id"], needed["text"], seed, weight).alias("key"), needed["doc_id"].isNotNull().alias("named"), needed["doc_id"].alias("doc_id"), size.alias("size"))
+    few = marks.count() <= SOURCES
+    if weight is not None:  # an expression over the input's columns
+        given = docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), weight.alias("__weight"))
+        place = F.struct(sampling_key(needed["doc_id"], needed["text"], seed, F.col("__weight")).alias("key"), *[f for f in (needed["doc_id"].isNotNull().alias("named"), needed["doc_id"].alias("doc_id"), size.alias("size"))])
+    known = given.select("row", place.alias("place")).join(F.broadcast(marks) if few else marks, needed["source"].eqNullSafe(F.col("of")))
+    many = not marks.where("alike > 1").isEmpty()
+    at_border = F.coalesce(F.col("place") == F.col("border"), F.lit(False))
+    before = F.col("border").isNull() | (F.col("place") < F.col("border"))
+    part = F.when(at_border, F.col("words")).when(before, F.col("place.size")).otherwise(F.lit(0))
+    if many:
+        alone = ~at_border | (F.col("alike") == 1)
+        shared = cut_lineage(known.where(~alone).withColumn("nr", F.monotonically_increasing_id()))
+        group = F.shiftright("nr", 33)  # of one written task
+        counts = shared.groupBy("of", group.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("nr").alias("least"))
+        along = Window.partitionBy("of").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(F.col("of").alias("o"), F.col("task").alias("t"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset"))
+        inside = Window.partitionBy("of", "task").orderBy("nr")
+        numbered = shared.withColumn("task", group).withColumn("k", F.row_number().over(inside) - 1)
+        numbered = numbered.join(offsets, F.col("of").eqNullSafe(F.col("o")) & (F.col("task") == F.col("t")))
+        left = F.col("words") - (F.col("offset") + F.col("k")) * F.col("place.size")
+        some = numbered.withColumn("part", F.greatest(F.lit(0), F.least(F.col("place.size"), left)).cast("long"))
+        both = known.where(alone).withColumn("part", part.cast("long")).select("row", "place", "times", "part")
+        taken = both.unionByName(some.select("row", "place", "times", "part"))
+    else:
+        taken = known.withColumn("part", part.cast("long")).select("row", "place", "times", "part")
+    whole = F.array_repeat(F.col("place.size"), F.col("times").cast("int"))
+    shares = F.concat(whole, F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    copies = taken.where("place.size > 0").select("row", F.col("place.size").alias("size"), F.explode(shares).alias("share"))
+    first = F.array_join(F.slice(F.regexp_extract_all(needed["text"], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("share").cast("int")), "")
+    text = F.when(F.col("share") == F.col("size"), needed["text"]).otherwise(first)
     shown = {"text": text}
     if "n_chars" in columns:  # follows a text that was cut
-        shown["n_chars"] = F.when(F.col("share") == size, F.col("in_n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return copies.select(*[shown.get(c, F.col(f"in_{c}")).alias(c) for c in columns])
+        shown["n_chars"] = F.when(F.col("share") == F.col("size"), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[shown.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
 SQL = """

@@ -158,7 +158,12 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    return train(*training_rows(docs, labels, fit), fit)
+    """Fitted on the driver from bounded samples, whose memory is handed back at the end."""
+    rows = training_rows(docs, labels, fit)
+    model = train(*rows, fit)
+    del rows
+    release_memory()
+    return model
 
 
 def scores_of(texts: list[str | None], model: Model, known: dict[str, float]) -> list[float]:

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -115,11 +116,11 @@ def cut_lines(text):
     lines = text.split("\n")
     ring = 1 << 28
     value = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    marked = [i > 0 and (value[i] ^ (value[i - 1] * 2 % ring + value[i - 1] * 2 // ring)) % line_chunks.SPREAD == 0 for i in range(len(lines))]
     out, part = [], []
     for i, line in enumerate(lines):
         part.append(line)
-        before = value[i - 1] * 2
-        if i == len(lines) - 1 or (i > 0 and (value[i] ^ (before % ring + before // ring)) % line_chunks.SPREAD == 0):
+        if i == len(lines) - 1 or (marked[i] and not marked[i - 1] and i < len(lines) - 2):
             out.append("\n".join(part))
             part = []
     return out
@@ -160,6 +161,34 @@ def test_line_chunks_equal_brute_force(spark):
     assert line_chunks.dedup_lines(frame(spark, [])).count() == 0
 
 
+def repeated_runs(texts):
+    """Lines in runs of two or more consecutive lines that also stand, as a run, in an earlier text: (text, line)."""
+    seen, out = set(), set()
+    for k, text in enumerate(texts):
+        lines = text.split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        out |= {(k, i + j) for i, pair in enumerate(pairs) if pair in seen for j in (0, 1)}
+        seen.update(pairs)
+    return out
+
+
+def test_runs_of_repeated_lines_go(spark):
+    """Coverage against the repeated runs themselves, not against the cutter: most of their lines go, all lines once stay."""
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    left = {x.doc_id: x.text.split("\n") for x in line_chunks.dedup_lines(frame(spark, rows)).collect()}
+    runs = repeated_runs([t for _, t in rows])
+    gone = sum(len(t.split("\n")) - len(left[i] if left[i] != [""] or t == "" else []) for i, t in rows)
+    assert gone >= 0.8 * len(runs)
+    kept = {line for lines in left.values() for line in lines}
+    assert kept >= {line for _, t in rows for line in t.split("\n")} - {""}
+    for n in (12, 30):  # a passage shared by texts that differ around it: all but its edges goes from the later ones
+        passage = [f"line {n} {k}" for k in range(n)]
+        texts = [(k, "\n".join([f"a{k} {j}" for j in range(k % 5 + 1)] + passage + [f"b{k} {j}" for j in range(k % 3 + 1)])) for k in range(20)]
+        out = {x.doc_id: x.text for x in line_chunks.dedup_lines(frame(spark, texts)).collect()}
+        stay = [sum(line in out[k].split("\n") for line in passage) for k in range(20)]
+        assert stay[0] == n and max(stay[1:]) <= 12 and len(set(stay[1:])) <= 6
+
+
 # --- long repeats ---------------------------------------------------------------------------
 
 
@@ -215,10 +244,40 @@ def test_last_bytes_of_a_long_text_count(spark):
 
 
 def parts_of(text):
-    found = [x for x in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n", text) if x]
-    if len(found) < iblt_fingerprint.FEW:
-        found += [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
-    return set(found)
+    lines = re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n", text)
+    return {x.rstrip(" \t\n\x0b\f\r") for s in lines for x in re.findall(r"(?:[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*){1,8}", s)}
+
+
+def digests_of(text):
+    """Spark's xxhash64 of strings, as signed numbers."""
+    return {int.from_bytes(xxhash.xxh64(p.encode(), seed=42).digest(), "big", signed=True) for p in parts_of(text)}
+
+
+def cells_of(fingerprint):
+    """cell -> (count, key, check) of a fingerprint's text."""
+    out = {}
+    for cell in filter(None, fingerprint.split(".")):
+        head, key, check = cell.split(":")
+        out[int(head[:2], 16)] = (int(head[2:], 16), int(key, 16), int(check, 16))
+    return out
+
+
+def read_difference(one, two):
+    """Keys only in one and only in two, peeled from two fingerprints; None where cells are left."""
+    x, y = cells_of(one), cells_of(two)
+    left = {c: [a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]] for c in x.keys() | y.keys() for a, b in [(x.get(c, (0, 0, 0)), y.get(c, (0, 0, 0)))]}
+    known = {}
+    while single := {(n, k, h) for n, k, h in left.values() if abs(n) == 1 and k in known_checks and known_checks[k] == h}:
+        for n, k, h in single:
+            known[k] = n
+            for c in places[k]:
+                left[c] = [left[c][0] - n, left[c][1] ^ k, left[c][2] ^ h]
+    if any(any(v) for v in left.values()):
+        return None
+    return {k for k, n in known.items() if n == 1}, {k for k, n in known.items() if n == -1}
+
+
+known_checks, places = {}, {}
 
 
 def alike(a, b):
@@ -246,11 +305,51 @@ def test_fingerprints_equal_brute_force(spark, monkeypatch, slice_rows):
     assert marks[1000] == marks[1001] == marks[1002] and marks[0] != marks[7]
 
 
-def test_peeling_recovers_the_digests(spark):
-    rows = [(0, 1, list(range(60)), list(range(5, 65))), (0, 2, [1], [1]), (0, 3, [], [9, 8]), (1, 1, list(range(300)), [])]
+@pytest.mark.parametrize("levels", [8, 1])  # larger sketches; and the sets themselves where none is left to try
+def test_peeling_recovers_the_digests(spark, levels):
+    rows = [(0, 1, list(range(1, 60)), list(range(5, 65))), (0, 2, [1], [1]), (0, 3, [], [9, 8]), (1, 1, list(range(1, 3000)), [])]
     table = spark.createDataFrame(rows, "slice long, place int, x array<long>, y array<long>")
-    out = {(d.slice, d.place): sorted(d.digests) for d in iblt_fingerprint.differences(table, {0: ("x", "y")}, digests=True).collect()}
-    assert out == {(0, 1): sorted([*range(5), *range(60, 65)]), (0, 3): [8, 9], (1, 1): list(range(300))}
+    found = iblt_fingerprint.differences(table, ["x", "y"], {0: (0, 1)}, listed=(0,), levels=levels).collect()
+    out = {(d.slice, d.place): (d.found, sorted(d.only_x), sorted(d.only_y)) for d in found}
+    assert out == {(0, 1): (9, [1, 2, 3, 4], [60, 61, 62, 63, 64]), (0, 3): (2, [], [8, 9]), (1, 1): (2999, list(range(1, 3000)), [])}
+    assert {(d.slice, d.place): d.level for d in found}[(0, 1)] == 0  # read from the first sketches
+    counted = iblt_fingerprint.differences(table, ["x", "y"], {0: (0, 1)}, levels=levels).collect()
+    assert {(d.slice, d.place): (d.found, d.only_x, d.only_y) for d in counted} == {k: (n, [], []) for k, (n, _, _) in out.items()}
+
+
+def test_fingerprints_of_the_given_documents(spark):
+    """Equal texts have equal fingerprints with any neighbour, other paragraph sets others; the likeness is that of the emitted sketches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0").selectExpr("1000 - doc_id AS doc_id", "text")).withColumn("slice", F.lit("x"))
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    out = iblt_fingerprint.compare_versions(docs).collect()
+    assert len(out) == docs.count()
+    sets = {i: frozenset(digests_of(t)) for i, t in texts.items()}
+    marks = {}
+    for x in out:
+        marks.setdefault(sets[x.doc_id], set()).add(x.fingerprint)
+        assert sum(n for c, (n, _, _) in cells_of(x.fingerprint).items() if c < iblt_fingerprint.CELLS) == len(sets[x.doc_id])
+    assert all(len(m) == 1 for m in marks.values()) and len({min(m) for m in marks.values()}) == len(marks)
+    ordered = sorted(out, key=lambda x: x.doc_id)
+    every = sorted({d for s in sets.values() for d in s})
+    more = [digests_of(t) for k, x in enumerate(ordered) for t in [texts[x.doc_id][: len(texts[x.doc_id]) - len(texts[x.doc_id]) // 2] + texts[ordered[(k + 1) % len(ordered)].doc_id][: len(texts[x.doc_id]) // 2]]]
+    every = sorted(set(every).union(*more))
+    cells = spark.createDataFrame([(d,) for d in every], "d long").select(
+        "d", iblt_fingerprint.check_of(F.col("d")).alias("h"), *[iblt_fingerprint.cell_of(F.col("d"), j, F.lit(iblt_fingerprint.CELLS), 0).alias(f"c{j}") for j in range(3)]
+    )
+    for c in cells.collect():
+        known_checks[c.d % 2**64], places[c.d % 2**64] = c.h % 2**32, (c.c0, c.c1, c.c2)
+    read = 0
+    for x, edited in zip(ordered, more):
+        both = sets[x.doc_id] | edited
+        assert x.near_edited == pytest.approx(1.0 if not both else len(sets[x.doc_id] & edited) / len(both))
+        assert (set(x.only_text), set(x.only_edited)) == (sets[x.doc_id] - edited, edited - sets[x.doc_id])
+        told = read_difference(x.fingerprint, x.edited_fingerprint)
+        assert x.level in (None, 0) or told is None
+        if told is not None:
+            read += 1
+            assert told == ({d % 2**64 for d in x.only_text}, {d % 2**64 for d in x.only_edited})
+    assert read > len(out) // 4
 
 
 def test_far_ids_leave_slices_even(spark, monkeypatch):
@@ -261,3 +360,18 @@ def test_far_ids_leave_slices_even(spark, monkeypatch):
     assert max(Counter(x.slice for x in got).values()) <= 40
     after = {x.text: x.next for x in got}
     assert len(got) == len(rows) and all(after[a] == b for (_, a), (_, b) in zip(rows, rows[1:] + rows[:1]))
+
+
+def test_a_hot_id_is_split_by_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(iblt_fingerprint, "SLICE", 20)
+    rows = [(i, f"text {i}") for i in range(100)] + [(50, f"more {i}") for i in range(200)]
+    placed, _ = iblt_fingerprint.with_next(frame(spark, rows))
+    got = placed.collect()
+    assert len(got) == len(rows) and max(Counter(x.slice for x in got).values()) <= 60
+    after = {x.text: x.next for x in got}
+    seen, at = [], "text 0"
+    while at not in seen:  # one ring through all rows, by ascending id
+        seen.append(at)
+        at = after[at]
+    ids = {t: i for i, t in rows}
+    assert len(seen) == len(rows) and at == "text 0" and [ids[t] for t in seen] == sorted(ids[t] for t in seen)
