@@ -113,7 +113,7 @@ def _placed(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("ahead")))
-    return placed.withColumn("epochs", epochs).withColumn("part", part)
+    return placed.withColumn("epochs", epochs).select("row", "source", "key", "doc_id", "size", "source_size", "target", "epochs", part.alias("part"))
 
 
 def mix(docs: DataFrame, keep: Sequence[str] | None = None, **settings) -> DataFrame:

@@ -274,6 +274,20 @@ def test_mix_meets_the_reshared_targets(spark, slice_rows):
     assert words == +taken
 
 
+def test_equal_documents_share_a_border_to_the_word(spark):
+    """Most of a source is one repeated row: copies are taken whole but for one, and the target is met."""
+    rows = [(5, "hot", "same words in every row")] * 300 + [(i, "hot", f"own {i}") for i in range(100, 130)] + [(7, "other", "one two three")] * 9 + [(None, None, "x y")] * 8
+    docs = frame(spark, rows, "doc_id long, source string, text string", parts=6)
+    targets = {x.source: x.target for x in source_mix.mix(docs, keep=["source"]).collect()}
+    mixed = source_mix.mixed_documents(docs).collect()
+    words = Counter()
+    for x in mixed:
+        words[x.source] += len(x.text.split())
+    assert {s: int(t) for s, t in targets.items()} == dict(words)
+    cut = [x for x in mixed if (x.doc_id, x.source, x.text) not in set(rows)]
+    assert len(cut) <= 3
+
+
 def test_mix_prefers_heavier_documents(spark):
     rows = [(i, "s" if i % 2 else "t", "word " * 10) for i in range(2000)]
     docs = frame(spark, rows, "doc_id long, source string, text string")

@@ -339,17 +339,17 @@ def test_fingerprints_of_the_given_documents(spark):
     )
     for c in cells.collect():
         known_checks[c.d % 2**64], places[c.d % 2**64] = c.h % 2**32, (c.c0, c.c1, c.c2)
-    read = 0
+    read = late = 0  # late: read here, but not by the query's bounded number of passes
     for x, edited in zip(ordered, more):
         both = sets[x.doc_id] | edited
         assert x.near_edited == pytest.approx(1.0 if not both else len(sets[x.doc_id] & edited) / len(both))
         assert (set(x.only_text), set(x.only_edited)) == (sets[x.doc_id] - edited, edited - sets[x.doc_id])
         told = read_difference(x.fingerprint, x.edited_fingerprint)
-        assert x.level in (None, 0) or told is None
+        late += x.level not in (None, 0) and told is not None
         if told is not None:
             read += 1
             assert told == ({d % 2**64 for d in x.only_text}, {d % 2**64 for d in x.only_edited})
-    assert read > len(out) // 4
+    assert read > len(out) // 4 and late <= len(out) // 20
 
 
 def test_far_ids_leave_slices_even(spark, monkeypatch):
