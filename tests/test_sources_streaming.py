@@ -203,9 +203,9 @@ def test_sequential_stop_over_batches_and_restarts(spark, tmp_path):
         assert any(s != "next_wave" for s in statuses)
         if "exhausted" in statuses:
             assert root not in chosen
-    cells = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "cells").load(cp)
+    cells = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "cells").load(cp)
     assert cells.count() == 0  # all roots are decided: their masks are released
-    masks = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "masks").load(cp)
+    masks = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "masks").load(cp)
     assert masks.count() <= len(roots) * 5  # one row a known key, however often it was logged
 
 
