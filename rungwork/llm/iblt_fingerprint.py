@@ -6,9 +6,10 @@ three subtables; a cell holds a count and the xor of digests and of their check
 fingerprint is this sketch, written out cell by cell. Fingerprints of two versions are subtracted:
 what both have cancels out. A cell with count 1 or -1 and a fitting check hash holds one differing
 digest; it is taken out of its other cells, subtable by subtable, until nothing is left. Only where
-cells are left, larger sketches of the two sets with other hashes are subtracted, four times the
-size a level, at most as large as the two sets need; should ``LEVELS`` of them fail, which has no
-known case, the sets themselves are compared. Likeness is that of the paragraph sets (Jaccard): a
+cells are left, or the counts say beforehand that the sketch is too full, larger sketches of the two
+sets with other hashes are subtracted: sized by the number of differences that the counts suggest,
+twice the size a level, at most as large as the two sets need. Should ``LEVELS`` of them fail, which
+has no known case, the sets themselves are compared. Likeness is that of the paragraph sets (Jaccard): a
 sketch's counts give the set's size, the recovered digests the difference.
 
 The next document is the next row by id. Ids are cut by approximate quantiles into slices of about
@@ -37,11 +38,14 @@ from rungwork.session import checkpoint_folder, cut_lineage
 
 SLICE = 2_000
 CUTS = 10_000
-WORDS = 8
+WORDS = 16
 CELLS = 16  # of each subtable in the fingerprint: some 35 differences can be read from it
 TABLES = 3
-PASSES = 12
+PASSES = 9  # three for each subtable
 LEVELS = 8
+FULL = -2  # instead of a cell: the sketch has too many members
+LOAD = 0.75  # members a cell that are tried to read
+ROOM = 2.0  # cells a guessed member of the larger sketches
 KEY = ("slice", "place", "pair")
 
 
@@ -128,7 +132,7 @@ def peel(cells: DataFrame, level: int, listed: tuple[int, ...] = (), passes: int
     A pass looks at one subtable, where a digest has one cell, so none is taken out twice.
     """
     zero = F.lit(0).cast("long")
-    cells = cells.withColumn("known", zero).withColumn("count", F.lit(0))
+    cells = cells.withColumn("known", zero).withColumn("count", F.when(F.col("cell") == FULL, F.col("check")).otherwise(0))
     for turn in range(passes):
         table = turn % TABLES
         inside = F.floor(F.col("cell") / F.col("cells")) == table
@@ -139,7 +143,7 @@ def peel(cells: DataFrame, level: int, listed: tuple[int, ...] = (), passes: int
 
         out = [row(cell_of(F.col("key"), j, F.col("cells"), level), -F.col("n"), F.col("key"), F.col("check"), zero, F.lit(0)) for j in range(TABLES) if j != table]
         name = F.when(F.col("pair").isin(*listed), F.col("key")).otherwise(zero) if listed else zero
-        found = F.array(row(F.lit(-1), F.col("n"), zero, F.lit(0), name, F.lit(1)), *out)
+        found = F.array(row(F.lit(-1), F.col("n"), zero, F.lit(0), name, F.lit(1)), *out)  # the digest goes into a row of its own
         same = F.array(row(*[F.col(c) for c in ("cell", "n", "key", "check", "known", "count")]))
         moved = cells.select(*KEY, "cells", F.explode(F.when(alone, found).otherwise(same)).alias("r")).select(*KEY, "cells", "r.*")
         cells = (
@@ -151,46 +155,65 @@ def peel(cells: DataFrame, level: int, listed: tuple[int, ...] = (), passes: int
 
 
 def _result(cells: DataFrame) -> DataFrame:
-    """Per (slice, place, pair): digests found, cells left open, and the listed digests of each side."""
-    taken = F.col("cell") < 0
+    """Per (slice, place, pair): digests found, cells left open, the guess of a full sketch, and the listed digests of each side."""
+    taken = F.col("cell") == -1
     return cells.groupBy(*KEY).agg(
-        F.sum("count").alias("found"),
+        F.sum(F.when(taken, F.col("count")).otherwise(0)).alias("found"),
         F.sum(F.when(taken, 0).otherwise(1)).alias("open"),
+        F.max(F.when(F.col("cell") == FULL, F.col("count"))).alias("guess"),
         F.collect_list(F.when(taken & (F.col("known") != 0) & (F.col("n") > 0), F.col("known"))).alias("only_x"),
         F.collect_list(F.when(taken & (F.col("known") != 0) & (F.col("n") < 0), F.col("known"))).alias("only_y"),
     )
 
 
+def weighed(cells: DataFrame) -> DataFrame:
+    """Differences with too many members for their cells become one row of cell ``FULL``, whose check is the guess of their number.
+
+    A member adds 1 or -1 to one cell of each subtable, so the squares of the counts add up to
+    about the number of members, subtable by subtable.
+    """
+    held = F.collect_list(F.struct("cell", "n", "key", "check")).alias("held")
+    whole = cells.groupBy(*KEY, "cells").agg(held, F.ceil(F.sum(F.col("n") * F.col("n")) / TABLES).cast("int").alias("guess"))
+    zero = F.lit(0)
+    full = F.struct(F.lit(FULL).alias("cell"), F.lit(1).alias("n"), zero.cast("long").alias("key"), F.col("guess").alias("check"))
+    shown = F.when(F.col("guess") <= F.col("cells") * TABLES * LOAD, F.col("held")).otherwise(F.array(full))
+    return whole.select(*KEY, "cells", F.explode(shown).alias("h")).select(*KEY, "cells", "h.*")
+
+
 def differences(rows: DataFrame, sides: list[str], pairs: dict[int, tuple[int, int]], listed: tuple[int, ...] = (), cells: int = CELLS, levels: int = LEVELS) -> DataFrame:
     """Written: (slice, place, pair, found, only_x, only_y, level) of the pairs of sides that differ.
 
     ``rows`` has slice, place and the arrays that ``sides`` names. Level 0 subtracts the sketches
-    of ``cells`` a subtable; pairs that are not read from them go on to larger ones.
+    of ``cells`` a subtable; pairs that are not read from them go on to larger ones, sized by what
+    level 0 says about their number.
     """
     held = sketches(rows, sides, F.lit(cells), 0)
     left = [F.struct(F.lit(k).alias("pair"), *[v.alias(n) for n, v in subtract(held, x, y).items()]) for k, (x, y) in pairs.items()]
     first = held.select("slice", "place", "cells", "cell", F.explode(F.array(*left)).alias("p")).select("slice", "place", "p.pair", "cells", "cell", "p.n", "p.key", "p.check")
-    result = cut_lineage(_result(peel(first.where("n <> 0 or key <> 0 or check <> 0"), 0, listed)))
-    done = result.where("open = 0").drop("open").withColumn("level", F.lit(0))
+    result = cut_lineage(_result(peel(weighed(first.where("n <> 0 or key <> 0 or check <> 0")), 0, listed)))
+    kept = [*KEY, "found", "only_x", "only_y"]
+    done = result.where("open = 0").select(*kept, F.lit(0).alias("level"))
     sets = rows.select("slice", "place", F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), F.col(sides[x]).alias("x"), F.col(sides[y]).alias("y")) for k, (x, y) in pairs.items()])).alias("p"))
     sets = sets.select("slice", "place", "p.*")
+    guess = F.coalesce("guess", F.lit(cells * TABLES))
+    failed = result.where("open > 0").select(*KEY, guess.alias("guess"))
     for level in range(1, levels + 1):
-        failed = result.where("open > 0").select(*KEY)
         if failed.isEmpty():
             return done
-        waiting = failed.groupBy(F.col("slice").alias("s")).agg(F.collect_set(F.struct("place", "pair")).alias("waiting"))
-        todo = sets.join(waiting, F.col("slice") == F.col("s")).where(F.array_contains("waiting", F.struct("place", "pair")))
+        todo = sets.join(failed, list(KEY))
         if level == levels:
             x, y = F.array_except("x", "y"), F.array_except("y", "x")
             empty = F.array().cast("array<bigint>")
             shown = F.col("pair").isin(*listed) if listed else F.lit(False)
             exact = todo.select(*KEY, (F.size(x) + F.size(y)).cast("long").alias("found"), F.when(shown, x).otherwise(empty).alias("only_x"), F.when(shown, y).otherwise(empty).alias("only_y"))
             return done.unionByName(cut_lineage(exact.withColumn("level", F.lit(level))))
-        ample = F.ceil((F.size("x") + F.size("y")) * 0.6 * (1 + level / 4)) + 4  # a difference is never larger than both sets
-        larger = sketches(todo, ["x", "y"], F.least(F.lit(cells * 4**level), ample), level, KEY)
+        most = F.size("x") + F.size("y")  # a difference is never larger than both sets
+        wanted = F.ceil(F.least(F.col("guess") * 2 ** (level - 1), most * (1 + level / 4)) * ROOM / TABLES) + 8
+        larger = sketches(todo, ["x", "y"], wanted, level, (*KEY, "guess"))
         cut = larger.select(*KEY, "cells", "cell", *[v.alias(n) for n, v in subtract(larger, 0, 1).items()])
         result = cut_lineage(_result(peel(cut.where("n <> 0 or key <> 0 or check <> 0"), level, listed)))
-        done = done.unionByName(result.where("open = 0").drop("open").withColumn("level", F.lit(level)))
+        done = done.unionByName(result.where("open = 0").select(*kept, F.lit(level).alias("level")))
+        failed = result.where("open > 0").select(*KEY).join(failed, list(KEY))
     return done
 
 
