@@ -252,7 +252,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         F.col("parts").alias("a"), paragraphs(F.col("edited")).alias("b"), F.col("next_parts").alias("c"),
     )
     name = f"fingerprint_{uuid.uuid4().hex}"
-    made.write.bucketBy(max(4, slices // 4), "slice").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(max(4, slices), "slice").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
     co_located = "spark.sql.requireAllClusterKeysForCoPartition"  # the joins on (slice, place) find both sides by slice
     before = spark.conf.get(co_located, "true")
     try:
