@@ -11,7 +11,7 @@ A packed row has ``ids`` (little-endian unsigned integers, padded to the full le
 ``doc_ids`` and ``doc_offsets`` of the segments, and ``n_tokens`` without padding.
 
 Cases: null or empty ids have no segment unless an end id is added to every document; a null
-doc_id stays null in ``doc_ids``; repeated rows are packed as often as they come; very long
+doc_id stays null in ``doc_ids``; a null among ids is an error; repeated rows are packed as often as they come; very long
 documents are split, never cut. Ids that do not fit the integer width are an error. Empty tables
 give no row. Extra columns are ignored.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rungwork.llm.bpe_matrix import Encoder
+from rungwork.llm.bpe_matrix import _text_groups as text_slices
+from rungwork.llm.linking import release_memory
 from rungwork.session import checkpoint_folder
 
 PACKED = "pack_id long, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, position_resets array<int>, n_tokens int, ids binary"
@@ -100,47 +104,91 @@ def pack_group(docs: list[tuple[int | None, np.ndarray]], length: int, pad_id: i
     return out
 
 
+class Packer:
+    """Packs the documents of one task in groups; ``batches`` are ready rows."""
+
+    def __init__(self, length: int, pad_id: int, dtype: str, group_tokens: int):
+        self.length, self.pad_id, self.dtype, self.group_tokens = length, pad_id, dtype, group_tokens
+        self.held: list[tuple[int | None, np.ndarray]] = []
+        self.size, self.number = 0, TaskContext.get().partitionId() << 33
+
+    def add(self, doc: int | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((doc, ids))
+        self.size += len(ids)
+        if self.size >= self.group_tokens:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        rows = [(self.number + i, *row) for i, row in enumerate(pack_group(self.held, self.length, self.pad_id, self.dtype))]
+        self.number += len(rows)
+        self.held, self.size = [], 0
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary())
+        names = [part.split()[0] for part in PACKED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+
+
 def pack(frame: DataFrame, length: int = 4096, end_id: int | None = None, pad_id: int = 0, dtype: str = "<u2", group_tokens: int = 2_000_000) -> DataFrame:
     """Pack rows of (doc_id, ids array<int>); see the module for the columns."""
     top = np.iinfo(np.dtype(dtype)).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        number = TaskContext.get().partitionId() << 33
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number
-            rows = [(number + i, *row) for i, row in enumerate(pack_group(held, length, pad_id, dtype))]
-            number += len(rows)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary())
-            names = [part.split()[0] for part in PACKED.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
-
+        packer = Packer(length, pad_id, dtype, group_tokens)
         for batch in batches:
             docs, lists = batch.column(0).to_pylist(), batch.column(1)
             for k, doc in enumerate(docs):
                 values = lists[k].values
+                if values is not None and values.null_count:
+                    raise ValueError(f"document {doc} has a null among its ids")
                 ids = np.zeros(0, np.int32) if values is None else values.to_numpy(zero_copy_only=False)
                 if end_id is not None:
                     ids = np.append(ids, np.int32(end_id))
                 if len(ids) and not (0 <= ids.min() and ids.max() <= top):
                     raise ValueError(f"document {doc} has an id outside of {dtype}")
-                held.append((doc, ids.astype(dtype)))
-                size += len(ids)
-                if size >= group_tokens:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                yield from packer.add(doc, ids.astype(dtype))
+        if packer.held:
+            yield packer.flush()
 
     return frame.select("doc_id", "ids").mapInArrow(run, PACKED)
 
 
+def pack_texts(
+    docs: DataFrame, path: str, pattern: str, length: int = 4096, end_id: int | None = None, pad_id: int = 0, dtype: str = "<u2", group_tokens: int = 2_000_000
+) -> DataFrame:
+    """Encode the texts of (doc_id, text) by the ranks of a file and pack them in the same pass.
+
+    The same rows as ``pack`` over encoded ids, but the ids of a text never leave the task.
+    """
+    top = np.iinfo(np.dtype(dtype)).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, pattern)
+        if max(len(encoder.voc.tokens) - 1, end_id or 0) > top:
+            raise ValueError(f"the vocabulary has ids outside of {dtype}")
+        packer = Packer(length, pad_id, dtype, group_tokens)
+        last = [] if end_id is None else [end_id]
+        for whole in batches:
+            for batch, texts in text_slices(whole, "text"):
+                for doc, places in zip(batch.column(0).to_pylist(), encoder.pieces(texts)):
+                    ids = chain(chain.from_iterable(map(encoder.ids.__getitem__, places)), last)
+                    yield from packer.add(doc, np.fromiter(ids, dtype=dtype))
+        if packer.held:
+            yield packer.flush()
+        del encoder
+        release_memory()
+
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+
+
+def written(packed: DataFrame, path: str | None = None) -> DataFrame:
+    """Packed rows as Parquet (by default below the checkpoint folder), read back."""
+    path = path or f"{checkpoint_folder(packed.sparkSession)}/packed-{uuid.uuid4().hex}"
+    packed.write.parquet(path)
+    return packed.sparkSession.read.schema(PACKED).parquet(path)
+
+
 def write_packed(frame: DataFrame, path: str | None = None, **settings) -> DataFrame:
-    """Write the packed rows as Parquet (by default below the checkpoint folder) and read them back."""
-    path = path or f"{checkpoint_folder(frame.sparkSession)}/packed-{uuid.uuid4().hex}"
-    pack(frame, **settings).write.parquet(path)
-    return frame.sparkSession.read.schema(PACKED).parquet(path)
+    """Write the packed rows of ``pack`` and read them back."""
+    return written(pack(frame, **settings), path)
 
 
 def unpack(packed: DataFrame, dtype: str = "<u2") -> DataFrame:

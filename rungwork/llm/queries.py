@@ -89,9 +89,9 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_matrix.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=False)
     free = 50_256  # the first id behind the ranks: ends documents and fills rows
-    return packing.summary(packing.write_packed(ids, length=4096, end_id=free, pad_id=free))
+    packed = packing.pack_texts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, length=4096, end_id=free, pad_id=free)
+    return packing.summary(packing.written(packed))
 
 
 @query("op11_benchmark_scan", benchmark_scan.SQL)

@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rungwork.llm import embedding_itq, linking, ngram_jaccard, packing, source_mix, warc_merge
+from rungwork.llm import bpe_matrix, embedding_itq, linking, ngram_jaccard, packing, source_mix, warc_merge
 
 
 def frame(spark, rows, schema="doc_id long, text string", parts=3):
@@ -346,3 +347,16 @@ def test_packed_rows_give_the_documents_back(spark, group):
     assert packing.pack(table.limit(0)).count() == 0
     with pytest.raises(Exception, match="outside"):
         packing.pack(spark.createDataFrame([(1, [70_000])], "doc_id long, ids array<int>")).collect()
+
+
+def test_encoding_and_packing_in_one_pass(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [(i, "word " * (i * 7 % 90) + f"é {i}") for i in range(60)] + [(3, None), (None, ""), (70, "x" * 30_000)]
+    docs = frame(spark, texts, "doc_id long, text string", parts=1)
+    one = packing.pack_texts(docs, path, public_tokenizers.PATTERN, length=32, end_id=50_256).collect()
+    two = packing.pack(bpe_matrix.encode(docs, path, public_tokenizers.PATTERN, digests=False), length=32, end_id=50_256).collect()
+    assert one == two and sum(len(x.doc_ids) for x in one) >= len(texts)
+    with pytest.raises(Exception, match="null among its ids"):
+        packing.pack(spark.createDataFrame([(1, [1, None])], "doc_id long, ids array<int>")).collect()
+    with pytest.raises(Exception, match="outside of <u1"):
+        packing.pack_texts(docs, path, public_tokenizers.PATTERN, dtype="<u1").collect()
