@@ -506,9 +506,8 @@ WHERE NOT (arm_name = 'none' AND i = 0)
 GROUP BY 1, 2, 3""")
 def job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = ad.key_problems(bridge.problems(spark, sf_dir))
-    jobs = jb.build_job_table(keyed, [0.25, 0.5, 1.0], samples_per_arm=2, seed=42)
     done = keyed.select(F.col("item_id").alias("id"), F.lit("none").alias("arm_name"), F.lit(0).alias("sample_index"))
-    left = jb.remaining_jobs(jobs, done, ["id", "arm_name", "sample_index"])
+    left = jb.build_job_table(keyed, [0.25, 0.5, 1.0], samples_per_arm=2, seed=42, done=done)
     return left.groupBy("id", "arm_name", "sample_index").agg(
         F.count(F.lit(1)).alias("jobs"),
         F.min("job_order").alias("job_order"),
