@@ -67,7 +67,7 @@ def exchanges(plan, found=None):
     found = [] if found is None else found
     name = plan.getClass().getSimpleName()
     if name == "AdaptiveSparkPlanExec":
-        return exchanges(plan.inputPlan(), found)
+        return exchanges(plan.initialPlan(), found)
     if name == "ShuffleExchangeExec":
         found.append((plan.outputPartitioning().toString(), plan.output().mkString(",")))
     children = plan.children()
