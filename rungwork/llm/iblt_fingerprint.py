@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from rungwork.session import checkpoint_folder, cut_lineage
 
-SLICE = 2_000
+SLICE = 1_000
 CUTS = 10_000
 WORDS = 16
 CELLS = 16  # of each subtable in the fingerprint: some 35 differences can be read from it
