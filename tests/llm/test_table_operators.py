@@ -113,6 +113,27 @@ def test_recall_on_the_given_vectors(spark):
     assert 0.9 * sum(links.values()) <= found <= sum(links.values())
 
 
+def test_recall_on_pairs_planted_among_the_given_vectors(spark):
+    """The given vectors hold few near pairs, so every fourth gets a neighbour at a cosine from 0.87 to 0.99."""
+    rng = np.random.default_rng(5)
+    rows = [(x.vec_id, np.array(x.embedding, dtype=float)) for x in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    planted = []
+    for k, (vec_id, vector) in enumerate(rows[::4]):
+        unit = vector / np.linalg.norm(vector)
+        side = rng.normal(size=len(unit))
+        side -= side @ unit * unit
+        cosine = rng.uniform(0.87, 0.99)
+        planted.append((10**6 + k, 3.0 * (cosine * unit + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side))))
+    every = rows + planted
+    by_place, _ = brute_vectors([i for i, _ in every], [v.tolist() for _, v in every])
+    links = Counter({every[k][0]: n for k, n in by_place.items()})
+    table = frame(spark, [(i, v.tolist()) for i, v in every], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in embedding_itq.near_vectors(table).collect()}
+    assert not {i: (n, links[i]) for i, n in got.items() if n > links[i]}
+    assert sum(links.values()) > 300
+    assert sum(got.values()) >= 0.9 * sum(links.values())
+
+
 # --- n-gram Jaccard join --------------------------------------------------------------------
 
 
