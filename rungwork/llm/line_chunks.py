@@ -88,10 +88,10 @@ def repeated_places(docs: DataFrame, spread: int, least: int) -> DataFrame:
     )
     named = firsts.withColumnRenamed("key", "of")
     met = _slots(cut, F.col("key"), firsts).join(named, F.col("key") == F.col("of")).withColumn("here", where)
-    met = cut_lineage(met.select("key", "chunk", "first", "here"))
-    originals = cut_lineage(met.where(F.col("here") == F.col("first")).select(F.col("key").alias("of"), F.col("chunk").alias("bytes")).dropDuplicates(["of"]))
-    same = met.where(F.col("here") != F.col("first")).join(originals, F.col("key") == F.col("of")).where(F.col("chunk") == F.col("bytes"))
-    gone = same.groupBy("here.doc_id", "here.hash").agg(F.collect_set("here.place").alias("places"))
+    met = cut_lineage(met.select("key", "chunk", "doc_id", "hash", "place", (F.col("here") == F.col("first")).alias("original")))
+    originals = met.where("original").select(F.col("key").alias("of"), F.col("chunk").alias("bytes")).dropDuplicates(["of"])
+    same = met.where("not original").join(originals, F.col("key") == F.col("of")).where(F.col("chunk") == F.col("bytes"))
+    gone = same.groupBy("doc_id", "hash").agg(F.collect_set("place").alias("places"))
     return cut_lineage(gone.withColumn("key", F.xxhash64("doc_id", "hash")))
 
 
