@@ -245,7 +245,8 @@ def test_last_bytes_of_a_long_text_count(spark):
 
 def parts_of(text):
     lines = re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n", text)
-    return {x.rstrip(" \t\n\x0b\f\r") for s in lines for x in re.findall(r"(?:[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*){1,8}", s)}
+    run = r"(?:[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*){1,%d}" % iblt_fingerprint.WORDS
+    return {x.rstrip(" \t\n\x0b\f\r") for s in lines for x in re.findall(run, s)}
 
 
 def digests_of(text):
@@ -339,7 +340,7 @@ def test_fingerprints_of_the_given_documents(spark):
     )
     for c in cells.collect():
         known_checks[c.d % 2**64], places[c.d % 2**64] = c.h % 2**32, (c.c0, c.c1, c.c2)
-    read = late = 0  # late: read here, but not by the query's bounded number of passes
+    read = late = 0  # late: just readable, but taken for too full, or not read in the bounded number of passes
     for x, edited in zip(ordered, more):
         both = sets[x.doc_id] | edited
         assert x.near_edited == pytest.approx(1.0 if not both else len(sets[x.doc_id] & edited) / len(both))
@@ -349,7 +350,7 @@ def test_fingerprints_of_the_given_documents(spark):
         if told is not None:
             read += 1
             assert told == ({d % 2**64 for d in x.only_text}, {d % 2**64 for d in x.only_edited})
-    assert read > len(out) // 4 and late <= len(out) // 20
+    assert read > len(out) // 4 and late <= len(out) // 10
 
 
 def test_far_ids_leave_slices_even(spark, monkeypatch):
