@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from rungwork.llm.linking import POWERS, mix64, release_memory
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
-CELLS = 1 << 21  # cells of one matrix at most, unless a single piece is longer
-CACHED_PIECES = 150_000  # pieces a task remembers; then it starts anew
+CELLS = 1 << 20  # cells of one matrix at most, unless a single piece is longer
+CACHED_PIECES = 100_000  # pieces a task remembers; then it starts anew
 
 
 class Vocabulary:
@@ -293,7 +293,7 @@ class Encoder:
             yield named.count(b" "), hashlib.sha256(named[:-1]).hexdigest(), hashlib.sha256(plain).hexdigest()
 
 
-def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in slices whose texts stay small together; one text is never cut."""
     texts = [t or "" for t in batch.column(batch.schema.names.index(column)).to_pylist()]
     start, size = 0, 0
