@@ -508,10 +508,10 @@ def job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = ad.key_problems(bridge.problems(spark, sf_dir))
     done = keyed.select(F.col("item_id").alias("id"), F.lit("none").alias("arm_name"), F.lit(0).alias("sample_index"))
     left = jb.build_job_table(keyed, [0.25, 0.5, 1.0], samples_per_arm=2, seed=42, done=done)
-    return left.groupBy("id", "arm_name", "sample_index").agg(
-        F.count(F.lit(1)).alias("jobs"),
-        F.min("job_order").alias("job_order"),
-        F.min(F.sha1("prompt_text")).alias("prompt_digest"),
+    # the grouping sorts its rows, so they carry the prompt's digest instead of the prompt
+    digests = left.select("id", "arm_name", "sample_index", "job_order", F.sha1("prompt_text").alias("prompt_digest"))
+    return digests.groupBy("id", "arm_name", "sample_index").agg(
+        F.count(F.lit(1)).alias("jobs"), F.min("job_order").alias("job_order"), F.min("prompt_digest").alias("prompt_digest")
     )
 
 
