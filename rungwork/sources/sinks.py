@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 METRIC_FILES = 10_000  # of one metric tree
+LOG_FILE_ROWS = 1_000_000  # of one file of a log
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -12,9 +13,9 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_log(df: DataFrame, path: str) -> None:
-    """Replace a JSON-lines table."""
-    df.write.mode("overwrite").json(path)
+def write_log(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Replace a JSON-lines table; a compressed file is read by one task, so its rows are bounded."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", LOG_FILE_ROWS).json(path, compression=compression)
 
 
 def write_training_set(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:

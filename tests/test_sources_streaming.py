@@ -252,3 +252,14 @@ def test_router_query_fits_with_the_sizes_of_the_reference(spark, monkeypatch):
     words, chars = (s for s in made[0].counts.stages if hasattr(s, "vocabulary"))
     assert (words.getVocabSize(), chars.getVocabSize()) == (10_000, 10_000) and len(chars.vocabulary) > 2_000
     assert made[0].classifier.getMaxIter() == 1_000
+
+
+def test_written_logs_are_compressed_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    df = spark.range(1_000).select(F.lit("the same text over and over").alias("text"), "id").coalesce(1)
+    sk.write_log(df, str(tmp_path / "log"))
+    files = list((tmp_path / "log").glob("part-*"))
+    assert len(files) == 1 and files[0].stat().st_size < 1_000 * 20
+    monkeypatch.setattr(sk, "LOG_FILE_ROWS", 300)
+    sk.write_log(df, str(tmp_path / "log"))
+    assert len(list((tmp_path / "log").glob("part-*"))) == 4
+    assert sorted(r.id for r in rd.read_log(spark, str(tmp_path / "log"), "text string, id bigint").collect()) == list(range(1_000))
