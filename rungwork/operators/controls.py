@@ -74,7 +74,9 @@ def shown_secrets(keys: DataFrame, secrets: DataFrame) -> DataFrame:
     lengths = [r[0] for r in secrets.select(F.length("secret").alias("n")).distinct().collect()]  # one entry a length
     if not lengths:
         return keys.select("plan_key", F.col("plan_key").alias("secret")).limit(0)
-    fitting = keys.select("plan_key").distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))
+    # few bytes, but thousands of pieces a key: a fixed number of tasks, which are not merged by size
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitting = keys.select("plan_key").repartition(tasks, "plan_key").distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))
     starts = F.sequence(F.lit(1), F.length("plan_key") - F.col("n") + 1)
     pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("plan_key"), i, F.col("n"))))
     cut = fitting.where(F.col("n") <= F.length("plan_key")).select("plan_key", F.explode(pieces).alias("secret"))
@@ -141,7 +143,7 @@ def ring_controls(plans: DataFrame, seed: int = 42, require_all: bool = True) ->
     shown = shown_secrets(options, ring).join(options.select("plan_key", "at"), "plan_key")
     slots = options.groupBy(F.col("at").alias("slot")).agg(F.count(F.lit(1)).alias("plans"))
     refused = shown.groupBy("secret", "at").agg(F.count(F.lit(1)).alias("n"))
-    blocked = refused.join(slots, F.col("at") == F.col("slot")).where("n = plans").select("secret", "at")
+    blocked = cut_lineage(refused.join(slots, F.col("at") == F.col("slot")).where("n = plans").select("secret", "at"))
     free = cut_lineage(next_free(blocked, size))
 
     def looked_up(targets: DataFrame, slot: Column, name: str) -> DataFrame:
