@@ -56,6 +56,12 @@ def collapse(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(value), BLANK, " "))
 
 
+def head_words(value: Column | str, count: int) -> Column:
+    """The first ``count`` words with one space between them; the text behind them is not read."""
+    first = BLANK[:-1] + "*+((?:" + NONBLANK + "++" + BLANK + "+){0," + str(max(count - 1, 0)) + "}+" + NONBLANK + "*+)"
+    return collapse(F.regexp_extract(col(value), "^" + first, 1))
+
+
 def has_text(value: Column | str) -> Column:
     return F.coalesce(F.rlike(col(value), F.lit(NONBLANK)), F.lit(False))
 
@@ -126,7 +132,7 @@ def minimal_plan(
     """First words of the first filled field; '' when they would give an answer away."""
     filled = F.coalesce(
         *[
-            F.nullif(collapse(F.coalesce(col(c), F.lit(""))), F.lit(""))
+            F.nullif(head_words(F.coalesce(col(c), F.lit("")), max_words), F.lit(""))
             for c in (source_step, relation, subproblem)
         ],
         F.lit(""),

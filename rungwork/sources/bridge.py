@@ -163,7 +163,7 @@ def dealt(text: Column | str, turn: Column | int) -> Column:
 
 
 def last_word(text: Column | str) -> Column:
-    return field(text, " ", -1)
+    return F.substring_index(tx.col(text), " ", -1)  # searched from the end
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
