@@ -40,6 +40,7 @@ SELECT *, transform(filter(split(lower(question), '\\s+'), w -> w <> ''), w -> c
 WORD_GRAMS = "SELECT *, concat(word_tokens, word_pairs) AS word_grams FROM __THIS__"
 SPREAD = 1 << 20  # grams of texts in memory at once, unless one text has more
 REMEMBERED = 1 << 18  # pieces and grams a task counts before it hands them on
+HELD = 1 << 20  # words and word pairs, as numbers, that a task counts before it hands them on
 
 
 def gram_stages() -> list:
@@ -57,24 +58,30 @@ def char_grams(word: str) -> list[str]:
     return [word[i : i + n] for n in (3, 4, 5) for i in range(len(word) - n + 1)]
 
 
-def _whole(piece: str) -> list[str]:
-    return [piece]
+def _alike(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per text the number of the run of equal neighbours that it is in: arms of an item show one text."""
+    sizes = np.diff(ends)
+    new = np.ones(len(sizes), bool)
+    for i in np.flatnonzero(sizes[1:] == sizes[:-1]) + 1:
+        new[i] = not np.array_equal(codes[ends[i - 1] : ends[i]], codes[ends[i] : ends[i + 1]])
+    return np.cumsum(new) - 1
 
 
-#: column of pieces, and how a piece is cut into grams
-GRAMS: dict[str, tuple[str, Callable[[str], list[str]]]] = {"word_grams": ("word_grams", _whole), "char_grams": ("char_words", char_grams)}
+def _coded(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different pieces of a batch, the piece at each place, and the places where texts end, from 0."""
+    coded = lists.flatten().dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), ends
 
 
 def _text_counts(lists: pa.ListArray, number: Callable[[str], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice of texts: first text, texts, and (text, gram, uses) of each different gram of a text.
 
     ``number`` gives the grams of a piece as numbers. A batch's pieces are told apart once, and each
-    different piece is cut once.
+    different piece is cut once; equal neighbours among the texts are counted once.
     """
-    coded = lists.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-    cut = [number(p) for p in coded.dictionary.to_pylist()]
+    words, codes, ends = _coded(lists)
+    cut = [number(p) for p in words]
     sizes = np.array([len(c) for c in cut], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     grams = np.concatenate([*cut, np.empty(0, np.int64)]).astype(np.int64)
@@ -82,8 +89,11 @@ def _text_counts(lists: pa.ListArray, number: Callable[[str], np.ndarray]) -> It
     first, texts = 0, len(lists)
     while first < texts:
         last = max(first + 1, int(np.searchsorted(spread, spread[first] + SPREAD, "right")) - 1)
-        pieces = codes[ends[first] : ends[last]]
-        at = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+        same = _alike(codes, ends[first : last + 1])
+        heads = np.flatnonzero(np.diff(same, prepend=-1))
+        own = np.repeat(np.diff(same, prepend=-1) > 0, np.diff(ends[first : last + 1]))
+        pieces = codes[ends[first] : ends[last]][own]
+        at = np.repeat(np.arange(len(heads)), np.diff(ends[first : last + 1])[heads])
         pair, times = np.unique(at * len(cut) + pieces, return_counts=True)  # a text's different pieces
         at, pieces = np.divmod(pair, max(len(cut), 1))
         n = sizes[pieces]
@@ -92,9 +102,14 @@ def _text_counts(lists: pa.ListArray, number: Callable[[str], np.ndarray]) -> It
         key = np.repeat(at, n) * width + grams[place]
         order = np.argsort(key, kind="stable")
         key, weight = key[order], np.repeat(times, n)[order]
-        heads = np.flatnonzero(np.diff(key, prepend=-1))
-        uses = np.add.reduceat(weight, heads) if len(heads) else weight
-        at, gram = np.divmod(key[heads], width)
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        uses = np.add.reduceat(weight, begin) if len(begin) else weight
+        at, gram = np.divmod(key[begin], width)
+        if len(heads) < last - first:  # the counts of a run once per text
+            many = np.bincount(at, minlength=len(heads))
+            shown, begin = many[same], (np.cumsum(many) - many)[same]
+            place = np.arange(shown.sum()) - np.repeat(np.cumsum(shown) - shown, shown) + np.repeat(begin, shown)
+            at, gram, uses = np.repeat(np.arange(last - first), shown), gram[place], uses[place]
         yield first, last - first, at, gram, uses
         first = last
 
@@ -134,20 +149,68 @@ def _tally(cut: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
+def _tally_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for words and pairs of neighbouring words, counted as pairs of word numbers; a lone word's second is 0."""
+    numbers: dict[str, int] = {}
+    held, rows, uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def counted() -> pa.RecordBatch:
+        words = pa.array(["", *numbers], pa.string())
+        x, y = words.take(pa.array(held >> 32)), words.take(pa.array(held & 0xFFFFFFFF))
+        gram = pc.if_else(pa.array(held & 0xFFFFFFFF > 0), pc.binary_join_element_wise(x, y, " "), x)
+        return pa.RecordBatch.from_arrays([gram, pa.array(rows), pa.array(uses)], ["gram", "rows", "uses"])
+
+    for batch in batches:
+        words, codes, ends = _coded(batch.column(0))
+        word = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64)[codes] if words else np.zeros(0, np.int64)
+        first, texts = 0, len(batch)
+        while first < texts:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SPREAD // 2, "right")) - 1)
+            same = _alike(codes, ends[first : last + 1])
+            new = np.diff(same, prepend=-1) > 0
+            shown, sizes = np.bincount(same), np.diff(ends[first : last + 1])
+            mine = word[ends[first] : ends[last]][np.repeat(new, sizes)]
+            at = np.repeat(np.arange(len(shown)), sizes[new])
+            inside = np.flatnonzero(at[1:] == at[:-1])
+            grams, gram = np.unique(np.concatenate([mine << 32, mine[inside] << 32 | mine[inside + 1]]), return_inverse=True)
+            at = np.concatenate([at, at[inside]])
+            once = np.unique(gram * len(shown) + at)  # a text's different grams
+            more_rows = np.bincount(once // len(shown), shown[once % len(shown)], len(grams)).astype(np.int64)
+            more_uses = np.bincount(gram, shown[at], len(grams)).astype(np.int64)
+            held, place = np.unique(np.concatenate([held, grams]), return_inverse=True)
+            rows, uses = (np.bincount(place, np.concatenate(c), len(held)).astype(np.int64) for c in ((rows, more_rows), (uses, more_uses)))
+            if len(held) > HELD:
+                yield counted()
+                held, rows, uses = held[:0], rows[:0], uses[:0]
+            first = last
+        if len(numbers) > REMEMBERED:
+            yield counted()
+            numbers.clear()
+            held, rows, uses = held[:0], rows[:0], uses[:0]
+    yield counted()
+
+
+#: column of pieces, and how a task counts their grams
+GRAMS: dict[str, tuple[str, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]] = {
+    "word_grams": ("word_tokens", _tally_words),
+    "char_grams": ("char_words", _tally(char_grams)),
+}
+
+
 def vocabulary(rows: DataFrame, grams: str, size: int, least_rows: int = 2) -> DataFrame:
     """The ``size`` most used grams that at least ``least_rows`` rows hold: (gram, rows, uses, place).
 
     Exact: a task counts the grams of its texts before the shuffle, and equal counts are ordered by the gram.
     """
-    column, cut = GRAMS[grams]
-    held = rows.select(column).mapInArrow(_tally(cut), "gram string, rows bigint, uses bigint")
+    column, tally = GRAMS[grams]
+    held = rows.select(column).mapInArrow(tally, "gram string, rows bigint, uses bigint")
     counts = held.groupBy("gram").agg(F.sum("rows").alias("rows"), F.sum("uses").alias("uses"))
     top = counts.filter(F.col("rows") >= least_rows).orderBy(F.desc("uses"), "gram").limit(size)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "gram")) - 1)  # size rows at most
 
 
 class CharCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Sparse counts of the listed character n-grams, ``vocabSize`` wide."""
+    """Sparse counts of the listed character n-grams, ``vocabSize`` wide, in place of the padded words."""
 
     grams = Param(Params._dummy(), "grams", "listed grams in order", TypeConverters.toListString)
     vocabSize = Param(Params._dummy(), "vocabSize", "most grams asked for", TypeConverters.toInt)
@@ -165,7 +228,7 @@ class CharCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         listed = {g: i for i, g in enumerate(self.vocabulary)}
-        kept, width = dataset.columns, len(listed)
+        kept, width = [c for c in dataset.columns if c != "char_words"], len(listed)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, np.ndarray] = {}
@@ -191,7 +254,7 @@ class CharCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                 if len(known) > REMEMBERED:
                     known.clear()
 
-        return dataset.mapInArrow(run, StructType([*dataset.schema.fields, StructField("char_counts", VectorUDT())]))
+        return dataset.mapInArrow(run, StructType([*(dataset.schema[c] for c in kept), StructField("char_counts", VectorUDT())]))
 
 
 def gram_counts(train: DataFrame, max_features: int) -> PipelineModel:
@@ -208,6 +271,7 @@ def gram_counts(train: DataFrame, max_features: int) -> PipelineModel:
     return PipelineModel([*gram_stages(), words, narrow, CharCounts(listed["char_grams"] or [""], max_features), arms.fit(train)])
 
 
+ROUTED = ("arm_name", "arm_kind", "arm_strength", "hint_tokens", "correct")
 COUNTED = ("word_counts", "char_counts", "arm_ix", "kind_ix", "arm_strength", "hint_tokens", "correct")
 
 
@@ -291,7 +355,7 @@ def fit_router(labelled: DataFrame, max_features: int = 10_000, max_iter: int =
     if not (0 < positive < n and 0 < valid_positive < m):
         raise ValueError("train and validation splits must each contain both reward classes")
     counts = gram_counts(train, max_features)
-    both = labelled.filter(F.col("split").isin("train", "validation"))
+    both = labelled.filter(F.col("split").isin("train", "validation")).select("split", "question", *ROUTED)
     counted = cut_lineage(counts.transform(both).select("split", *COUNTED)).withColumn(
         "label", F.col("correct").cast("double")
     )

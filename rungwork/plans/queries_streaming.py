@@ -150,14 +150,16 @@ def _router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     arms = F.array(
         arm("none", 0.0, 0, F.col("quality") == 1), arm("knowledge@25", 0.25, 1, F.col("toxic") == 0)
     )
-    rows = docs.join(labels, F.col("doc_id") == F.col("label_doc")).select(
+    items = docs.join(labels, F.col("doc_id") == F.col("label_doc")).select(
         F.col("doc_id").cast("string").alias("id"),
         tx.item_id("doc_id", "text").alias("item_key"),
         F.col("text").alias("question"),
         F.col("n_chars").cast("double").alias("hint_tokens"),
-        F.inline(arms),
+        "quality",
+        "toxic",
     )
-    return cut_lineage(rm.with_split(rows))
+    # arms of an item share its split, so texts move once an item
+    return cut_lineage(rm.with_split(items).select("item_key", "id", "question", "hint_tokens", F.inline(arms), "split"))
 
 
 @query("M1-M4")

@@ -49,3 +49,35 @@ def test_slices_and_early_handing_on_change_no_count(spark, monkeypatch):
     monkeypatch.setattr(rm, "REMEMBERED", 10)
     many = list(rm._tally(rm.char_grams)(iter(batches)))
     assert len(many) > 5 and total(many) == once
+
+
+def test_word_pairs_are_counted_as_numbers(spark, monkeypatch):
+    texts = ["aa bb aa bb", "aa bb aa bb", "", "bb", "x", "bb aa cc É1 aa"] * 3
+    rows = PipelineModel(rm.gram_stages()).transform(spark.createDataFrame([(t,) for t in texts], "question string").coalesce(1))
+    want = {}
+    for at, text in enumerate(texts):
+        words = [w for w in text.lower().split() if len(w) > 1]
+        for gram in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            want.setdefault(gram, []).append(at)
+    want = {g: (len(set(v)), len(v)) for g, v in want.items()}
+    for spread, held in ((rm.SPREAD, rm.HELD), (4, 2)):
+        monkeypatch.setattr(rm, "SPREAD", spread)
+        monkeypatch.setattr(rm, "HELD", held)
+        batch = rows.select("word_tokens").toArrow().combine_chunks().to_batches()[0]
+        got = {}
+        for part in rm._tally_words(iter([batch])):
+            for r in part.to_pylist():
+                old = got.get(r["gram"], (0, 0))
+                got[r["gram"]] = (old[0] + r["rows"], old[1] + r["uses"])
+        assert got == want
+    assert {r.gram: (r.rows, r.uses) for r in rm.vocabulary(rows, "word_grams", 100, 1).collect()} == want
+
+
+def test_equal_neighbours_are_counted_once(spark, monkeypatch):
+    lists = PipelineModel(rm.gram_stages()).transform(spark.createDataFrame([(f"abc{i // 2} de",) for i in range(40)], "question string").coalesce(1))
+    lists = lists.select("char_words").toArrow().column(0).combine_chunks()
+    sorted_keys, plain = [], rm.np.argsort
+    monkeypatch.setattr(rm.np, "argsort", lambda a, **k: sorted_keys.append(len(a)) or plain(a, **k))
+    numbers = {}
+    counts = [len(at) for _, _, at, _, _ in rm._text_counts(lists, lambda p: [numbers.setdefault(g, len(numbers)) for g in rm.char_grams(p)])]
+    assert 2 * sum(sorted_keys) == sum(counts)
