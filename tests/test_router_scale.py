@@ -81,3 +81,16 @@ def test_equal_neighbours_are_counted_once(spark, monkeypatch):
     numbers = {}
     counts = [len(at) for _, _, at, _, _ in rm._text_counts(lists, lambda p: [numbers.setdefault(g, len(numbers)) for g in rm.char_grams(p)])]
     assert 2 * sum(sorted_keys) == sum(counts)
+
+
+def test_gradient_needs_no_row_per_feature(spark):
+    router = rm.fit_router(_labelled(spark), max_features=200, max_iter=20)
+    found = {r.feature: r.gradient for r in rm.gradient(router).collect()}
+    rows, model = router.training.collect(), router.classifier
+    want = model.getRegParam() * model.coefficients.toArray()
+    whole = sum(r.weight for r in rows)
+    for r in rows:
+        margin = r.features.dot(model.coefficients) + model.intercept
+        want = want + r.weight * (1 / (1 + rm.np.exp(-margin)) - r.label) * r.features.toArray() / whole
+    assert max(abs(found[i] - g) for i, g in enumerate(want)) < 1e-9
+    assert "Generate" not in rm.gradient(router)._jdf.queryExecution().executedPlan().toString()
