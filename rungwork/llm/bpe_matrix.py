@@ -30,6 +30,7 @@ from rungwork.llm.linking import POWERS, mix64, release_memory
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 CELLS = 1 << 20  # cells of one matrix at most, unless a single piece is longer
 CACHED_PIECES = 100_000  # pieces a task remembers; then it starts anew
+LISTED_PIECES = 2_000_000  # the same where they are remembered in arrays, some 40 bytes each
 
 
 class Vocabulary:
@@ -194,9 +195,9 @@ def merge_matrix(ids: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return out, counts
 
 
-def encode_pieces(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
-    """Ids of each piece; pieces share a matrix with others of similar length."""
-    out: list[list[int]] = [[]] * len(pieces)
+def encode_flat(pieces: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids piece after piece, and ids a piece; pieces share a matrix with others of similar length."""
+    sizes, parts = np.zeros(len(pieces), np.int64), []
     lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
     order = np.argsort(lengths, kind="stable")
     ordered = lengths[order]
@@ -209,12 +210,25 @@ def encode_pieces(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
         matrix = np.full((len(chosen), int(ordered[stop - 1])), -1, dtype=np.int32)
         flat = voc.byte_ids[np.frombuffer(b"".join(pieces[i] for i in chosen), dtype=np.uint8)]
         matrix[np.arange(matrix.shape[1]) < lengths[chosen][:, None]] = flat
-        ids, counts = merge_matrix(matrix, voc)
-        ids, ends = ids.tolist(), np.cumsum(counts).tolist()
-        for i, a, b in zip(chosen.tolist(), [0, *ends], ends):
-            out[i] = ids[a:b]
+        ids, sizes[chosen] = merge_matrix(matrix, voc)
+        parts.append((chosen, ids))
         start = stop
-    return out
+    out, at = np.empty(int(sizes.sum()), dtype=np.int32), np.cumsum(sizes) - sizes
+    for chosen, ids in parts:
+        out[spans(at[chosen], sizes[chosen])] = ids
+    return out, sizes
+
+
+def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each span, span after span."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def encode_pieces(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
+    """Ids of each piece."""
+    ids, sizes = encode_flat(pieces, voc)
+    ids, ends = ids.tolist(), np.cumsum(sizes).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Encoder:
@@ -255,6 +269,19 @@ class Encoder:
             for words in cut:
                 yield [self.place[w] for w in words]
             return
+        joined, at, to, unique, inverse, stops = self.cut(texts)
+        listed = unique.tolist()
+        known = [self.place.get(k, -1) for k in listed]
+        fresh = [i for i, k in enumerate(known) if k < 0]
+        self.learn([joined[at[i] : to[i]] for i in fresh], [listed[i] for i in fresh])
+        for i in fresh:
+            known[i] = self.place[listed[i]]
+        everything = np.array(known)[inverse]
+        for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist()):
+            yield everything[a:b].tolist()
+
+    def cut(self, texts: list[str]) -> tuple[str, list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Joined texts, where each different piece is first shown, their hashes, the piece at each place, and the places of the gaps."""
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         gaps = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))) - 1
@@ -269,17 +296,7 @@ class Encoder:
         end = np.append(begin[1:], len(points))
         keys = (sums[end] - sums[begin]) * down[begin] ^ mix64(end - begin)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        listed = unique.tolist()
-        known = [self.place.get(k, -1) for k in listed]
-        fresh = [i for i, k in enumerate(known) if k < 0]
-        at, to = begin[first].tolist(), end[first].tolist()
-        self.learn([joined[at[i] : to[i]] for i in fresh], [listed[i] for i in fresh])
-        for i in fresh:
-            known[i] = self.place[listed[i]]
-        everything = np.array(known)[inverse]
-        stops = np.searchsorted(begin, gaps)
-        for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist()):
-            yield everything[a:b].tolist()
+        return joined, begin[first].tolist(), end[first].tolist(), unique, inverse, np.searchsorted(begin, gaps)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for places in self.pieces(texts):
@@ -293,6 +310,47 @@ class Encoder:
             yield named.count(b" "), hashlib.sha256(named[:-1]).hexdigest(), hashlib.sha256(plain).hexdigest()
 
 
+class ArrayEncoder(Encoder):
+    """Gives ids only, as arrays: what is remembered of a piece are its hash and ids, in sorted and flat arrays."""
+
+    def forget(self) -> None:
+        super().forget()
+        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids, sizes = encode_flat([p.encode() for p in pieces], self.voc)
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, place, sizes)
+        self.keys = np.insert(self.keys, place, keys)
+        self.flat = np.concatenate([self.flat, ids])
+
+    def arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Per text its ids."""
+        if self.pattern != KNOWN_PATTERN:
+            for ids in self.encode(texts):
+                yield np.array(ids, np.int32)
+            return
+        if len(self.keys) > LISTED_PIECES:
+            self.forget()
+        joined, at, to, unique, inverse, stops = self.cut(texts)
+        place = np.searchsorted(self.keys, unique)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == unique[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            self.add(unique[fresh], [joined[at[i] : to[i]] for i in fresh.tolist()])
+            place = np.searchsorted(self.keys, unique)
+        place = place[inverse]
+        sizes = self.sizes[place]
+        sizes[stops] = 0  # gaps between texts
+        ids = self.flat[spans(self.at[place], sizes)]
+        ends = np.cumsum(sizes)[stops].tolist()
+        for a, b in zip([0, *ends], ends):
+            yield ids[a:b]
+
+
 def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in slices whose texts stay small together; one text is never cut."""
     texts = [t or "" for t in batch.column(batch.schema.names.index(column)).to_pylist()]

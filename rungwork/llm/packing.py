@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungwork.llm.bpe_matrix import Encoder
+from rungwork.llm.bpe_matrix import ArrayEncoder
 from rungwork.llm.bpe_matrix import _text_groups as text_slices
 from rungwork.llm.linking import release_memory
 from rungwork.session import checkpoint_folder
@@ -161,16 +160,15 @@ def pack_texts(
     top = np.iinfo(np.dtype(dtype)).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = ArrayEncoder(path, pattern)
         if max(len(encoder.voc.tokens) - 1, end_id or 0) > top:
             raise ValueError(f"the vocabulary has ids outside of {dtype}")
         packer = Packer(length, pad_id, dtype, group_tokens)
-        last = [] if end_id is None else [end_id]
+        last = np.array([] if end_id is None else [end_id], dtype=dtype)
         for whole in batches:
             for batch, texts in text_slices(whole, "text"):
-                for doc, places in zip(batch.column(0).to_pylist(), encoder.pieces(texts)):
-                    ids = chain(chain.from_iterable(map(encoder.ids.__getitem__, places)), last)
-                    yield from packer.add(doc, np.fromiter(ids, dtype=dtype))
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.arrays(texts)):
+                    yield from packer.add(doc, np.concatenate([ids.astype(dtype), last]))
         if packer.held:
             yield packer.flush()
         del encoder

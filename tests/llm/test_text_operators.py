@@ -376,3 +376,23 @@ def test_a_hot_id_is_split_by_its_texts(spark, monkeypatch):
         at = after[at]
     ids = {t: i for i, t in rows}
     assert len(seen) == len(rows) and at == "text 0" and [ids[t] for t in seen] == sorted(ids[t] for t in seen)
+
+
+def test_pieces_remembered_in_arrays_give_the_same_ids(monkeypatch):
+    texts = ["", "one two  three\n", "two one's 12 \u00e9t\u00e9", "\n\n x", "abc" * 50, "one two three"]
+    for pattern in (public_tokenizers.PATTERN, r"\S+|\s+"):
+        for most in (bpe_matrix.LISTED_PIECES, 3):
+            monkeypatch.setattr(bpe_matrix, "LISTED_PIECES", most)
+            plain, listed = (kind(PATH, pattern) for kind in (bpe_matrix.Encoder, bpe_matrix.ArrayEncoder))
+            for group in (texts[:2], texts, texts[::-1], [""]):
+                assert [a.tolist() for a in listed.arrays(group)] == list(plain.encode(group))
+
+
+def test_more_pieces_than_the_plain_encoder_remembers_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe_matrix, "CACHED_PIECES", 10)
+    learnt, flat = [], bpe_matrix.encode_flat
+    monkeypatch.setattr(bpe_matrix, "encode_flat", lambda pieces, voc: learnt.extend(pieces) or flat(pieces, voc))
+    encoder = bpe_matrix.ArrayEncoder(PATH, public_tokenizers.PATTERN)
+    for _ in range(3):
+        list(encoder.arrays([" ".join(f"word{chr(97 + i)}" for i in range(26))]))
+    assert len(learnt) == len(set(learnt)) > 10
