@@ -389,7 +389,7 @@ def links(docs: DataFrame, described: DataFrame, n: int, percent: int) -> DataFr
     slots = chosen.select(F.pmod(F.xxhash64("holder"), F.lit(SLOTS)).alias("slot")).distinct()  # SLOTS rows at most
     likely = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
     held = likely.join(chosen.select("holder").distinct(), F.col("doc_id") == F.col("holder"), "left_semi").select("doc_id", "text")
-    sets = cut_lineage(held.mapInArrow(_sets(n), "cls long, values binary").dropDuplicates(["cls"]))
+    sets = held.mapInArrow(_sets(n), "cls long, values binary").dropDuplicates(["cls"])  # the join finds them dealt by class already
     full = members.join(sets, F.col("member") == F.col("cls")).select("clique", "centre", "low", "high", "member", "block", "values")
     first = (F.col("member") != F.col("centre")).alias("later")
     cells = full.repartition("clique", "centre", "low", "high").sortWithinPartitions("clique", "centre", "low", "high", first, "member")

@@ -381,3 +381,12 @@ def test_encoding_and_packing_in_one_pass(spark):
         packing.pack(spark.createDataFrame([(1, [1, None])], "doc_id long, ids array<int>")).collect()
     with pytest.raises(Exception, match="outside of <u1"):
         packing.pack_texts(docs, path, public_tokenizers.PATTERN, dtype="<u1").collect()
+
+
+def test_jaccard_sets_are_not_written(spark, monkeypatch):
+    cut, seen = ngram_jaccard.cut_lineage, []
+    monkeypatch.setattr(ngram_jaccard, "cut_lineage", lambda df: seen.append(df.columns) or cut(df))
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(6)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_jaccard.jaccard_groups(docs).collect()} == {0}
+    assert seen and not any("values" in columns for columns in seen)
