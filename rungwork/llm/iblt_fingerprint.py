@@ -95,7 +95,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     ghosts = sliced.join(heads, (F.col("slice") == F.col("s")) & (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i")))
     both = sliced.withColumn("ghost", F.lit(0)).unionByName(ghosts.select("doc_id", "text", F.col("goes_to").alias("slice"), "hash", F.lit(1).alias("ghost")))
     ordered = Window.partitionBy("slice").orderBy("ghost", F.col("doc_id").asc_nulls_last(), "hash")
-    both = both.withColumn("parts", paragraphs(F.col("text")))
+    both = both.repartition("slice").withColumn("parts", paragraphs(F.col("text")))  # digests do not shrink, so they are made after the texts moved
     placed = both.withColumn("next", F.lead("text").over(ordered)).withColumn("next_parts", F.lead("parts").over(ordered)).withColumn("place", F.row_number().over(ordered))
     return placed.where("ghost = 0").select("slice", "place", "doc_id", "text", "parts", "next", "next_parts"), slices
 
@@ -252,7 +252,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         F.col("parts").alias("a"), paragraphs(F.col("edited")).alias("b"), F.col("next_parts").alias("c"),
     )
     name = f"fingerprint_{uuid.uuid4().hex}"
-    made.write.bucketBy(max(4, slices), "slice").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(max(4, slices), "slice").option("compression", "zstd").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
     co_located = "spark.sql.requireAllClusterKeysForCoPartition"  # the joins on (slice, place) find both sides by slice
     before = spark.conf.get(co_located, "true")
     try:
@@ -271,7 +271,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
             "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
             likeness(F.col("a"), F.col("b"), F.coalesce("found0", zero)).alias("near_edited"), likeness(F.col("a"), F.col("c"), F.coalesce("found1", zero)).alias("near_next"),
             F.coalesce("edit.only_x", none).alias("only_text"), F.coalesce("edit.only_y", none).alias("only_edited"), F.col("edit.level").alias("level"),
-        ))
+        ), compression="zstd")
     finally:
         spark.conf.set(co_located, before)
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # the catalog entry; its files stay in the checkpoint folder

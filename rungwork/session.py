@@ -71,8 +71,8 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back; ``compression`` as Parquet names it.
 
     A written table survives lost executors, is read column by column, and gives the
     planner its true size.
@@ -81,5 +81,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/rungwork-{uuid.uuid4().hex}"
     for paths in _SCOPES:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -396,3 +396,10 @@ def test_more_pieces_than_the_plain_encoder_remembers_are_encoded_once(monkeypat
     for _ in range(3):
         list(encoder.arrays([" ".join(f"word{chr(97 + i)}" for i in range(26))]))
     assert len(learnt) == len(set(learnt)) > 10
+
+
+def test_fingerprint_digests_are_made_after_the_texts_moved(spark):
+    docs = spark.createDataFrame([(i, f"line {i}\nother {i}") for i in range(20)], "doc_id long, text string")
+    plan = iblt_fingerprint.with_next(docs)[0]._jdf.queryExecution().executedPlan().toString()
+    moved = plan.find("Exchange hashpartitioning(slice")
+    assert moved > 0 and plan.count("Exchange hashpartitioning(slice") == 1 and plan.rfind("regexp_extract_all") < moved
