@@ -7,8 +7,9 @@ that is the same for all). Two sets of the asked similarity share an n-gram amon
 n - ceil(t n) + 1, so only those are shuffled, once, with size and position. In every run of
 equal n-grams the length and positional filters leave candidates. Runs of more than ``RUN``
 classes name no pairs: their members with a possible partner are put into one group per leader,
-and large groups are cut into cells of two blocks, so no group is expanded. Each candidate or cell gets the full
-sets once; a suffix bound over parts of the hash space drops pairs before the intersection.
+and large groups are cut into cells of two blocks, so no group is expanded. Each candidate or cell gets a packed
+text per class, less than half its set, and makes the full sets where they are compared; a suffix
+bound over parts of the hash space drops pairs before the intersection.
 Only links that join something new in their cell leave it; the components are those of all links.
 
 Cases: null or empty text, or white space alone, is an empty set that links with nothing; fewer
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ BLOCKS = 32  # the sketch is summed in so many parts
 RUN = 3  # classes in a run up to which pairs are named
 FILTERED = 64  # classes in a run up to which those without a possible partner are left out
 CELL = 2048  # classes in a block of a large group
+BYTES = 1 << 17  # of texts whose sets are made together, unless a single text is longer
 SLOTS = 1 << 20  # of the broadcast filter of candidate ids
 PIVOTS = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -80,10 +83,21 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list]]:
+def _parts(sizes: np.ndarray, rows: int = 256) -> Iterator[tuple[int, int]]:
+    """Start and length of parts of ``rows`` rows and ``BYTES`` bytes at most; one larger row is a part."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + BYTES, side="right"))))
+        yield start, stop - start
+        start = stop
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     for batch in batches:
-        for start in range(0, len(batch), rows):
-            part = batch.slice(start, rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        for start, many in _parts(sizes):
+            part = batch.slice(start, many)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
@@ -94,7 +108,7 @@ def _describe(n: int):
         for ids, texts in _texts(batches):
             sets = shingle_sets(texts, n)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, (every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             none = [None] * len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip((ids, [len(s) for s in sets], [set_key(s) for s in sets], none, none), schema)], schema=schema
@@ -104,6 +118,8 @@ def _describe(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], f.type) for v, f in zip((None, None, None, k, zlib.compress(part.tobytes(), 1)), schema)], schema=schema
                 )
+        del counts
+        release_memory()
 
     return run
 
@@ -289,13 +305,13 @@ def cell_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
     return links
 
 
-def _verify(percent: int):
-    """Links of cells; rows come sorted by cell, centre first."""
+def _verify(n: int, percent: int):
+    """Links of cells; rows come sorted by cell, centre first. A row holds the packed text of its class."""
 
     def links_of(key, rows):
         clique, centre = key[0], key[1]
         ids = [r[0] for r in rows]
-        sets = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
+        sets = [r[1] for r in rows]
         if clique:
             found = cell_links(sets, np.array([r[2] for r in rows]), percent)
             return [(ids[a], ids[b]) for a, b in found]
@@ -311,8 +327,10 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                for clique, centre, low, high, member, block, values in zip(*[c.to_pylist() for c in batch.slice(i, 512).columns]):
+            for i, many in _parts(batch.column(6).to_numpy()):
+                *columns, _, packed = (c.to_pylist() for c in batch.slice(i, many).columns)
+                sets = shingle_sets([zlib.decompress(p).decode() for p in packed], n)
+                for clique, centre, low, high, member, block, values in zip(*columns, sets):
                     now = (clique, centre, low, high)
                     if now != key:
                         if key is not None:
@@ -330,11 +348,21 @@ def _verify(percent: int):
     return run
 
 
-def _sets(n: int):
+def _packed(n: int):
+    """Texts by the class of their set, packed; those without words have no class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
-            sets = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "values"])
+            some = [(set_key(s), t.encode()) for s, t in zip(shingle_sets(texts, n), texts) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _ in some], pa.int64()),
+                    pa.array([len(t) for _, t in some], pa.int64()),
+                    pa.array([zlib.compress(t, 1) for _, t in some], pa.binary()),
+                ],
+                names=["cls", "size", "packed"],
+            )
+        release_memory()
 
     return run
 
@@ -388,12 +416,12 @@ def links(docs: DataFrame, described: DataFrame, n: int, percent: int) -> DataFr
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     slots = chosen.select(F.pmod(F.xxhash64("holder"), F.lit(SLOTS)).alias("slot")).distinct()  # SLOTS rows at most
     likely = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    held = likely.join(chosen.select("holder").distinct(), F.col("doc_id") == F.col("holder"), "left_semi").select("doc_id", "text")
-    sets = held.mapInArrow(_sets(n), "cls long, values binary").dropDuplicates(["cls"])  # the join finds them dealt by class already
-    full = members.join(sets, F.col("member") == F.col("cls")).select("clique", "centre", "low", "high", "member", "block", "values")
+    # any text of a class gives its set, so the texts that pass the filter are moved by class and meet the members there
+    packed = likely.mapInArrow(_packed(n), "cls long, size long, packed binary").dropDuplicates(["cls"])
+    full = members.join(packed, F.col("member") == F.col("cls")).select("clique", "centre", "low", "high", "member", "block", "size", "packed")
     first = (F.col("member") != F.col("centre")).alias("later")
     cells = full.repartition("clique", "centre", "low", "high").sortWithinPartitions("clique", "centre", "low", "high", first, "member")
-    return cells.mapInArrow(_verify(percent), "a long, b long")
+    return cells.mapInArrow(_verify(n, percent), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

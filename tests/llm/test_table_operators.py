@@ -390,3 +390,25 @@ def test_jaccard_sets_are_not_written(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(6)], "doc_id long, text string")
     assert {r.component_id for r in ngram_jaccard.jaccard_groups(docs).collect()} == {0}
     assert seen and not any("values" in columns for columns in seen)
+
+
+def test_jaccard_moves_packed_texts_instead_of_sets(spark, monkeypatch):
+    plans, join = [], ngram_jaccard.links
+    monkeypatch.setattr(ngram_jaccard, "links", lambda *a: plans.append(join(*a)) or plans[-1])
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(6)] + [(2, "another text of the same id"), (3, " ".join([*words, "x3"]))]
+    out = ngram_jaccard.jaccard_groups(frame(spark, rows)).collect()
+    assert sorted(map(tuple, out), key=str) == brute_jaccard(rows)
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "packed" in plan and "values" not in plan
+    moved = [r for b in ngram_jaccard._packed(5)(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])])) for r in b.to_pylist()]
+    assert len(moved) == len(rows) and all(len(r["packed"]) < 8 * 397 / 2 for r in moved)  # a set is 8 bytes an n-gram
+    assert all(r["cls"] == ngram_jaccard.set_key(ngram_jaccard.shingle_sets([t])[0]) for r, (_, t) in zip(moved, rows))
+
+
+def test_jaccard_sets_are_made_for_few_bytes_at_a_time():
+    texts = ["é" * 20_000, None, "a b " * 100_000, "", "last"] + ["word " * 4_000] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(ngram_jaccard._texts(iter([batch, batch.slice(0, 0)])))
+    assert [t for _, part in parts for t in part] == texts and [i for ids, _ in parts for i in ids] == list(range(len(texts)))
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part) <= 1 << 17 for _, part in parts)
