@@ -353,13 +353,13 @@ class ArrayEncoder(Encoder):
 
 def _text_groups(batch: pa.RecordBatch, column: str, most_chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in slices whose texts stay small together; one text is never cut."""
-    texts = [t or "" for t in batch.column(batch.schema.names.index(column)).to_pylist()]
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= most_chars or i == len(texts) - 1:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
+    start, size, texts = 0, 0, []
+    for i, text in enumerate(batch.column(batch.schema.names.index(column))):
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= most_chars or i == len(batch) - 1:
+            yield batch.slice(start, i + 1 - start), texts
+            start, size, texts = i + 1, 0, []
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "", keep_ids: bool = True, digests: bool = True) -> DataFrame:

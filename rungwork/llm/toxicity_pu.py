@@ -191,12 +191,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            found: list[float] = []
-            for start in range(0, len(column), 256):
-                found += scores_of(column.slice(start, 256).to_pylist(), shared.value, known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
+        for whole in batches:
+            for start in range(0, len(whole), 256):
+                batch = whole.slice(start, 256)
+                found = scores_of(batch.column(batch.schema.names.index(text)).to_pylist(), shared.value, known)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
         known.clear()
         release_memory()
 

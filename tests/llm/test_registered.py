@@ -3,6 +3,7 @@
 import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -95,3 +96,18 @@ def test_stages_keep_columns_named_as_their_helpers(spark):
     got = got.collect()
     assert sorted(x.doc_id for x in got) == sorted(x.doc_id for x in corpus_pipeline.toxicity(spark, whole, SF).collect())
     assert all(x[c] == f"{c}{x.doc_id}" for x in got for c in names)
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text", "'s' as source")
+    try:
+        out = dict(corpus_pipeline.STAGES)["byte-level BPE encoding and decoding"](spark, docs.coalesce(1), SF)
+        seen = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"]) for b in batches), "n long")
+        assert [r.n for r in seen.collect()] == [1000, 1000, 1000] and out.count() == 3000
+        spark.conf.set(key, 10)
+        corpus_pipeline.encoding(spark, docs, SF)
+        assert spark.conf.get(key) == "10"  # a smaller one stays
+    finally:
+        spark.conf.set(key, usual)
