@@ -51,3 +51,14 @@ def test_counts_leave_a_task_in_parts(spark, monkeypatch):
     for column, tally in rm.GRAMS.values():
         parts = list(tally(iter(rows.select(column).toArrow().combine_chunks().to_batches())))
         assert len(parts) > 5 and max(map(len, parts)) == 10
+
+
+def test_features_of_many_rows_are_not_written(spark, monkeypatch):
+    scanned = lambda r: "features" in r.training._jdf.queryExecution().executedPlan().toString().split("FileScan")[1]
+    few = rm.fit_router(_items(spark), max_features=200, max_iter=50)
+    monkeypatch.setattr(rm, "WRITTEN", 0)
+    many = rm.fit_router(_items(spark), max_features=200, max_iter=50)
+    assert scanned(few) and not scanned(many)
+    a, b = ({r["feature"]: r["gradient"] for r in rm.gradient(m).collect()} for m in (few, many))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
+    assert "ml_attr" not in many.training.schema["features"].metadata
