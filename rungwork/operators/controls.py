@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from rungwork.session import cut_lineage
 
 VALUE_SLICE = 1024
 SLOTS = 4096  # of the ring in one part
+PROBED = 64  # slots behind a root that are looked at before its secret is indexed
+PROBES = 4  # rounds of looking at slots
+LISTED = 1 << 20  # different secrets that go to the plan keys; the pieces of the keys go to more of them
 
 
 def nearest_size_controls(
@@ -71,7 +76,10 @@ def nearest_size_controls(
 def shown_secrets(keys: DataFrame, secrets: DataFrame) -> DataFrame:
     """Distinct (plan_key, secret) where the key holds the secret: substrings of the secrets' lengths, joined as strings."""
     secrets = secrets.select("secret").where("secret <> ''").distinct()
-    lengths = [r[0] for r in secrets.select(F.length("secret").alias("n")).distinct().collect()]  # one entry a length
+    sizes = secrets.groupBy(F.length("secret").alias("n")).agg(F.count(F.lit(1)).alias("secrets")).collect()  # one entry a length
+    lengths = [r["n"] for r in sizes]
+    if sum(r["secrets"] for r in sizes) <= LISTED:
+        secrets = F.broadcast(secrets)
     if not lengths:
         return keys.select("plan_key", F.col("plan_key").alias("secret")).limit(0)
     # few bytes, but thousands of pieces a key: a fixed number of tasks, which are not merged by size
@@ -108,16 +116,37 @@ def next_free(blocked: DataFrame, size: int, width: int = SLOTS) -> DataFrame:
     return found.select("secret", "at", F.when(free <= size, free).alias("free"))
 
 
+def _behind_runs(waiting: DataFrame, options: DataFrame, size: int) -> DataFrame:
+    """(root_id, secret, ring, at): the next slot of each root that its secret does not block, by an index of these secrets."""
+    shown = shown_secrets(options, waiting).join(options.select("plan_key", "at"), "plan_key")
+    slots = options.groupBy(F.col("at").alias("slot")).agg(F.count(F.lit(1)).alias("plans"))
+    refused = shown.groupBy("secret", "at").agg(F.count(F.lit(1)).alias("n"))
+    blocked = cut_lineage(refused.join(slots, F.col("at") == F.col("slot")).where("n = plans").select("secret", "at"))
+    free = cut_lineage(next_free(blocked, size))
+
+    def looked_up(targets: DataFrame, slot: Column, name: str) -> DataFrame:
+        """``name``: ``slot`` where it is free for the secret, else the slot behind its run."""
+        seen = free.select(F.col("secret").alias("s"), "at", F.col("free").alias("behind"))
+        joined = targets.withColumn("slot", slot).join(seen, (F.col("secret") == F.col("s")) & (F.col("slot") == F.col("at")), "left")
+        return joined.withColumn(name, F.when(F.col("at").isNull(), F.col("slot")).otherwise(F.col("behind"))).drop("slot", "s", "at", "behind")
+
+    targets = looked_up(looked_up(waiting, F.col("ring") + 1, "ahead"), F.lit(1).cast("long"), "again")
+    chosen = F.when(F.col("ahead") <= size, F.col("ahead")).when(F.col("again") < F.col("ring"), F.col("again"))
+    return cut_lineage(targets.select("root_id", "secret", "ring", chosen.alias("at")).where("at is not null"))
+
+
 def ring_controls(plans: DataFrame, seed: int = 42, require_all: bool = True) -> DataFrame:
     """Plan of the next root on a seeded ring that does not show the root's reference.
 
     ``plans``: ``root_id, id, dimension, reference, minimal_plan, log_pos`` with non-empty
     plans. Inside the next root the same dimension is preferred, then the smaller id.
 
-    An index from the secrets to the slots whose plans all show them gives each secret's runs
-    of blocked slots. A root looks its next slot up, and behind the ring's end the first one;
-    a blocked slot names the slot behind its run. So work grows with plans and hits, however
-    far the nearest usable root is.
+    The slots behind a root are looked at first, ``PROBED`` of them in ``PROBES`` rounds at most;
+    a round looks at some four slots a root of the ring in all. Roots that are open then have secrets
+    that nearly all plans show. For those secrets an index to the slots whose plans all show them
+    gives each one's runs of blocked slots: a root looks its next slot up, and behind the ring's
+    end the first one; a blocked slot names the slot behind its run. So work grows with plans and
+    the hits of such secrets, however far the nearest usable root is.
     """
     plans = cut_lineage(
         plans.select("root_id", "id", "dimension", "reference", "minimal_plan", "log_pos")
@@ -140,23 +169,26 @@ def ring_controls(plans: DataFrame, seed: int = 42, require_all: bool = True) ->
         .agg(F.min(F.struct(F.col("id").alias("control_id"), F.col("minimal_plan").alias("control_plan"))).alias("o"))
         .select("at", "other_dimension", "plan_key", "o.*")
     )
-    shown = shown_secrets(options, ring).join(options.select("plan_key", "at"), "plan_key")
-    slots = options.groupBy(F.col("at").alias("slot")).agg(F.count(F.lit(1)).alias("plans"))
-    refused = shown.groupBy("secret", "at").agg(F.count(F.lit(1)).alias("n"))
-    blocked = cut_lineage(refused.join(slots, F.col("at") == F.col("slot")).where("n = plans").select("secret", "at"))
-    free = cut_lineage(next_free(blocked, size))
-
-    def looked_up(targets: DataFrame, slot: Column, name: str) -> DataFrame:
-        """``name``: ``slot`` where it is free for the secret, else the slot behind its run."""
-        seen = free.select(F.col("secret").alias("s"), "at", F.col("free").alias("behind"))
-        joined = targets.withColumn("slot", slot).join(seen, (F.col("secret") == F.col("s")) & (F.col("slot") == F.col("at")), "left")
-        return joined.withColumn(name, F.when(F.col("at").isNull(), F.col("slot")).otherwise(F.col("behind"))).drop("slot", "s", "at", "behind")
-
-    targets = looked_up(looked_up(ring, F.col("ring") + 1, "ahead"), F.lit(1).cast("long"), "again")
-    chosen = F.when(F.col("ahead") <= size, F.col("ahead")).when(F.col("again") < F.col("ring"), F.col("again"))
-    targets = cut_lineage(targets.select("root_id", "secret", "ring", chosen.alias("at")).where("at is not null"))
+    free_of_secret = (F.col("secret") == "") | ~F.contains("plan_key", F.col("secret"))
+    waiting, left, seen, found = ring, size, 0, []  # seen: slots looked at behind each
+    for _ in range(PROBES):
+        more = min(max(3 * seen, 1), PROBED - seen, size - 1 - seen, max(1, 4 * size // max(left, 1)))
+        if left == 0 or more < 1:
+            break
+        steps = F.sequence(F.lit(seen + 1).cast("long"), F.lit(seen + more).cast("long"))
+        tried = waiting.select("root_id", "secret", "ring", F.explode(steps).alias("step"))
+        tried = tried.withColumn("at", F.pmod(F.col("ring") + F.col("step") - 1, F.lit(size)) + 1)
+        first = tried.join(options.select("at", "plan_key"), "at").where(free_of_secret).groupBy("root_id").agg(F.min("step").alias("step"))
+        looked = cut_lineage(waiting.join(first, "root_id", "left").select("root_id", "secret", "ring", "step"))
+        at = (F.pmod(F.col("ring") + F.col("step") - 1, F.lit(size)) + 1).alias("at")
+        found.append(looked.where("step is not null").select("root_id", "secret", "ring", at))
+        waiting, seen = looked.where("step is null").drop("step"), seen + more
+        left = waiting.count()
+    if left and seen < size - 1:
+        found.append(_behind_runs(waiting, options, size))
+    targets = reduce(DataFrame.unionByName, found)
     wanted = targets.select("secret", "at").distinct().join(options, "at")
-    usable = wanted.where((F.col("secret") == "") | ~F.contains("plan_key", F.col("secret")))
+    usable = wanted.where(free_of_secret)
     firsts = usable.groupBy("secret", "at", "other_dimension").agg(F.min(F.struct("control_id", "control_plan")).alias("c"))
     kinds = plans.select("root_id", "dimension").distinct().join(targets, "root_id")
     nearest = F.struct((F.col("other_dimension") != F.col("dimension")).alias("differs"), "c.control_id")
