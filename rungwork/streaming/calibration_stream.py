@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from rungwork.operators.calibration import NO_HELP, RANDOM, RELEVANT, WORD_BITS, dimension_rank, expected_keys
+from rungwork.operators.calibration import NO_HELP, RANDOM, RELEVANT, dimension_rank, expected_keys
 from rungwork.plans.ranking import last_by
 
 KEYS = ("root_id", "candidate_id", "variant", "sample_index")
@@ -102,7 +105,13 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return last_by(spark.read.parquet(out), keys, "batch_id").drop("batch_id")
 
 
-CELL = "root_id string, candidate_id string, variant string, seen array<bigint>, right array<bigint>"
+ROOT_BUCKETS = 1 << 12  # of roots, whose state is one value each; a state store keeps to the number it began with
+PACKED = 200_000  # rows of the log that a task packs at once
+PACK = (
+    "bucket int, root_id array<string>, candidate_id array<string>, variant array<string>, "
+    "sample_index array<int>, correct array<boolean>, place array<bigint>"
+)
+CELLS = "bucket int, cells binary"
 DECISION = (
     "root_id string, status string, candidate_id string, success_probability double, "
     "no_help_probability double, random_plan_probability double, prefix int, wave_end int"
@@ -119,51 +128,93 @@ def root_members(candidates: DataFrame) -> DataFrame:
     return one.groupBy("root_id").agg(F.collect_list(member).alias("members"))
 
 
+def _pack(rows: pa.Table) -> pa.RecordBatch:
+    """A row a bucket with the first arrival of each sample of its (root, candidate, variant)."""
+    cell = np.zeros(len(rows), np.int64)
+    for name in ("root_id", "candidate_id", "variant", "sample_index"):  # three variants are known: 64 bits hold a chunk's cells
+        coded = rows[name].combine_chunks().dictionary_encode()
+        cell = cell * len(coded.dictionary) + coded.indices.to_numpy()
+    bucket, place = (rows[name].to_numpy() for name in ("bucket", "place"))
+    order = np.lexsort((place, cell, bucket))
+    first = order[np.diff(cell[order], prepend=-1) != 0]
+    starts = np.flatnonzero(np.diff(bucket[first], prepend=-1))
+    ends = pa.array(np.append(starts, len(first)), pa.int32())
+    kept = rows.take(pa.array(first)).combine_chunks()
+    names = kept.column_names[1:]
+    lists = [pa.ListArray.from_arrays(ends, kept[name].combine_chunks()) for name in names]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first][starts], pa.int32()), *lists], ["bucket", *names])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in few rows, ``PACKED`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= PACKED:
+            yield _pack(pa.Table.from_batches(held))
+            held = []
+    if held:
+        yield _pack(pa.Table.from_batches(held))
+
+
+def _read(state) -> dict:
+    return pickle.loads(bytes(state.get()[0])) if state.exists() else {}
+
+
+def _write(state, entries: dict) -> None:
+    if entries:
+        state.update((pickle.dumps(entries, 4),))
+    elif state.exists():
+        state.clear()
+
+
 class SampleMasks(StatefulProcessor):
-    """First stage, one state a (root, candidate, variant): which samples are logged, and which were right.
+    """First stage, one state a bucket of roots: which samples of a (root, candidate, variant) are logged, and which were right.
 
     A sample's first arrival counts, inside a batch the row with the smallest log position. The
-    state is two bits a sample. It expires ``ttl`` milliseconds after its last change, where given.
+    state has two bits a sample. What a key has expires ``ttl`` milliseconds after its last change, where given.
     """
 
-    def __init__(self, max_samples: int, ttl: int | None):
-        self.max_samples, self.ttl = max_samples, ttl
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.masks = handle.getValueState("masks", "seen array<bigint>, right array<bigint>", self.ttl)
+        self.masks = handle.getValueState("masks", "cells binary", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first: dict[int, tuple] = {}
+        first: dict[tuple, dict[int, tuple]] = {}
+        one: dict[str, str] = {}  # equal strings are one object, which a pickle holds once
         for row in rows:
-            if row.sample_index is not None and 0 <= row.sample_index < self.max_samples:
-                place = (row.log_pos is None, row.log_pos or 0)
-                if row.sample_index not in first or place < first[row.sample_index][0]:
-                    first[row.sample_index] = (place, bool(row.correct))
-        none = [0] * -(-self.max_samples // WORD_BITS)
-        seen, right = map(list, self.masks.get()) if self.masks.exists() else (none, list(none))
-        before = list(seen)
-        for index, (_, correct) in first.items():
-            word, bit = index // WORD_BITS, 1 << index % WORD_BITS
-            if not seen[word] & bit:
-                seen[word] |= bit
-                right[word] |= bit * correct
-        if seen != before:
-            self.masks.update((seen, right))
-            yield Row(root_id=key[0], candidate_id=key[1], variant=key[2], seen=seen, right=right)
+            for root, candidate, variant, index, correct, place in zip(row.root_id, row.candidate_id, row.variant, row.sample_index, row.correct, row.place):
+                name = one.setdefault(root, root), one.setdefault(candidate, candidate), one.setdefault(variant, variant)
+                samples = first.setdefault(name, {})
+                if index not in samples or place < samples[index][0]:
+                    samples[index] = (place, correct)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        masks = {k: v for k, v in _read(self.masks).items() if not self.ttl or now < v[2] + self.ttl}
+        changed = []
+        for name, samples in first.items():
+            seen, right, _ = masks.get(name, (0, 0, 0))
+            fresh = [(index, correct) for index, (_, correct) in samples.items() if not seen >> index & 1]
+            if fresh:
+                seen |= sum(1 << index for index, _ in fresh)
+                right |= sum(1 << index for index, correct in fresh if correct)
+                masks[name] = (seen, right, now)
+                changed.append((*name, seen, right))
+        if changed:
+            _write(self.masks, masks)
+            yield Row(bucket=key[0], cells=pickle.dumps(changed, 4))
 
     def close(self) -> None:
         pass
 
 
-def _bits(words: Sequence[int]) -> int:
-    return sum(w << k * WORD_BITS for k, w in enumerate(words))
-
-
 class StopRule(StatefulProcessor):
-    """Second stage, one state a root: the masks of its keys until it is decided, then one word.
+    """Second stage, one state a bucket of roots: the masks of a root's keys until it is decided, then one word.
 
-    Samples that were counted once stay as they were, so a first-stage state that expired or a
-    repeated row changes nothing. When the root is decided, its masks are released.
+    Samples that were counted once stay as they were, so a first-stage mask that expired or a
+    repeated row changes nothing. When a root is decided, its masks are released.
     """
 
     def __init__(self, q_low: float, q_high: float, min_gain: float, min_samples: int, max_samples: int, sample_batch: int, ttl: int | None):
@@ -171,24 +222,15 @@ class StopRule(StatefulProcessor):
         self.min_samples, self.max_samples, self.sample_batch, self.ttl = min_samples, max_samples, sample_batch, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState("cells", "candidate_id string, variant string", "seen array<bigint>, right array<bigint>", self.ttl)
-        self.decided = handle.getValueState("decided", "status string")
+        self.cells = handle.getValueState("cells", "roots binary", self.ttl)
+        self.decided = handle.getValueState("decided", "roots binary")
 
     def _share(self, cell: tuple[int, int]) -> float | None:
         """Success of a key with samples enough."""
         seen, right = cell
         return right.bit_count() / seen.bit_count() if seen.bit_count() >= self.min_samples else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.decided.exists():
-            return
-        members: list = []
-        for row in rows:
-            members, name = row.members, (row.candidate_id, row.variant)
-            old = self.cells.getValue(name) if self.cells.containsKey(name) else ([0] * len(row.seen), [0] * len(row.seen))
-            fresh = [now & ~was for now, was in zip(row.seen, old[0])]
-            self.cells.updateValue(name, ([was | new for was, new in zip(old[0], fresh)], [was | (r & new) for was, r, new in zip(old[1], row.right, fresh)]))
-        cells = {tuple(k): (_bits(v[0]), _bits(v[1])) for k, v in self.cells.iterator()}
+    def _ruled(self, root: str, cells: dict[tuple[str, str], tuple[int, int]], members: list) -> Row:
         wanted = [("", NO_HELP), *((m["id"], v) for m in members for v in (RELEVANT, RANDOM))]
         found = [cells.get(name, (0, 0)) for name in wanted]
         whole = (1 << self.max_samples) - 1
@@ -202,15 +244,39 @@ class StopRule(StatefulProcessor):
                 usable.append(((m["plan_words"], abs(q - middle), m["dimension_rank"], m["id"]), q, other))
         best = min(usable, default=None)
         status = "selected" if best else "exhausted" if prefix >= self.max_samples else "next_wave"
-        if status != "next_wave":
-            self.decided.update((status,))
-            self.cells.clear()
-        yield Row(
-            root_id=key[0], status=status, candidate_id=best and best[0][3], success_probability=best and best[1],
+        return Row(
+            root_id=root, status=status, candidate_id=best and best[0][3], success_probability=best and best[1],
             no_help_probability=base if best else None, random_plan_probability=best and best[2], prefix=prefix,
             wave_end=min(self.max_samples, max(self.min_samples, prefix + self.sample_batch)) if status == "next_wave" else None,
         )
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        decided = _read(self.decided)
+        open_roots = {k: v for k, v in _read(self.cells).items() if not self.ttl or now < v[1] + self.ttl}
+        news, members, before = set(), {}, len(decided)
+        for row in rows:
+            for root, candidate, variant, seen, right in pickle.loads(bytes(row.cells)):
+                if root in decided:
+                    continue
+                cells = open_roots[root][0] if root in open_roots else {}
+                had, was = cells.get((candidate, variant), (0, 0))
+                fresh = seen & ~had
+                cells[candidate, variant] = (had | fresh, was | (right & fresh))
+                open_roots[root] = (cells, now)
+                news.add(root)
+            members.update((r["root_id"], r["members"]) for r in row.roots if r["root_id"] in news)
+        for root in news:
+            found = self._ruled(root, open_roots[root][0], members[root])
+            if found.status != "next_wave":
+                decided[root] = found.status
+                del open_roots[root]
+            yield found
+        if news:
+            _write(self.cells, open_roots)
+        if len(decided) > before:
+            _write(self.decided, decided)
+
     def close(self) -> None:
         pass
 
@@ -228,19 +294,25 @@ def sequential_stop(
 ) -> DataFrame:
     """After each batch, per root with news: ``selected``, ``exhausted`` or the next wave.
 
-    Two stages on a state store. Rows are grouped by (root, candidate, variant), so a root with
-    most of the log is spread over its keys, and become bit masks; the changed masks, one row a
-    key, are grouped by root for the rule. Keys of unknown candidates leave before any state is
-    kept. ``ttl`` (milliseconds) lets first-stage masks and open roots expire that were not changed
-    for so long; it must be longer than the time between waves. Run in append mode.
+    Two stages on a state store. Tasks keep the first arrival of each sample of a (root, candidate,
+    variant) and pack them by bucket of roots, so of a root with most of the log few rows move. The
+    first stage makes bit masks of them, the second one applies the rule to roots whose masks
+    changed; each reads and writes one state a bucket, not one a key. Keys of unknown candidates leave before any
+    state is kept. ``ttl`` (milliseconds) lets first-stage masks and open roots expire that were not
+    changed for so long; it must be longer than the time between waves. Run in append mode.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # what this kind of state needs
     candidate = F.coalesce("candidate_id", F.lit("")).alias("candidate_id")
-    position = F.col("log_pos") if "log_pos" in stream.columns else F.lit(None).cast("bigint").alias("log_pos")
-    rows = stream.select("root_id", candidate, "variant", "sample_index", "correct", position)
+    last = F.lit((1 << 63) - 1)  # rows without a position come last
+    place = (F.coalesce("log_pos", last) if "log_pos" in stream.columns else last).cast("bigint").alias("place")
+    index, correct = F.col("sample_index").cast("int"), F.coalesce("correct", F.lit(False)).alias("correct")
+    rows = stream.where((index >= 0) & (index < max_samples)).select("root_id", candidate, "variant", index.alias("sample_index"), correct, place)
     known = rows.join(expected_keys(candidates), ["root_id", "candidate_id", "variant"], "left_semi")
+    bucket = bucket_of(["root_id"], ROOT_BUCKETS).alias("bucket")
+    packs = known.select(bucket, "root_id", "candidate_id", "variant", "sample_index", "correct", "place").mapInArrow(packed, PACK)
     mode = "ProcessingTime" if ttl else "None"
-    masks = known.groupBy("root_id", "candidate_id", "variant").transformWithState(SampleMasks(max_samples, ttl), CELL, "Append", mode)
+    masks = packs.groupBy("bucket").transformWithState(SampleMasks(ttl), CELLS, "Append", mode)
+    roots = root_members(candidates).groupBy(bucket).agg(F.collect_list(F.struct("root_id", "members")).alias("roots"))
     rule = StopRule(q_low, q_high, min_gain, min_samples, max_samples, sample_batch, ttl)
-    return masks.join(root_members(candidates), "root_id").groupBy("root_id").transformWithState(rule, DECISION, "Append", mode)
+    return masks.join(roots, "bucket").groupBy("bucket").transformWithState(rule, DECISION, "Append", mode)
