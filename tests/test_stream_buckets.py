@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import Row
 
 from rungwork.streaming import calibration_stream as cs
 
@@ -44,3 +45,34 @@ def test_state_is_read_once_a_bucket(spark, tmp_path, monkeypatch):
     assert sorted(r["root_id"] for r in spark.read.schema(cs.DECISION).parquet(out).collect()) == sorted(roots)
     for operator, name in ((0, "cells"), (1, "masks")):
         assert spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).load(cp).count() == 2
+
+
+class Value:
+    """A value state of one key."""
+
+    held = None
+    exists = lambda self: self.held is not None
+    get = lambda self: self.held
+    update = lambda self, value: setattr(self, "held", value)
+    clear = lambda self: setattr(self, "held", None)
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentProcessingTimeInMs = lambda: now
+
+
+def test_keys_of_a_bucket_expire_one_by_one():
+    def pack(root, index):
+        return Row(bucket=0, root_id=[root], candidate_id=[""], variant=["no_help"], sample_index=[index], correct=[True], place=[1])
+
+    stage, rule = cs.SampleMasks(100), cs.StopRule(0.0, 1.0, 0.0, 1, 2, 1, 100)
+    stage.masks, rule.cells, rule.decided = Value(), Value(), Value()
+    roots = [Row(root_id=r, members=[Row(id="c", plan_words=1, dimension_rank=0)]) for r in ("a", "b")]
+    held = []
+    for now, root, index in ((0, "a", 0), (60, "b", 0), (120, "b", 1)):
+        for row in stage.handleInputRows((0,), iter([pack(root, index)]), Clock(now)):
+            found = list(rule.handleInputRows((0,), iter([Row(bucket=0, cells=row.cells, roots=roots)]), Clock(now)))
+            assert [r.root_id for r in found] == [root]
+        held.append((sorted(k[0] for k in cs._read(stage.masks)), sorted(cs._read(rule.cells))))
+    assert held == [(["a"], ["a"]), (["a", "b"], ["a", "b"]), (["b"], ["b"])]
